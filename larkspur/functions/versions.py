@@ -115,7 +115,7 @@ def parse_range(text: Column) -> Column:
     t = F.trim(text)
     bare = t.rlike(r"^[\w.+-]+$")
     item = r"^(>=|<=|>|<|=)\s*([\w.+-]+)$"
-    parts = F.filter(F.transform(F.split(t, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(t, ","), lambda p: F.trim(p)), lambda p: p != "")
 
     def clause(op: Column, version: Column) -> Column:
         return F.struct(op.alias("op"), version.alias("version"))

@@ -246,7 +246,7 @@ def _(v):
 
 
 @query("scl24_route_regex", r"""
-    SELECT route_id, '^' || regexp_replace(replace(replace(replace(route_pattern, ':lang', '[^/]+'), '{lang}', '[^/]+'), '<string:lang>', '[^/]+'), ':id', '[^/]+') || '$' AS regex FROM routes""")
+    SELECT route_id, '^' || replace(replace(replace(replace(route_pattern, '<string:lang>', '[^/]+'), '{lang}', '[^/]+'), ':lang', '[^/]+'), ':id', '[^/]+') || '$' AS regex FROM routes""")
 def _(v):
     return v.routes.select("route_id", text.route_regex(C("route_pattern")).alias("regex"))
 
