@@ -74,7 +74,7 @@ def _(v):
 
 @query("jn12_confirm_from_runtime", """
     SELECT finding_id, prior_level, runtime_hit_id, contextual_depscore FROM (SELECT f.finding_id, f.reachability_level AS prior_level, h.hit_id AS runtime_hit_id, coalesce(f.contextual_depscore, CAST(coalesce(f.depscore, 0) AS DOUBLE)) AS contextual_depscore,
-      row_number() OVER (PARTITION BY f.finding_id ORDER BY CASE h.severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, h.created_at, h.hit_id) AS rn
+      row_number() OVER (PARTITION BY f.finding_id ORDER BY CASE h.severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END DESC, h.created_at, h.hit_id) AS rn
       FROM findings f JOIN nuclei_hits h ON h.project_id = f.project_id AND h.linked_project_dependency_id = f.project_dependency_id AND (upper(h.cve_ids[1]) = upper(f.osv_id) OR (f.aliases IS NOT NULL AND upper(h.cve_ids[1]) = upper(f.aliases[1])))
       WHERE f.reachability_level IS DISTINCT FROM 'confirmed') WHERE rn = 1""")
 def _(v):
@@ -180,16 +180,14 @@ def _(v):
 
 
 @query("set6_same_set", """
-    WITH l AS (SELECT package_id, maintainer_handles, lag(maintainer_handles) OVER (PARTITION BY package_id ORDER BY observed_at, snapshot_id) AS prior FROM maintainer_snapshots)
-    SELECT package_id, count(*) FILTER (WHERE list_sort(list_distinct(maintainer_handles)) = list_sort(list_distinct(prior))) AS unchanged FROM l WHERE prior IS NOT NULL GROUP BY 1""")
+    WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY observed_at DESC, snapshot_id DESC) AS rn FROM maintainer_snapshots) WHERE rn = 1)
+    SELECT s.package_id, count(*) FILTER (WHERE list_sort(list_distinct(s.maintainer_handles)) = list_sort(list_distinct(l.maintainer_handles))) AS same_as_latest FROM maintainer_snapshots s JOIN l USING (package_id) GROUP BY 1""")
 def _(v):
-    from pyspark.sql import Window
+    from larkspur.operators.matching import latest_snapshot, same_set
 
-    from larkspur.operators.matching import same_set
-
-    w = Window.partitionBy("package_id").orderBy("observed_at", "snapshot_id")
-    l = v.maintainer_snapshots.withColumn("prior", F.lag("maintainer_handles").over(w)).filter(C("prior").isNotNull())
-    return l.groupBy("package_id").agg(F.count_if(same_set(C("maintainer_handles"), C("prior"))).alias("unchanged"))
+    last = latest_snapshot(v.maintainer_snapshots, ["package_id"], "observed_at", "snapshot_id").select("package_id", C("maintainer_handles").alias("latest"))
+    rows = v.maintainer_snapshots.select("package_id", "maintainer_handles").join(last, "package_id")
+    return rows.groupBy("package_id").agg(F.count_if(same_set(C("maintainer_handles"), C("latest"))).alias("same_as_latest"))
 
 
 @query("set7_corpus_diff", """
