@@ -406,6 +406,14 @@ def _views(d) -> dict[str, str]:
     v["cve_sinks"] = f"""
         SELECT {cve.format(p='p_partkey')} AS osv_id, 'Pkg.call' || CAST(p_size % 15 AS STRING) || {pick('p_size % 3', ['(*)', '.*'], '')} AS pattern
         FROM {{part}} p WHERE p_type IN ('PROMO', 'STANDARD', 'MEDIUM')"""
+    v["calls"] = """
+        SELECT DISTINCT l_suppkey AS project_id, 'fn' || CAST(l_partkey % 60 AS STRING) AS caller, 'fn' || CAST((l_partkey * 7 + l_linenumber) % 60 AS STRING) AS callee
+        FROM {lineitem} l WHERE l_returnflag = 'A'"""
+    v["call_roles"] = f"""
+        SELECT DISTINCT l_suppkey AS project_id, 'fn' || CAST(l_partkey % 60 AS STRING) AS fn, {pick('l_partkey % 60 % 12', ['source', None, None, 'sanitizer', None, 'sink', 'sanitizer', None, 'sink'])} AS role FROM {{lineitem}} l"""
+    v["sbom_edges"] = """
+        SELECT project_id, 'root' AS parent, CAST(dependency_id AS STRING) AS child FROM {project_dependencies} d WHERE is_direct AND ecosystem <> 'nuget'
+        UNION ALL SELECT a.project_id, CAST(a.dependency_id AS STRING), CAST(b.dependency_id AS STRING) FROM {project_dependencies} a JOIN {project_dependencies} b ON a.project_id = b.project_id AND CAST(floor((b.dependency_id - 1) / 2e0) AS BIGINT) = a.dependency_id AND b.dependency_id > 0"""
     v["native_bindings"] = f"""
         SELECT 'language' AS scope, {DEP_NAME.format(p='p_partkey', n='p_name', b='p_brand')} AS package_identifier, {pick('p_partkey % 8', ECOSYSTEMS)} AS package_ecosystem,
                'libso' || CAST(p_partkey % 40 AS STRING) || '.so' AS soname, '/app/' || CAST(p_partkey AS STRING) AS install_path FROM {{part}} p
