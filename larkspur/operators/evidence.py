@@ -36,29 +36,24 @@ PYPI_IMPORTS = {
 
 
 def contains_match(texts: DataFrame, needles: DataFrame, key: list[str]) -> DataFrame:
-    """Distinct (key, text, needle) where the text contains the needle, as an equi join on four-letter grams.
+    """Distinct (key, text, needle) where the text contains the needle, as equi joins on four-letter grams.
 
-    A text that contains a needle contains the needle's last four letters, so joining each needle by that gram
-    misses nothing; the ``contains`` test then removes the false partners.  Needles under four letters take the
-    same route with grams of their own length, over the keys that have such needles only.
+    The search runs once over the distinct texts and distinct needles of all keys; the matching pairs are then joined
+    back to the keys that have both.  A text that contains a needle contains the needle's last four letters, so
+    joining each needle by that gram misses nothing; the ``contains`` test removes the false partners.  Needles under
+    four letters use grams of their own length, which texts only produce when such needles exist.
     """
     wanted = needles.select(*key, "needle").filter(F.length("needle") > 0).distinct()
     have = texts.select(*key, "text").filter(F.length("text") > 0).distinct()
-
-    def grams(rows: DataFrame, n: int) -> DataFrame:
-        pieces = F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: C("text").substr(i, F.lit(n)))
-        return rows.filter(F.length("text") >= n).select(*key, "text", F.explode(F.array_distinct(pieces)).alias("_gram"))
-
-    def hits(rows: DataFrame, these: DataFrame, n: int) -> DataFrame:
-        keyed = these.withColumn("_gram", C("needle").substr(F.length("needle") - (n - 1), F.lit(n)))
-        return grams(rows, n).join(keyed, [*key, "_gram"]).filter(F.contains(C("text"), C("needle"))).select(*key, "text", "needle").distinct()
-
-    out = hits(have, wanted.filter(F.length("needle") >= GRAM), GRAM)
-    for n in range(1, GRAM):
-        short = wanted.filter(F.length("needle") == n)
-        rows = have.join(short.select(*key).distinct(), key, "left_semi") if key else have
-        out = out.unionByName(hits(rows, short, n))
-    return out
+    words, parts = have.select("text").distinct(), wanted.select("needle").distinct()
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    # the gram lengths in use: four, and the lengths of any shorter needles (at most four numbers)
+    lengths = parts.agg(F.collect_set(size)).scalar()
+    pieces = F.transform(F.sequence(F.lit(1), F.length("text") - C("_n") + 1), lambda i: C("text").substr(i, C("_n")))
+    grams = words.select("text", F.explode(lengths).alias("_n")).filter(F.length("text") >= C("_n")).select("text", F.explode(F.array_distinct(pieces)).alias("_gram"))
+    keyed = parts.withColumn("_gram", C("needle").substr(F.length("needle") - size + 1, size))
+    pairs = grams.join(keyed, "_gram").filter(F.contains(C("text"), C("needle"))).select("text", "needle")
+    return have.join(pairs, "text").join(wanted, [*key, "needle"]).select(*key, "text", "needle")
 
 
 def name_variants(name: Column) -> Column:

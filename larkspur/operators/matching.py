@@ -296,19 +296,26 @@ def with_names(facts: DataFrame, dim: DataFrame, key: str, name: str, alias: str
     return facts.join(dim.select(key, C(name).alias(alias)), key, "left")
 
 
-def banned_versions(versions_df: DataFrame, bans: DataFrame, projects: DataFrame, project_teams: DataFrame) -> DataFrame:
-    """Distinct (project, dependency, version) banned by the organization or by one of the project's teams."""
-    org = bans.filter(C("organization_id").isNotNull()).select("organization_id", "dependency_id", "banned_version")
-    team = bans.filter(C("team_id").isNotNull()).select("team_id", "dependency_id", "banned_version")
-    wanted = versions_df.select("project_id", "dependency_id", "version").distinct()
-    by_org = wanted.join(projects.select("project_id", "organization_id"), "project_id").join(
-        org.withColumnRenamed("banned_version", "version"), ["organization_id", "dependency_id", "version"], "left_semi")
-    by_team = wanted.join(project_teams.select("project_id", "team_id"), "project_id").join(
-        team.withColumnRenamed("banned_version", "version"), ["team_id", "dependency_id", "version"], "left_semi")
+def banned_versions(uses: DataFrame, bans: DataFrame, projects: DataFrame, project_teams: DataFrame) -> DataFrame:
+    """Distinct (project, dependency, version) that the organization or one of the project's teams bans.
+
+    Starts from the packages a project uses, so bans are never spread over projects that lack the package.
+    """
+    mine = uses.select("project_id", "dependency_id").distinct()
+    org = bans.filter(C("organization_id").isNotNull()).select("organization_id", "dependency_id", C("banned_version").alias("version"))
+    team = bans.filter(C("team_id").isNotNull()).select("team_id", "dependency_id", C("banned_version").alias("version"))
+    by_org = mine.join(projects.select("project_id", "organization_id"), "project_id").join(org, ["organization_id", "dependency_id"])
+    by_team = mine.join(project_teams.select("project_id", "team_id"), "project_id").join(team, ["team_id", "dependency_id"])
     cols = ["project_id", "dependency_id", "version"]
     return by_org.select(cols).union(by_team.select(cols)).distinct()
 
 
+def banned_in_use(uses: DataFrame, bans: DataFrame, projects: DataFrame, project_teams: DataFrame) -> DataFrame:
+    """Installed (project, dependency, version) rows that are banned."""
+    cols = ["project_id", "dependency_id", "version"]
+    return uses.select(cols).distinct().join(banned_versions(uses, bans, projects, project_teams), cols, "left_semi")
+
+
 def vuln_counts_by_version(version_rows: DataFrame, advisories: DataFrame) -> DataFrame:
     """Applying advisories per package version and severity; versions without any keep a zero row."""
     level = labels.severity_norm(C("severity"))

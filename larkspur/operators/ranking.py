@@ -22,10 +22,32 @@ def ranking_order() -> list[Column]:
     ]
 
 
+def running_total(rows: DataFrame, partition: list[str], bucket: dict[str, Column], order: list[Column], value: Column, name: str) -> DataFrame:
+    """Running sum of ``value`` per partition, in two levels so that a hot partition is not one task.
+
+    ``bucket`` holds columns that never decrease in the wanted order.  Bucket totals are added up first; the rows
+    are then summed inside their bucket only, on top of what lies before it.
+    """
+    marked = rows.withColumns({**bucket, "_value": value})
+    keys = list(bucket)
+    sums = marked.groupBy(*partition, *keys).agg(F.sum("_value").alias("_sum"))
+    w = Window.partitionBy(*partition).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(w), F.lit(0))).select(*[C(c).alias(f"_r_{c}") for c in [*partition, *keys]], "_before")
+    condition = F.lit(True)
+    for c in [*partition, *keys]:
+        condition = condition & C(c).eqNullSafe(C(f"_r_{c}"))
+    joined = marked.join(before, condition).drop(*[f"_r_{c}" for c in [*partition, *keys]])
+    v = Window.partitionBy(*partition, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumn(name, C("_before") + F.sum("_value").over(v)).drop("_before", "_value", *keys)
+
+
 def rank_findings(findings: DataFrame, partition: list[str]) -> DataFrame:
-    """Every finding with its rank inside its partition."""
-    w = Window.partitionBy(*partition).orderBy(*ranking_order())
-    return findings.withColumn("rank", F.row_number().over(w).cast("long"))
+    """Every finding with its rank inside its partition; ranks count inside (score, severity, month) buckets."""
+    bucket = {
+        "_b1": -labels.ranking_score(C("contextual_depscore"), C("depscore"), -1), "_b2": -labels.severity_rank(C("severity")),
+        "_b3": F.coalesce(-(F.year("published_at") * 12 + F.month("published_at")), F.lit(1)),
+    }
+    return running_total(findings, partition, bucket, ranking_order(), F.lit(1), "rank").withColumn("rank", C("rank").cast("long"))
 
 
 def sort_findings(findings: DataFrame) -> DataFrame:
@@ -94,15 +116,20 @@ def rank_base_images(current: DataFrame, catalog: DataFrame, k: int = 3) -> Data
     Images without a shell are left out where one is required.  The score depends on the catalog row and the
     current finding count only, so it is computed per (image, count), not per project.
     """
+    fit = C("drop_in_score") / 100.0 * 0.3 + lookup(PROVIDER_WEIGHT, C("provider"), 0.5) * 0.2
+    fitted = catalog.withColumn("_fit", fit)
+    # the gain depends on the alternative's CVE count alone, so only the k best fitting per count can win
+    short = row_number_at_most(fitted, ["base_image", "has_shell", "cve_count"], [C("_fit").desc(), C("image").asc()], k)
     cases = current.select(C("image_reference").alias("base_image"), "finding_count", "shell_required").distinct()
     gain = F.when(C("finding_count") <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (C("finding_count") - C("cve_count")) / C("finding_count"))))
     scored = (
-        cases.join(catalog, "base_image").filter(~C("shell_required") | C("has_shell"))
+        cases.join(short, "base_image").filter(~C("shell_required") | C("has_shell"))
         .withColumn("score", F.round(gain * 0.5 + C("drop_in_score") / 100.0 * 0.3 + lookup(PROVIDER_WEIGHT, C("provider"), 0.5) * 0.2, 6))
     )
     key = ["base_image", "finding_count", "shell_required"]
-    w = Window.partitionBy(*key).orderBy(C("score").desc(), C("image").asc())
-    best = scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(C("rank") <= k)
+    order = [C("score").desc(), C("image").asc()]
+    w = Window.partitionBy(*key).orderBy(*order)
+    best = row_number_at_most(scored, key, order, k).withColumn("rank", F.row_number().over(w).cast("long"))
     mine = current.withColumnRenamed("image_reference", "base_image")
     return mine.join(best.select(*key, "image", "score", "rank"), key)
 
@@ -175,16 +202,23 @@ def version_list(current: DataFrame, counts: DataFrame, banned: DataFrame, *, nu
 def versions_behind(deps: DataFrame, catalog: DataFrame, version_rows: DataFrame) -> DataFrame:
     """How many stable versions lie above the installed one, up to the latest; and the outdated flag.
 
-    Ranks are computed once per package over its distinct version keys; each use then needs two lookups.
+    Each version in question gets its rank among the package's stable versions, counted inside (major, minor)
+    buckets; the answer is a difference of two ranks, so versions are never paired with each other.
     """
     latest = catalog.filter(C("latest_version").isNotNull()).select("dependency_id", versions.version_key(C("latest_version")).alias("_l"))
-    keys = version_rows.filter(~versions.is_prerelease(C("version"))).select("dependency_id", versions.version_key(C("version")).alias("_v")).filter(C("_v").isNotNull())
+    stable = version_rows.filter(~versions.is_prerelease(C("version"))).select("dependency_id", versions.version_key(C("version")).alias("_v")).filter(C("_v").isNotNull())
     uses = deps.filter(C("removed_at").isNull()).withColumn("_c", versions.version_key(C("version"))).filter(C("_c").isNotNull())
-    current = uses.select("dependency_id", "_c").distinct().join(latest, "dependency_id").filter(C("_l").isNotNull())
-    between = current.join(keys, "dependency_id").filter((C("_v") > C("_c")) & (C("_v") <= C("_l"))).groupBy("dependency_id", "_c").agg(F.count("*").alias("_n"))
-    out = uses.join(current, ["dependency_id", "_c"]).join(between, ["dependency_id", "_c"], "left")
+    counted = stable.groupBy("dependency_id", "_v").agg(F.count("*").alias("_n"))
+    asked = uses.select("dependency_id", C("_c").alias("_v")).unionByName(latest.select("dependency_id", C("_l").alias("_v"))).filter(C("_v").isNotNull()).distinct()
+    points = counted.unionByName(asked.withColumn("_n", F.lit(0).cast("long"))).groupBy("dependency_id", "_v").agg(F.sum("_n").alias("_n"))
+    ranked = running_total(points, ["dependency_id"], {"_b1": C("_v.major"), "_b2": C("_v.minor")}, [C("_v").asc()], C("_n"), "_rank").select("dependency_id", "_v", "_rank")
+    out = (
+        uses.join(latest.filter(C("_l").isNotNull()), "dependency_id")
+        .join(ranked.select("dependency_id", C("_v").alias("_c"), C("_rank").alias("_rc")), ["dependency_id", "_c"])
+        .join(ranked.select("dependency_id", C("_v").alias("_l"), C("_rank").alias("_rl")), ["dependency_id", "_l"])
+    )
     old = C("_c") < C("_l")
-    return out.withColumn("is_outdated", old).withColumn("versions_behind", F.when(old, F.coalesce("_n", F.lit(0))).otherwise(0).cast("long")).drop("_c", "_l", "_n")
+    return out.withColumn("is_outdated", old).withColumn("versions_behind", F.when(old, C("_rl") - C("_rc")).otherwise(0).cast("long")).drop("_c", "_l", "_rc", "_rl")
 
 
 def flow_rank(flows: DataFrame, key: list[str], limit: int = 20) -> DataFrame:

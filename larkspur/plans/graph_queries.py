@@ -92,8 +92,7 @@ def _(v):
     SELECT d.project_id, d.project_dependency_id, coalesce(f.version, b.version) AS safe_version, f.version IS NOT NULL AS covers_fixes, coalesce(coalesce(f.version, b.version) = d.version, false) AS is_current FROM project_dependencies d LEFT JOIN fixv f USING (project_dependency_id) LEFT JOIN best b USING (project_dependency_id)""")
 def _(v):
     uses = v.project_dependencies
-    possible = uses.select("project_id", "dependency_id").distinct().join(v.dependency_versions.select("dependency_id", "version"), "dependency_id")
-    banned = matching.banned_versions(possible, v.banned_versions, v.projects, v.project_teams)
+    banned = matching.banned_versions(uses, v.banned_versions, v.projects, v.project_teams)
     counts = matching.vuln_counts_by_version(v.dependency_versions, advisories(v))
     fixes = active_run(v.findings, v.projects).filter(C("is_reachable") & C("fixed_versions").isNotNull()).select("project_dependency_id", "fixed_versions")
     return graph.latest_safe_version(uses, counts, v.version_edges, banned, fixes)

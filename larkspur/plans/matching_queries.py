@@ -171,7 +171,7 @@ def _(v):
     SELECT w.* FROM w JOIN projects p USING (project_id) JOIN banned_versions b ON b.organization_id = p.organization_id AND b.dependency_id = w.dependency_id AND b.banned_version = w.version
     UNION SELECT w.* FROM w JOIN project_teams t USING (project_id) JOIN banned_versions b ON b.team_id = t.team_id AND b.dependency_id = w.dependency_id AND b.banned_version = w.version""")
 def _(v):
-    return matching.banned_versions(v.project_dependencies, v.banned_versions, v.projects, v.project_teams)
+    return matching.banned_in_use(v.project_dependencies, v.banned_versions, v.projects, v.project_teams)
 
 
 @query("jn31_kev_epss_lookup", """
@@ -212,6 +212,5 @@ def _(v):
     FROM (SELECT DISTINCT project_id, dependency_id, version AS cur_version FROM project_dependencies) d JOIN pairs USING (dependency_id, cur_version) LEFT JOIN banned n ON n.project_id = d.project_id AND n.dependency_id = d.dependency_id AND n.banned_version = candidate""")
 def _(v):
     uses = v.project_dependencies
-    possible = uses.select("project_id", "dependency_id").distinct().join(v.dependency_versions.select("dependency_id", "version"), "dependency_id")
-    banned = matching.banned_versions(possible, v.banned_versions, v.projects, v.project_teams)
+    banned = matching.banned_versions(uses, v.banned_versions, v.projects, v.project_teams)
     return matching.version_candidates(uses, v.dependency_versions, advisories(v), banned)

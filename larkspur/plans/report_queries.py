@@ -339,8 +339,7 @@ def _(v):
     QUALIFY row_number() OVER (PARTITION BY project_id, dependency_id ORDER BY odd, i DESC) <= 2""")
 def _(v):
     uses = v.project_dependencies
-    possible = uses.select("project_id", "dependency_id").distinct().join(v.dependency_versions.select("dependency_id", "version"), "dependency_id")
-    banned = matching.banned_versions(possible, v.banned_versions, v.projects, v.project_teams)
+    banned = matching.banned_versions(uses, v.banned_versions, v.projects, v.project_teams)
     counts = matching.vuln_counts_by_version(v.dependency_versions, advisories(v))
     return ranking.version_list(uses, counts, banned, number=1, size=2).select("project_id", "dependency_id", "version", "critical_vulns", "is_banned", "total")
 
