@@ -176,7 +176,7 @@ def _(v):
     FROM scan_jobs WHERE job_type = 'extraction' AND status IN ('queued', 'processing') GROUP BY 1""")
 def _(v):
     machines, load = s.running_snapshot(v.scan_jobs, "extraction")
-    return load.join(machines.agg(F.count("*").alias("machines")), F.lit(True))
+    return load.withColumn("machines", machines.agg(F.count("*")).scalar())
 
 
 SCAN = ", ".join(f"count(*) FILTER (WHERE status <> 'ignored' AND severity = '{x.upper()}') AS {{p}}_{x}" for x in (*s.BANDS, "info")) + ", count(*) FILTER (WHERE status = 'ignored') AS {p}_ignored"
