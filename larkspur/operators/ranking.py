@@ -145,7 +145,7 @@ def truncate_by_bytes(rows: DataFrame, partition: list[str], *, max_bytes: int,
     limit = max_bytes - 1
     sized = (
         rows.withColumn("_bytes", F.octet_length(json) + 1).withColumn("_rank", -labels.severity_rank(C(severity)))
-        .withColumn("_order", F.sha2(C(tie).cast("string"), 256)).withColumn("_slice", F.substring("_order", 1, 2))
+        .withColumn("_order", F.sha2(C(tie).cast("string"), 256)).withColumn("_slice", F.substring("_order", 1, 3))
     )
     bucket = [*partition, "_rank", "_slice"]
     sums = sized.groupBy(*bucket).agg(F.sum("_bytes").alias("_sum"))

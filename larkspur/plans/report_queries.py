@@ -178,9 +178,9 @@ def _(v):
 
 MEASURES = """count(*) AS total_attempts, count(*) FILTER (WHERE success) AS successes, round(count(*) FILTER (WHERE success) / count(*), 4) AS success_rate, CAST(floor(avg(duration_seconds) + 0.5) AS BIGINT) AS avg_duration_seconds, round(avg(cost_cents), 4) AS avg_cost_cents, round(avg(human_quality_rating), 4) AS avg_quality_rating,
     round(count(*) FILTER (WHERE pr_merged) / nullif(count(*) FILTER (WHERE success), 0), 4) AS pr_merge_rate, round(count(*) FILTER (WHERE fix_reverted) / nullif(count(*) FILTER (WHERE pr_merged), 0), 4) AS revert_rate, CASE WHEN count(*) >= 20 THEN 'high' WHEN count(*) >= 5 THEN 'medium' ELSE 'low' END AS confidence"""
-PATTERNS = f"""pat AS (SELECT organization_id, ecosystem, vulnerability_type, strategy, is_direct_dep, 1 AS level, {MEASURES} FROM fix_outcomes WHERE ecosystem IS NOT NULL GROUP BY 1, 2, 3, 4, 5
-    UNION ALL SELECT organization_id, ecosystem, NULL, strategy, NULL, 2, {MEASURES} FROM fix_outcomes WHERE ecosystem IS NOT NULL GROUP BY organization_id, ecosystem, strategy
-    UNION ALL SELECT organization_id, NULL, NULL, strategy, NULL, 3, {MEASURES} FROM fix_outcomes GROUP BY organization_id, strategy)"""
+PATTERNS = f"""pat AS (SELECT organization_id, ecosystem, vulnerability_type, strategy, is_direct_dep, CAST(1 AS BIGINT) AS level, {MEASURES} FROM fix_outcomes WHERE ecosystem IS NOT NULL GROUP BY 1, 2, 3, 4, 5
+    UNION ALL SELECT organization_id, ecosystem, NULL, strategy, NULL, CAST(2 AS BIGINT), {MEASURES} FROM fix_outcomes WHERE ecosystem IS NOT NULL GROUP BY organization_id, ecosystem, strategy
+    UNION ALL SELECT organization_id, NULL, NULL, strategy, NULL, CAST(3 AS BIGINT), {MEASURES} FROM fix_outcomes GROUP BY organization_id, strategy)"""
 
 
 @query("agg21_strategy_patterns", f"WITH {PATTERNS} SELECT * FROM pat")

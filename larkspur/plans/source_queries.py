@@ -30,14 +30,15 @@ def item(v):
 
 
 def sbom_docs(v) -> DataFrame:
-    """One bill of materials per order: the order is the root, its lines are the components."""
+    """One bill of materials per order line: the line is the root, its part the only other component."""
     ref = F.concat(F.lit("pkg:npm/"), F.regexp_replace("p_name", " ", "-"), F.lit("@v1."), C("l_linenumber").cast("string"), F.lit("."), C("l_partkey").cast("string"))
-    part = F.struct(ref.alias("bom-ref"), F.when(C("l_linenumber") % 2 == 0, F.regexp_replace("p_name", " ", "-")).alias("name"), F.lit(None).cast("string").alias("version"), ref.alias("purl"))
-    docs = item(v).groupBy("l_orderkey").agg(F.collect_list(part).alias("components"), F.collect_set(ref).alias("refs"))
-    root = F.concat(F.lit("order-"), C("l_orderkey").cast("string"))
-    return docs.select(
-        F.struct(F.struct(root.alias("bom-ref")).alias("component")).alias("metadata"), F.concat("components", F.array(F.struct(root.alias("bom-ref"), F.lit("app").alias("name"), F.lit("1").alias("version"), F.lit(None).cast("string").alias("purl")))).alias("components"),
-        F.array(F.struct(root.alias("ref"), F.array_sort("refs").alias("dependsOn"))).alias("dependencies"))
+    root = F.concat_ws("-", F.lit("order"), C("l_orderkey").cast("string"), C("l_linenumber").cast("string"), C("l_partkey").cast("string"), C("l_suppkey").cast("string"))
+    none = F.lit(None).cast("string")
+    part = F.struct(ref.alias("bom-ref"), F.when(C("l_linenumber") % 2 == 0, F.regexp_replace("p_name", " ", "-")).alias("name"), none.alias("version"), ref.alias("purl"))
+    app = F.struct(root.alias("bom-ref"), F.lit("app").alias("name"), F.lit("1").alias("version"), none.alias("purl"))
+    return item(v).select(
+        F.struct(F.struct(root.alias("bom-ref")).alias("component")).alias("metadata"), F.array(app, part).alias("components"),
+        F.array(F.struct(root.alias("ref"), F.array(ref).alias("dependsOn"))).alias("dependencies"))
 
 
 REF = "'pkg:npm/' || replace(p_name, ' ', '-') || '@v1.' || CAST(l_linenumber AS VARCHAR) || '.' || CAST(l_partkey AS VARCHAR)"
@@ -49,13 +50,13 @@ def _(v):
     components, edges, roots = readers.read_sbom(v.spark, json_files(v, sbom_docs(v), "sbom"), multi_line=False)
     direct = edges.join(roots.withColumnRenamed("root", "parent"), ["document", "parent"]).select("document", C("child").alias("component"), F.lit(True).alias("is_direct"))
     rows = components.join(direct, ["document", "component"], "left")
-    return rows.select(F.regexp_extract("document", "order-([0-9]+)$", 1).cast("long").alias("order_key"), "component", "name", "version", "is_direct")
+    return rows.select(F.regexp_extract("document", "order-([0-9]+)-[0-9-]+$", 1).cast("long").alias("order_key"), "component", "name", "version", "is_direct")
 
 
-@query("udf5_extract_purls", f"SELECT DISTINCT l_orderkey AS order_key, {REF} AS purl FROM lineitem JOIN part ON p_partkey = l_partkey")
+@query("udf5_extract_purls", f"SELECT l_orderkey AS order_key, {REF} AS purl FROM lineitem JOIN part ON p_partkey = l_partkey")
 def _(v):
     components, _edges, _roots = readers.read_sbom(v.spark, json_files(v, sbom_docs(v), "sbom"), multi_line=False)
-    return policy.extract_purls(components).select(F.regexp_extract("document", "order-([0-9]+)$", 1).cast("long").alias("order_key"), "purl")
+    return policy.extract_purls(components).select(F.regexp_extract("document", "order-([0-9]+)-[0-9-]+$", 1).cast("long").alias("order_key"), "purl")
 
 
 @query("src2_read_osv_feed", """
@@ -89,7 +90,7 @@ def _(v):
         F.when(new, F.array(F.struct(F.lit("high").alias("severity"), F.lit(7.5).alias("score")))).alias("ratings"),
         F.when(new, F.array(F.struct(ref.alias("ref"), F.array(F.struct(F.lit("9.9.9").alias("version"), F.lit("unaffected").alias("status"))).alias("versions")))).alias("affects"),
         F.when(new & (C("l_linenumber") == 1), F.array(F.struct(F.lit("depscan:insights").alias("name"), F.lit("Used in 3 places").alias("value")))).alias("properties"))
-    docs = item(v).groupBy("l_orderkey").agg(F.collect_list(vuln).alias("vulnerabilities")).select("vulnerabilities")
+    docs = item(v).select(F.array(vuln).alias("vulnerabilities"))
     out = readers.read_vdr(v.spark, json_files(v, docs, "vdr"), multi_line=False)
     return out.select("osv_id", "ref_name", "version", "severity", "cvss_score", F.array_join("fixed_versions", ",").alias("fixed"), "is_reachable")
 

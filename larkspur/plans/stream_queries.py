@@ -130,7 +130,7 @@ def _finding_stream(v, folder: str) -> DataFrame:
 
 @query("str12_finding_lifecycle", """
     WITH n AS (SELECT DISTINCT project_id, dependency_id, osv_id FROM findings WHERE extraction_run_id = '2001'), o AS (SELECT DISTINCT project_id, dependency_id, osv_id FROM findings WHERE extraction_run_id = '2000')
-    SELECT 0 AS batch, *, 'detected' AS event_type FROM o UNION ALL SELECT 1, *, 'detected' FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT 1, *, 'resolved' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)""")
+    SELECT CAST(0 AS BIGINT) AS batch, *, 'detected' AS event_type FROM o UNION ALL SELECT 1, *, 'detected' FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT 1, *, 'resolved' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)""")
 def _(v):
     folder = st.new_folder(v.spark, "lifecycle")
     key = ["project_id", "dependency_id", "osv_id"]

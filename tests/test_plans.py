@@ -17,16 +17,11 @@ def plan(df):
 
 
 @pytest.mark.parametrize("name", LAZY)
-def test_no_nested_loops(spark, sf_dir, name):
+def test_no_nested_loops_and_no_python(spark, sf_dir, name):
     text = plan(entry.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
-def test_no_python_outside_the_escape_hatch(spark, sf_dir):
-    for name in LAZY:
-        if name != "udf1_package_policy_python":
-            text = plan(entry.queries()[name](spark, sf_dir))
-            assert "PythonUDF" not in text and "MapInPandas" not in text, name
+    if name != "udf1_package_policy_python":
+        assert "PythonUDF" not in text and "MapInPandas" not in text
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf_dir):

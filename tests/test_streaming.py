@@ -59,10 +59,14 @@ def test_balance_alerts_once_per_crossing(spark):
 
 def test_sla_monitor_announces_once_and_honours_pauses(spark):
     schema = "finding_id string, kind string, sec long, warn_ms long, due_ms long, shift_ms long"
-    hour = 3_600_000
-    first = [("a", "clock", 0, hour, 2 * hour, 0), ("b", "clock", 0, hour, 2 * hour, 0), ("c", "clock", 0, hour, 2 * hour, 0), ("b", "resume", 60, 0, 0, 100 * hour), ("c", "close", 90, 0, 0, 0)]
-    later = [("tick", "clock", 5400, 900 * hour, 999 * hour, 0)]
-    last = [("tick2", "clock", 9000, 900 * hour, 999 * hour, 0)]
+    start, hour = 1_700_000_000, 3600
+
+    def row(finding, kind, after, warn=0, due=0, shift=0):
+        return finding, kind, start + after, (start + warn) * 1000, (start + due) * 1000, shift * 1000
+
+    first = [row(f, "clock", 1, hour, 2 * hour) for f in "abc"] + [row("b", "resume", 60, shift=100 * hour), row("c", "close", 90)]
+    later = [row("tick", "clock", 5400, 900 * hour, 999 * hour)]
+    last = [row("tick2", "clock", 9000, 900 * hour, 999 * hour)]
     frames = [spark.createDataFrame(p, schema).withColumn("event_time", F.timestamp_seconds("sec")).drop("sec") for p in (first, later, last)]
     out = feed(spark, frames, stateful.sla_monitor)
     assert sorted((r["finding_id"], r["alert"]) for r in out.collect()) == [("a", "breach"), ("a", "warning")]
