@@ -500,7 +500,7 @@ def _views(d) -> dict[str, str]:
     v["ai_usage"] = f"""
         SELECT conv_id, turn, CAST(conv_id % 25 AS BIGINT) AS organization_id, CASE role WHEN 'system' THEN NULL ELSE role END AS tool_name,
                CAST(length(text) AS BIGINT) AS input_tokens, CAST(length(text) % 97 AS BIGINT) AS output_tokens, length(text) / 1000e0 AS estimated_cost, (turn % 5 <> 3) AS success,
-               {pick('turn % 4', ['taint_engine_spec_inference', 'taint_engine_fp_filter', 'chat'], 'taint_engine_anthropic_fallback')} AS feature,
+               {pick('turn % 4', ['spec_inference', 'fp_filter', 'chat'], 'model_fallback')} AS feature,
                {d.add_hours(d.ts('2024-01-01 00:00:00'), 'conv_id % 700 + turn')} AS created_at
         FROM {{conversations}} t"""
     v["memories"] = f"""

@@ -119,9 +119,9 @@ def _(v):
 
 
 @query("agg31_monthly_spend", """
-    SELECT organization_id, round(sum(estimated_cost), 4) AS spend FROM ai_usage WHERE success AND feature IN ('taint_engine_spec_inference', 'taint_engine_fp_filter', 'taint_engine_anthropic_fallback') AND created_at >= TIMESTAMP '2024-01-01' GROUP BY 1""")
+    SELECT organization_id, round(sum(estimated_cost), 4) AS spend FROM ai_usage WHERE success AND feature IN ('spec_inference', 'fp_filter', 'model_fallback') AND created_at >= TIMESTAMP '2024-01-01' GROUP BY 1""")
 def _(v):
-    return usage.monthly_spend(v.ai_usage, now=events_now(), features=["taint_engine_spec_inference", "taint_engine_fp_filter", "taint_engine_anthropic_fallback"])
+    return usage.monthly_spend(v.ai_usage, now=events_now(), features=["spec_inference", "fp_filter", "model_fallback"])
 
 
 @query("agg35_delivery_stats", f"""

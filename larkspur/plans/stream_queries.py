@@ -144,13 +144,12 @@ def _(v):
     WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS s FROM events), i AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
     SELECT user_id, strftime(min(ts), {TS}) AS session_start, count(*) AS events FROM i GROUP BY user_id, k""")
 def _(v):
-    # sessions merge as rows arrive, so the long delay keeps all of them open until the data ends
-    out = st.session_activity(st.stream_table(v.spark, "events", v.sf_dir), user="user_id", time="ts")
-    folder = st.new_folder(v.spark, "sessions")
-    st.run_batches(out, folder, lambda rows, b: rows.write.mode("overwrite").parquet(f"{folder}/data/batch={b}"), mode="complete")
-    rows = v.spark.read.parquet(f"{folder}/data")
-    last = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(last, "batch").select("user_id", stamp("session_start"), "events")
+    def build(rows: DataFrame) -> DataFrame:
+        return st.session_activity(rows, user="user_id", time="ts")
+
+    source = st.stream_table(v.spark, "events", v.sf_dir)
+    out = st.run_to_end(build, source, st.new_folder(v.spark, "sessions"), time="ts", end="2999-01-01 00:00:00")
+    return out.filter(C("user_id").isNotNull()).select("user_id", stamp("session_start"), "events")
 
 
 @query("str14_late_events")

@@ -73,6 +73,22 @@ def watermarked(rows: DataFrame, time: str, delay: str) -> DataFrame:
     return rows.withColumn(time, C(time).cast("timestamp")).withWatermark(time, delay)
 
 
+def run_to_end(build: Callable[[DataFrame], DataFrame], source: DataFrame, folder: str, *, time: str, end: str) -> DataFrame:
+    """Append-mode run over all that is there, then one closing row in the far future that moves the watermark past
+    every open window.  Returns what was written; the caller drops the closing row's own window if it has one.
+    """
+    spark = source.sparkSession
+    kind = dict(source.dtypes)[time]
+    closing = spark.range(1).select(*[(F.lit(end).cast(kind) if f.name == time else F.lit(None).cast(f.dataType)).alias(f.name) for f in source.schema.fields])
+    closing.limit(0).write.mode("append").parquet(f"{folder}/closing")
+    for last in (False, True):
+        if last:
+            closing.write.mode("append").parquet(f"{folder}/closing")
+        out = build(source.unionByName(spark.readStream.schema(source.schema).parquet(f"{folder}/closing")))
+        run_append(out, folder)
+    return read_append(spark, folder, out.schema)
+
+
 def dedup_events(events: DataFrame, *, time: str = "created_at", delay: str = "1 hour") -> DataFrame:
     """One event per (organization, deduplication key) inside the delay; events without a key all pass."""
     keyed = watermarked(events.filter(C("dedup_key").isNotNull()), time, delay)
