@@ -43,6 +43,19 @@ def sla_clock(findings: DataFrame, events: DataFrame, projects: DataFrame, organ
     )
 
 
+def clock_alerts(findings: DataFrame, *, since: Column, until: Column) -> DataFrame:
+    """Warnings and breaches of running clocks that fell due in (since, until], each at its own instant.
+
+    Calling it with adjoining intervals announces every instant exactly once, without any state per finding; a finding
+    whose warning and deadline fall into one interval gets the breach only.
+    """
+    running = C("sla_status").isin("on_track", "warning")
+    due = lambda c: F.coalesce((C(c) > since) & (C(c) <= until), F.lit(False))
+    alert = F.when(due("sla_deadline_at"), "breach").when(due("sla_warning_at") & (C("sla_status") == "on_track") & (C("sla_deadline_at") > until), "warning")
+    at = F.when(C("alert") == "breach", C("sla_deadline_at")).otherwise(C("sla_warning_at"))
+    return findings.filter(running).withColumn("alert", alert).filter(C("alert").isNotNull()).withColumn("alert_at", at)
+
+
 def resume_shift(findings: DataFrame, *, pause_seconds: int) -> DataFrame:
     """Move the running clocks forward by the length of a pause."""
     moving = C("sla_status").isin("on_track", "warning") & C("sla_deadline_at").isNotNull()

@@ -119,6 +119,14 @@ def _(v):
     return out.select("finding_id", stamp("sla_deadline_at"), stamp("sla_warning_at"), "sla_status")
 
 
+@query("str10_clock_alerts", f"""
+    SELECT finding_id, CASE WHEN b THEN 'breach' ELSE 'warning' END AS alert, strftime(CASE WHEN b THEN sla_deadline_at ELSE sla_warning_at END, {TS}) AS alert_at
+    FROM (SELECT *, sla_deadline_at > TIMESTAMP '2001-06-01' AND sla_deadline_at <= TIMESTAMP '2001-07-01' AS b, sla_status = 'on_track' AND sla_warning_at > TIMESTAMP '2001-06-01' AND sla_warning_at <= TIMESTAMP '2001-07-01' AND sla_deadline_at > TIMESTAMP '2001-07-01' AS w FROM findings WHERE sla_status IN ('on_track', 'warning')) WHERE b OR w""")
+def _(v):
+    out = sla.clock_alerts(v.findings, since=instant("2001-06-01 00:00:00"), until=instant("2001-07-01 00:00:00"))
+    return out.select("finding_id", "alert", stamp("alert_at"))
+
+
 @query("str10_resume_shift", f"""
     SELECT finding_id, strftime(CASE WHEN sla_status IN ('on_track', 'warning') THEN sla_deadline_at + INTERVAL 5400 SECOND ELSE sla_deadline_at END, {TS}) AS sla_deadline_at FROM findings""")
 def _(v):

@@ -12,8 +12,8 @@ from larkspur.operators import policy
 from larkspur.operators.filters import active_run
 from larkspur.plans.common import stamp
 from larkspur.plans.registry import query
+from larkspur.session import new_folder
 from larkspur.sources import readers, writers
-from larkspur.streaming.events import new_folder
 
 C = F.col
 

@@ -12,6 +12,7 @@ from larkspur.plans import domain
 from larkspur.plans.common import events_now, stamp
 from larkspur.plans.domain import EVENTS_NOW
 from larkspur.plans.registry import query
+from larkspur.session import new_folder
 from larkspur.streaming import events as st
 from larkspur.streaming import stateful
 
@@ -28,13 +29,13 @@ def stream_view(v, view: str, base: str) -> DataFrame:
 
 
 def appended(v, stream: DataFrame, label: str) -> DataFrame:
-    folder = st.new_folder(v.spark, label)
+    folder = new_folder(v.spark, label)
     st.run_append(stream, folder)
     return st.read_append(v.spark, folder, stream.schema)
 
 
 def updated(v, stream: DataFrame, label: str, key: list[str]) -> DataFrame:
-    folder = st.new_folder(v.spark, label)
+    folder = new_folder(v.spark, label)
     st.run_updates(stream, folder)
     return st.latest_updates(v.spark, folder, key)
 
@@ -132,7 +133,7 @@ def _finding_stream(v, folder: str) -> DataFrame:
     WITH n AS (SELECT DISTINCT project_id, dependency_id, osv_id FROM findings WHERE extraction_run_id = '2001'), o AS (SELECT DISTINCT project_id, dependency_id, osv_id FROM findings WHERE extraction_run_id = '2000')
     SELECT CAST(0 AS BIGINT) AS batch, *, 'detected' AS event_type FROM o UNION ALL SELECT 1, *, 'detected' FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT 1, *, 'resolved' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)""")
 def _(v):
-    folder = st.new_folder(v.spark, "lifecycle")
+    folder = new_folder(v.spark, "lifecycle")
     key = ["project_id", "dependency_id", "osv_id"]
     for run in ("2000", "2001"):
         v.findings.filter(C("extraction_run_id") == run).select(key).write.mode("append").parquet(f"{folder}/input")
@@ -148,13 +149,13 @@ def _(v):
         return st.session_activity(rows, user="user_id", time="ts")
 
     source = st.stream_table(v.spark, "events", v.sf_dir)
-    out = st.run_to_end(build, source, st.new_folder(v.spark, "sessions"), time="ts", end="2999-01-01 00:00:00")
+    out = st.run_to_end(build, source, new_folder(v.spark, "sessions"), time="ts", end="2999-01-01 00:00:00")
     return out.filter(C("user_id").isNotNull()).select("user_id", stamp("session_start"), "events")
 
 
 @query("str14_late_events")
 def _(v):
-    folder = st.new_folder(v.spark, "late")
+    folder = new_folder(v.spark, "late")
     middle = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     # early rows that come after the others: those behind the watermark are dropped and counted
     parts = [v.events.filter(C("ts") >= middle), v.events.filter(C("ts") < middle)]
@@ -176,6 +177,6 @@ def _(v):
         mine = lambda df: df.join(touched, "project_id", "left_semi")
         return summaries.project_stats(mine(v.findings), mine(v.project_dependencies), mine(v.projects))
 
-    folder = st.new_folder(v.spark, "summary")
+    folder = new_folder(v.spark, "summary")
     st.summary_refresh(stream_view(v, "dast_findings", "events"), folder, compute)
     return st.latest_updates(v.spark, folder, ["project_id"]).select("project_id", "vuln_total")

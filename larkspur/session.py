@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,11 +42,23 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(path)
+        context.setCheckpointDir(path)  # remembered for the next call
     return path
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/larkspur/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to a table in the shared folder and go on from that table."""
+    path = new_folder(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and go on from the written data."""
+    """Checkpoint ``df`` in the shared folder; later steps do not depend on any executor that computed it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

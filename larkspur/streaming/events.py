@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from larkspur.operators import notify as rules_
 from larkspur.operators import runs
 from larkspur.schemas import TABLES
-from larkspur.session import shared_dir
+from larkspur.session import new_folder
 
 C = F.col
 
@@ -26,11 +25,6 @@ def stream_table(spark: SparkSession, name: str, folder: str) -> DataFrame:
     return reader.parquet(path) if is_folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    return f"{shared_dir(spark).rstrip('/')}/larkspur/{label}-{uuid.uuid4().hex}"
-
-
 def run_append(stream: DataFrame, folder: str) -> StreamingQuery:
     """Process what is there now and append to Parquet; exactly once, from the checkpoint."""
     query = (

@@ -106,9 +106,11 @@ class SlaMonitor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("clock", "warn_ms bigint, due_ms bigint, warned boolean, breached boolean")
 
-    def _plan(self) -> None:
+    def _drop_timers(self) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
+
+    def _plan(self) -> None:
         warn, due, warned, breached = self.state.get()
         if not warned:
             self.handle.registerTimer(warn)
@@ -116,20 +118,23 @@ class SlaMonitor(StatefulProcessor):
             self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = self.state.exists()
         for pdf in rows:
             for row in pdf.sort_values("event_time").itertuples(index=False):
-                if row.kind == "clock" and not self.state.exists():
+                if row.kind == "clock" and not known:
+                    known = True
                     self.state.update((int(row.warn_ms), int(row.due_ms), False, False))
-                elif row.kind == "resume" and self.state.exists():
+                    self._plan()
+                elif row.kind == "resume" and known:
                     warn, due, warned, breached = self.state.get()
                     shift = int(row.shift_ms)
+                    self._drop_timers()
                     self.state.update((warn + shift, due + shift, warned, breached))
-                elif row.kind == "close" and self.state.exists():
-                    for t in list(self.handle.listTimers()):
-                        self.handle.deleteTimer(t)
+                    self._plan()
+                elif row.kind == "close" and known:
+                    known = False
+                    self._drop_timers()
                     self.state.clear()
-        if self.state.exists():
-            self._plan()
         yield pd.DataFrame({"finding_id": [], "alert": []}).astype({"finding_id": "str", "alert": "str"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:

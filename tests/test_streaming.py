@@ -8,6 +8,7 @@ import time
 from pyspark.sql import functions as F
 
 from larkspur.operators import notify
+from larkspur.session import new_folder
 from larkspur.streaming import events as st
 from larkspur.streaming import stateful
 
@@ -16,7 +17,7 @@ C = F.col
 
 def feed(spark, parts, run):
     """Write each part to the input folder and run the stream on what is new."""
-    folder = st.new_folder(spark, "test")
+    folder = new_folder(spark, "test")
     for part in parts:
         part.write.mode("append").parquet(f"{folder}/input")
         stream = run(spark.readStream.schema(part.schema).parquet(f"{folder}/input"))
@@ -74,7 +75,7 @@ def test_sla_monitor_announces_once_and_honours_pauses(spark):
 
 def test_retry_until_given_up(spark):
     pending = spark.createDataFrame([(1, "pending"), (2, "pending")], "event_id long, status string")
-    folder = st.new_folder(spark, "retry")
+    folder = new_folder(spark, "retry")
     pending.write.parquet(f"{folder}/input")
     stream = stateful.retry_stuck(spark.readStream.schema(pending.schema).parquet(f"{folder}/input"), wait_minutes=0.01, max_attempts=2)
     query = stream.writeStream.format("parquet").option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(processingTime="300 milliseconds").start()
@@ -94,7 +95,7 @@ def test_late_rows_are_dropped_and_counted(spark):
     at = lambda seconds: F.timestamp_seconds(F.lit(seconds))
     new = spark.createDataFrame([(1,), (2,)], "event_id long").withColumn("ts", at(1_000_000))
     old = spark.createDataFrame([(3,)], "event_id long").withColumn("ts", at(10))
-    folder = st.new_folder(spark, "late")
+    folder = new_folder(spark, "late")
     dropped = []
     for part in (new, old):
         part.write.mode("append").parquet(f"{folder}/input")
