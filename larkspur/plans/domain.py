@@ -121,6 +121,10 @@ DEP_NAME = (
     " WHEN 2 THEN 'org.' || lower(replace({b}, '#', '')) || ':' || replace({n}, ' ', '-') || '-' || CAST({p} AS STRING)"
     " ELSE replace({n}, ' ', '-') || '-' || CAST({p} AS STRING) END)"
 )
+LINE_ID = (
+    "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)"
+    " || '-' || CAST(CAST(floor(l_extendedprice * 100) AS BIGINT) AS STRING)"
+)
 CVSS = "round(l_quantity / 5e0, 1)"
 SEVERITY = (
     "(CASE WHEN {c} >= 9.0 THEN 'critical' WHEN {c} >= 7.0 THEN 'high' WHEN {c} >= 4.0 THEN 'medium'"
@@ -239,7 +243,7 @@ def _views(d) -> dict[str, str]:
         JOIN {{part}} p ON p_partkey = g.dependency_id"""
 
     v["findings"] = f"""
-        SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS finding_id,
+        SELECT {LINE_ID} AS finding_id,
                l_suppkey AS project_id, CAST(l_suppkey AS STRING) || ':' || CAST(l_partkey AS STRING) AS project_dependency_id,
                l_partkey AS dependency_id,
                CASE WHEN l_partkey % 4 = 1 THEN 'GHSA-1-' || CAST(l_partkey AS STRING) ELSE {cve.format(p='l_partkey')} END AS osv_id,
@@ -264,7 +268,7 @@ def _views(d) -> dict[str, str]:
                CASE WHEN l_orderkey % 13 = 0 THEN l_shipdate END AS sla_breach_notified_at
         FROM {{lineitem}} l"""
     v["vdr_hits"] = f"""
-        SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS hit_id,
+        SELECT {LINE_ID} AS hit_id,
                l_suppkey AS project_id, {cve.format(p='l_partkey')} AS osv_id, {pick('l_partkey % 8', ECOSYSTEMS)} AS ecosystem,
                (CASE l_orderkey % 4 WHEN 0 THEN {DEP_NAME.format(p='p_partkey', n='p_name', b='p_brand')}
                      WHEN 1 THEN replace({DEP_NAME.format(p='p_partkey', n='p_name', b='p_brand')}, ':', '/')
@@ -315,7 +319,7 @@ def _views(d) -> dict[str, str]:
                CAST(floor(o_totalprice / 5500e0) AS BIGINT) AS depscore
         FROM {{orders}} o"""
     v["container_findings"] = f"""
-        SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS finding_id,
+        SELECT {LINE_ID} AS finding_id,
                l_suppkey AS project_id, CAST(year(l_shipdate) AS STRING) AS extraction_run_id,
                'registry/app' || CAST(l_partkey % 6 AS STRING) AS image_reference, 'Lib' || CAST(l_partkey % 40 AS STRING) AS os_package_name,
                {cve.format(p='l_partkey')} AS cve_id, CASE WHEN l_partkey % 2 = 0 THEN 'DSA-' || CAST(l_partkey AS STRING) END AS osv_id,
@@ -374,7 +378,7 @@ def _views(d) -> dict[str, str]:
                CASE WHEN p_size % 3 = 0 THEN 'high' END AS severity
         FROM {{part}} p"""
     v["flows"] = f"""
-        SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS flow_id,
+        SELECT {LINE_ID} AS flow_id,
                l_suppkey AS project_id, CAST(year(l_shipdate) AS STRING) AS extraction_run_id, l_partkey AS dependency_id,
                CASE WHEN l_orderkey % 3 = 0 THEN NULL WHEN l_orderkey % 3 = 1 THEN {cve.format(p='l_partkey')} ELSE {cve.format(p='(l_partkey + 1)')} END AS osv_id,
                {pick('l_orderkey % 4', ['taint_engine', 'semgrep_taint', 'atom'], 'taint_engine')} AS reachability_source,

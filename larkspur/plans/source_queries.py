@@ -32,7 +32,7 @@ def item(v):
 def sbom_docs(v) -> DataFrame:
     """One bill of materials per order line: the line is the root, its part the only other component."""
     ref = F.concat(F.lit("pkg:npm/"), F.regexp_replace("p_name", " ", "-"), F.lit("@v1."), C("l_linenumber").cast("string"), F.lit("."), C("l_partkey").cast("string"))
-    root = F.concat_ws("-", F.lit("order"), C("l_orderkey").cast("string"), C("l_linenumber").cast("string"), C("l_partkey").cast("string"), C("l_suppkey").cast("string"))
+    root = F.concat_ws("-", F.lit("order"), C("l_orderkey").cast("string"), C("l_linenumber").cast("string"), C("l_partkey").cast("string"), C("l_suppkey").cast("string"), F.floor(C("l_extendedprice") * 100).cast("string"))
     none = F.lit(None).cast("string")
     part = F.struct(ref.alias("bom-ref"), F.when(C("l_linenumber") % 2 == 0, F.regexp_replace("p_name", " ", "-")).alias("name"), none.alias("version"), ref.alias("purl"))
     app = F.struct(root.alias("bom-ref"), F.lit("app").alias("name"), F.lit("1").alias("version"), none.alias("purl"))
