@@ -5,10 +5,9 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from larkspur.plans.registry import ORACLES, QUERIES
 from tests.compare import differences, duck
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
 # decisions that depend on earlier decisions, or registry version grammars: checked in their own tests
 NO_SQL = {
     "scl3_registry_keys", "reachability_classify", "str3_rate_limit", "str3_rate_limit_stream", "str10_sla_monitor", "str11_balance_alerts", "str14_late_events",
