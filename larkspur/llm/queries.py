@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from larkspur.llm import exact_dedup, mixing
+from larkspur.llm import bpe, exact_dedup, mixing
 
-MODULES = (exact_dedup, mixing)
+MODULES = (exact_dedup, bpe, mixing)
 QUERIES = {name: fn for module in MODULES for name, fn in module.QUERY.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
