@@ -31,7 +31,7 @@ END = "</w>"
 REMEMBERED = 250_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: White space of the pattern that splits words; str.split() takes the same and those of the second pattern.
-_BLANKS = r"\t-\r \x85\xa0  -     　"
+_BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BLANK = re.compile(f"[{_BLANKS}]+")
 _ONLY_STR = re.compile("[\x1c-\x1f]")
 
