@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from larkspur.llm import bpe, exact_dedup, mixing, quality
+from larkspur.llm import bpe, exact_dedup, mixing, quality, substring_dedup
 
-MODULES = (exact_dedup, quality, bpe, mixing)
+MODULES = (exact_dedup, quality, bpe, mixing, substring_dedup)
 QUERIES = {name: fn for module in MODULES for name, fn in module.QUERY.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
