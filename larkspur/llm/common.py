@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,19 +103,20 @@ class Words:
         self.starts, self.ends = np.flatnonzero(start), np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, offsets)
 
+    @functools.cached_property
     def _sums(self) -> np.ndarray:
         pw, _ = powers(_BASE, len(self.buf) + 1)
         return sums_before(_BYTE_VALUES[self.buf] * pw[: len(self.buf)])
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        sums, (_, inv) = self._sums(), powers(_BASE, len(self.buf) + 1)
+        sums, (_, inv) = self._sums, powers(_BASE, len(self.buf) + 1)
         return mix64((sums[self.ends] - sums[self.starts]) * inv[self.starts])
 
     def prefix_hashes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the words longer than ``length`` bytes, and hashes of their first bytes."""
         which = np.flatnonzero(self.ends - self.starts > length)
-        sums, (_, inv) = self._sums(), powers(_BASE, len(self.buf) + 1)
+        sums, (_, inv) = self._sums, powers(_BASE, len(self.buf) + 1)
         at = self.starts[which]
         return which, mix64((sums[at + length] - sums[at]) * inv[at] + np.uint64(length))
 
