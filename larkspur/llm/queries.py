@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from larkspur.llm import bpe, exact_dedup, jaccard_join, lm_score, mixing, quality, substring_dedup, toxicity
+from larkspur.llm import bpe, exact_dedup, jaccard_join, line_dedup, lm_score, mixing, quality, substring_dedup, toxicity
 
-MODULES = (exact_dedup, quality, jaccard_join, toxicity, bpe, mixing, lm_score, substring_dedup)
+MODULES = (exact_dedup, quality, jaccard_join, toxicity, line_dedup, bpe, mixing, lm_score, substring_dedup)
 QUERIES = {name: fn for module in MODULES for name, fn in module.QUERY.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
