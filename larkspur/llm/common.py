@@ -194,6 +194,30 @@ class Packer:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "keys", "places", "texts", "counts"])
 
 
+def pack_places(bucket: np.ndarray, place: np.ndarray, text: np.ndarray) -> list[tuple[int, bytes, bytes, bytes]]:
+    """(bucket, places, texts, counts) rows of places without keys; entries of a text must be neighbours."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, place, text = bucket[order], place[order], text[order]
+    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+    rows = []
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        own = text[lo:hi]
+        at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        rows.append((int(bucket[lo]), _narrow(place[lo:hi]), own[at].tobytes(), _narrow(np.diff(at, append=hi - lo))))
+    return rows
+
+
+def unpack_places(places: Iterator[bytes], texts: Iterator[bytes], counts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, text) of all entries of some rows of ``pack_places``."""
+    place, text = [], []
+    for p, t, c in zip(places, texts, counts):
+        names = np.frombuffer(t, np.uint64)
+        each = _wide(c, len(names))
+        place.append(_wide(p, int(each.sum())))
+        text.append(np.repeat(names, each))
+    return np.concatenate(place), np.concatenate(text)
+
+
 def unpack(keys: Iterator[bytes], places: Iterator[bytes], texts: Iterator[bytes], counts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, place, text) of all entries of some packed rows."""
     key, place, text = [], [], []

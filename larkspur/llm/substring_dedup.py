@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import PACKED_SCHEMA, Packer, Words, input_tasks, mix64, partitions, rolling, sequence_names, text_blocks, unpack
+from larkspur.llm.common import PACKED_SCHEMA, Packer, Words, input_tasks, mix64, pack_places, partitions, rolling, sequence_names, text_blocks, unpack, unpack_places
 from larkspur.session import written
 
 WIDTH = 35
@@ -89,29 +89,40 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names.view(np.int64)), pa.array(np.diff(first)), pa.array(shas)], ["doc_id", "name", "n_words", "words_sha256"])
 
 
-def _repeated(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket's entries those whose key is at two places or more, as the places of each text.
+def _repeated(buckets: int):
+    """Of a bucket's entries those whose key is at two places or more, packed for the buckets of their texts.
 
     The bucket comes from another hash of the same words, so equal keys of a bucket agree in both.
     """
-    key, place, text = unpack(frame["keys"], frame["places"], frame["texts"], frame["counts"])
-    order = np.argsort(key, kind="stable")
-    key, place, text = key[order], place[order], text[order]
-    where = mix64(text + mix64(place.astype(np.uint64)))
-    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    twice = np.repeat(np.minimum.reduceat(where, edges) != np.maximum.reduceat(where, edges), np.diff(edges, append=len(key)))
-    place, text = place[twice], text[twice]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        key, place, text = unpack(frame["keys"], frame["places"], frame["texts"], frame["counts"])
+        order = np.argsort(key, kind="stable")
+        key, place, text = key[order], place[order], text[order]
+        where = mix64(text + mix64(place.astype(np.uint64)))
+        edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        twice = np.repeat(np.minimum.reduceat(where, edges) != np.maximum.reduceat(where, edges), np.diff(edges, append=len(key)))
+        place, text = place[twice], text[twice]
+        order = np.argsort(text, kind="stable")
+        place, text = place[order], text[order]
+        return pd.DataFrame(pack_places((mix64(text) % np.uint64(buckets)).astype(np.int64), place, text), columns=["bucket", "places", "texts", "counts"])
+
+    return run
+
+
+def _by_text(frame: pd.DataFrame) -> pd.DataFrame:
+    """A row for each text of a bucket with all its places, as many as words at most."""
+    place, text = unpack_places(frame["places"], frame["texts"], frame["counts"])
     order = np.lexsort((place, text))
     place, text = place[order], text[order]
-    if not len(text):
-        return pd.DataFrame({"name": np.empty(0, np.int64), "places": []})
     at = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
     return pd.DataFrame({"name": text[at].view(np.int64), "places": [p.astype(np.uint32).tobytes() for p in np.split(place, at[1:])]})
 
 
-def _places(found: DataFrame) -> DataFrame:
-    """One row per text: a text has as many places as words at most."""
-    return found.groupBy("name").agg(F.collect_list("places").alias("places"))
+def _repeated_places(packed: DataFrame, buckets: int) -> DataFrame:
+    """(name, places): the places of each text whose key is at another place too."""
+    found = packed.groupBy("bucket").applyInPandas(_repeated(buckets), "bucket long, places binary, texts binary, counts binary")
+    return found.groupBy("bucket").applyInPandas(_by_text, "name long, places binary")
 
 
 def _with_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -124,8 +135,8 @@ def _own(batches: Iterator[pa.RecordBatch]):
     """Texts with their places; rows that share a doc_id with the text meant are passed over."""
     for batch, lo, hi, buf, words, hashes, names, text_of in _blocks(batches, 1):
         wanted = batch.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        lists = batch.column(3)
-        own = {i: np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in lists[lo + i].as_py()])).astype(np.int64) for i in np.flatnonzero(wanted == names)}
+        places = batch.column(3)
+        own = {i: np.unique(np.frombuffer(places[lo + i].as_buffer(), np.uint32)).astype(np.int64) for i in np.flatnonzero(wanted == names)}
         yield batch, lo, buf, words, hashes, names, own
 
 
@@ -184,11 +195,11 @@ def repeated_passages(docs: DataFrame, width: int = WIDTH, rounds: int = ROUNDS)
     texts = written(rows.mapInArrow(_texts, TEXT_SCHEMA))
     distinct = texts.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
-    found = rows.mapInArrow(_seeds(buckets, width, rounds), PACKED_SCHEMA).groupBy("bucket").applyInPandas(_repeated, "name long, places binary")
-    seeded = written(_places(found).join(distinct, "name"))
-    found = _with_texts(rows, seeded).mapInArrow(_windows(buckets, width, rounds), PACKED_SCHEMA).groupBy("bucket").applyInPandas(_repeated, "name long, places binary")
+    seeds = _repeated_places(rows.mapInArrow(_seeds(buckets, width, rounds), PACKED_SCHEMA), buckets)
+    seeded = written(seeds.join(distinct, "name"))
+    windows = _repeated_places(_with_texts(rows, seeded).mapInArrow(_windows(buckets, width, rounds), PACKED_SCHEMA), buckets)
     once = seeded.where("copies = 1").select("name", "doc_id")
-    cut = _with_texts(rows, _places(found).join(once, "name")).mapInArrow(_spans(width), "name long, n_removed long, kept_sha256 string, removed array<array<long>>")
+    cut = _with_texts(rows, windows.join(once, "name")).mapInArrow(_spans(width), "name long, n_removed long, kept_sha256 string, removed array<array<long>>")
 
     several = distinct.where("copies > 1").select("name", F.lit(True).alias("several"))
     whole = F.coalesce(F.col("several"), F.lit(False)) & (F.col("n_words") >= width)
