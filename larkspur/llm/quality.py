@@ -11,6 +11,8 @@ cutoffs the strictest is used that rejects mostly documents labelled bad; withou
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,8 +36,8 @@ RULES = {
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
 
 
-def metrics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the counts of each whole text, all within a row.
+def metrics(docs: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """doc_id, lang, the columns to ``keep`` and the counts of each whole text, all within a row.
 
     Repeated windows are found by hashes of 1, 2, 4 and 8 words.  Only texts in which a hash comes twice are looked at
     again: their (hash, place) pairs are sorted and neighbours with equal hashes compared word by word.
@@ -47,14 +49,13 @@ def metrics(docs: DataFrame) -> DataFrame:
     covered = "aggregate(places, named_struct('n', 0L, 'end', 0), (s, p) -> named_struct('n', s.n + p + 8 - greatest(s.end, p), 'end', p + 8), s -> s.n)"
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     return (
-        docs.select(F.col("doc_id").cast("long"), "lang", text_or_empty().alias("text"))
+        docs.select(F.col("doc_id").cast("long"), "lang", text_or_empty().alias("text"), F.struct(*keep).alias("kept_columns") if keep else F.lit(None).alias("kept_columns"))
         .withColumn("words", words_of(F.col("text")))
         .withColumn("lines", lines)
         .withColumn("w1", F.expr(word)).withColumn("w2", F.expr(pair("w1", 1))).withColumn("w4", F.expr(pair("w2", 2))).withColumn("w8", F.expr(pair("w4", 4)))
         .withColumn("sorted", F.expr("if(size(array_distinct(w8)) < size(w8), array_sort(zip_with(w8, sequence(0, size(w8) - 1), (h, p) -> named_struct('h', h, 'p', p))), null)"))
         .withColumn("places", F.expr(f"if(sorted is null, null, {places})"))
-        .select(
-            "doc_id", "lang",
+        .select("doc_id", "lang", "kept_columns", F.explode(F.array(F.struct(  # exploded, so that later steps see columns and not formulas to repeat
             F.size("words").cast("long").alias("n_words"),
             F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
             F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -62,7 +63,8 @@ def metrics(docs: DataFrame) -> DataFrame:
             F.coalesce(F.expr(f"if(places is null, null, {covered})"), F.lit(0)).cast("long").alias("n_repeat_words"),
             F.size("lines").cast("long").alias("n_lines"),
             F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
-        )
+        ))).alias("m"))
+        .select("doc_id", "lang", *[F.col(f"kept_columns.{c}").alias(c) for c in keep], "m.*")
     )
 
 
@@ -135,15 +137,18 @@ def judge(measured: DataFrame, chosen: DataFrame) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """Per document: doc_id, lang, its counts, base_failed, rejected_by, kept.
+def quality_rules(docs: DataFrame, labels: DataFrame, keep: Sequence[str] = (), **settings) -> DataFrame:
+    """Per document: doc_id, lang, the columns to ``keep``, its counts, base_failed, rejected_by, kept.
+
+    Columns to keep go with the counts in one more pass over the texts, so that no text is stored or shuffled.
 
     A null or empty text has no words and fails the base rules.  A null lang is a stratum of its own.  Repeated rows
     are judged one by one; a null doc_id has no label.  Without labels, or with too few for a certificate, only the base
     rules reject.  Other columns are ignored; an empty table gives no rows.
     """
     measured = written(metrics(docs))
-    return judge(measured, written(cutoffs(measured, labels, **settings)))
+    chosen = written(cutoffs(measured, labels, **settings))
+    return judge(metrics(docs, keep) if keep else measured, chosen)
 
 
 def _query(spark, sf_dir):
