@@ -97,7 +97,7 @@ def binomial_tail(k: str, n: str, p: float) -> str:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, min_bad: float = MIN_BAD) -> DataFrame:
-    """(lang, rule, used): how many cutoffs of a rule hold in a stratum; a document beyond as many is rejected.
+    """(lang, rule, used): of how many of a rule's cutoffs a document of a stratum may not be beyond.
 
     A document is good if all its labels are 1 and bad if all are 0; null labels count as none.
     """
@@ -109,7 +109,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
         .agg(F.sum((F.col("good") == 1).cast("long")).alias("good"), F.sum((F.col("good") == 0).cast("long")).alias("bad"))
     )
     sizes = F.create_map(*[x for r in RULES for x in (F.lit(r), F.lit(len(RULES[r][2])))])
-    # at cutoff c a document is rejected that is beyond c or more of them
+    # "cutoff" c rejects a document that is beyond c or more of them: the largest c is the most lenient
     tested = (
         counts.groupBy("lang", "rule").agg(F.collect_list(F.struct("beyond", "good", "bad")).alias("found"), F.sum("good").alias("n"))
         .withColumn("strata", F.size(F.collect_set(F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))).over(W.partitionBy(F.lit(1)))))
@@ -119,10 +119,10 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
         .withColumn("p", F.expr(binomial_tail("k", "n", risk / len(RULES))))
         .withColumn("holds", F.col("p") <= F.lit(delta) / (F.col("strata") * len(RULES)))
     )
-    in_order = W.partitionBy("lang", "rule").orderBy("cutoff")
+    in_order = W.partitionBy("lang", "rule").orderBy(F.col("cutoff").desc())
     certified = tested.withColumn("certified", F.min("holds").over(in_order)).where("certified")
     useful = certified.where((F.col("b") > 0) & (F.col("b") >= F.lit(min_bad) * (F.col("b") + F.col("k"))))
-    return useful.groupBy("lang", "rule").agg(F.max("cutoff").alias("used"))
+    return useful.groupBy("lang", "rule").agg(F.min("cutoff").alias("used"))
 
 
 def judge(measured: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -183,8 +183,8 @@ c AS (SELECT lang, rule, cutoffs, beyond, sum((good = 1)::INT) AS good, sum((goo
 s AS (SELECT c.lang, c.rule, cutoff, any_value(n) AS n, any_value(strata) AS strata, sum(CASE WHEN beyond >= cutoff THEN good ELSE 0 END)::BIGINT AS k, sum(CASE WHEN beyond >= cutoff THEN bad ELSE 0 END)::BIGINT AS bad
       FROM (SELECT *, unnest(range(1, cutoffs + 1)) AS cutoff, sum(good) OVER (PARTITION BY lang, rule) AS n, (SELECT count(*) FROM (SELECT DISTINCT lang FROM c)) AS strata FROM c) c GROUP BY ALL),
 h AS (SELECT *, (CASE WHEN k > n * {p!r} THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p!r}) + (n - i) * ln(1 - {p!r})))) END) <= {level} AS holds FROM s),
-o AS (SELECT *, bool_and(holds) OVER (PARTITION BY lang, rule ORDER BY cutoff) AS certified FROM h),
-u AS (SELECT lang, rule, max(cutoff) AS used FROM o WHERE certified AND bad > 0 AND bad >= {MIN_BAD} * (bad + k) GROUP BY ALL),
+o AS (SELECT *, bool_and(holds) OVER (PARTITION BY lang, rule ORDER BY cutoff DESC) AS certified FROM h),
+u AS (SELECT lang, rule, min(cutoff) AS used FROM o WHERE certified AND bad > 0 AND bad >= {MIN_BAD} * (bad + k) GROUP BY ALL),
 bad AS (SELECT DISTINCT row FROM ru JOIN u ON ru.lang IS NOT DISTINCT FROM u.lang AND ru.rule = u.rule WHERE beyond >= used)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.row IS NULL AS kept
 FROM m JOIN b USING (row) LEFT JOIN bad USING (row)
