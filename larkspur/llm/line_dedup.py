@@ -18,6 +18,7 @@ from larkspur.llm.common import partitions, text_or_empty
 from larkspur.session import written
 
 MIN_LINES = 2
+ADDED = ("n_lines", "n_removed", "longest_run")
 
 
 def _running(rows: DataFrame, keys: list[str], amount: str, name: str) -> DataFrame:
@@ -113,7 +114,8 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
 
     Lines without a word are no part of runs and stay.  Lines are equal if all their characters are.  Of equal runs the
     first in the corpus stays: the smallest doc_id, those without an id last.  A null text stays null.  Of rows that
-    repeat both id and text one is the first, the others are copies of it.  An empty table gives no rows.
+    repeat both id and text one is the first, the others are copies of it.  Columns named as the three new ones are
+    replaced.  An empty table gives no rows.
     """
     texts = written(texts_in_order(docs))
     lines = written(line_sequence(docs, texts))
@@ -122,19 +124,19 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     covered = runs.select("start", F.explode(F.expr("sequence(p, p + length - 1)")).alias("p")).distinct()
     gone = covered.join(lines.select("start", "p", "line"), ["start", "p"]).groupBy("start").agg(F.collect_list("line").alias("_gone"))  # a text's lines at most
     longest = runs.groupBy("start").agg(F.max("length").alias("_longest"))
-    per_text = texts.join(gone, "start", "left").join(longest, "start", "left").select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("n").alias("_n"), "copies", "_gone", "_longest")
+    per_text = texts.join(gone, "start", "left").join(longest, "start", "left").select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("n").alias("_n"), F.col("copies").alias("_copies"), "_gone", "_longest")
     t1, t2 = _name(text_or_empty())
     keyed = docs.withColumn("_k1", t1).withColumn("_k2", t2)
     joined = keyed.join(per_text, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_k1") == F.col("_t1")) & (F.col("_k2") == F.col("_t2")))
-    single = joined.where("copies = 1").withColumn("_nth", F.lit(1))
-    several = joined.where("copies > 1").withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_k1", "_k2").orderBy(F.lit(1))))
+    single = joined.where("_copies = 1").withColumn("_nth", F.lit(1))
+    several = joined.where("_copies > 1").withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_k1", "_k2").orderBy(F.lit(1))))
     kept = "array_join(transform(array_except(sequence(0, size(_all) - 1), coalesce(_gone, cast(array() as array<int>))), i -> _all[i]), '\\n')"
     blank = "array_join(filter(_all, l -> not l rlike '[^\\\\x20\\\\x09-\\\\x0D]'), '\\n')"
     whole = (F.col("_nth") > 1) & (F.col("_n") >= min_lines)
     return (
         single.unionByName(several).withColumn("_all", F.split("text", "\n", -1))
         .withColumn("text", F.when(whole, F.expr(blank)).when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr(kept)))
-        .select(*docs.columns, F.col("_n").alias("n_lines"), F.when(whole, F.col("_n")).otherwise(F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).alias("n_removed"),
+        .select(*[c for c in docs.columns if c not in ADDED], F.col("_n").alias("n_lines"), F.when(whole, F.col("_n")).otherwise(F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).alias("n_removed"),
                 F.when(whole, F.col("_n")).otherwise(F.coalesce("_longest", F.lit(0)).cast("long")).alias("longest_run"))
     )
 

@@ -153,14 +153,15 @@ def _few(plan: DataFrame, most: int = 10_000) -> bool:
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The documents of the mix with all their columns, and ``shard`` and ``place``: as many rows as whole copies are
-    taken, where the cut copy counts as a whole one if at least half of it is taken."""
+    taken, where the cut copy counts as a whole one if at least half of it is taken.  Columns of these two names are
+    replaced."""
     key = lambda size: F.struct("doc_id", "source", F.col(size).alias("size"))
     nth = lambda order: F.row_number().over(W.partitionBy("_key").orderBy(order))
     plan = mix(docs, **settings).select(key("size").alias("_key"), F.expr("filter(parts, p -> 2 * p.taken >= size)").alias("_parts"))
     plan = plan.withColumn("_nth", nth("_parts")).where(F.size("_parts") > 0)
     keyed = docs.withColumn("_size", n_words_of(text_or_empty())).withColumn("_key", key("_size"))
     joined = keyed.withColumn("_nth", nth("text")).join(plan, ["_key", "_nth"])
-    return joined.withColumn("_part", F.explode("_parts")).select(*[docs[c] for c in docs.columns], F.col("_part.shard").alias("shard"), F.col("_part.place").alias("place"))
+    return joined.withColumn("_part", F.explode("_parts")).select(*[c for c in docs.columns if c not in ("shard", "place")], F.col("_part.shard").alias("shard"), F.col("_part.place").alias("place"))
 
 
 def _query(spark, sf_dir):
