@@ -37,7 +37,8 @@ def js_round(x: Column) -> Column:
 
 
 def capped(x: Column) -> Column:
-    return F.least(F.lit(100), js_round(x)).cast("long")
+    """At most 100; a null score stays null (least and greatest skip nulls)."""
+    return F.when(x.isNotNull(), F.least(F.lit(100), js_round(x))).cast("long")
 
 
 def lookup(table: dict, key: Column, default=None) -> Column:
@@ -46,12 +47,14 @@ def lookup(table: dict, key: Column, default=None) -> Column:
 
 
 def importance_weight(importance: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.5), F.least(F.lit(2.0), importance)), F.lit(1.0))
+    """Importance between 0.5 and 2; 1 if there is none."""
+    return F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.coalesce(importance, F.lit(1.0))))
 
 
 def _base(cvss: Column, epss: Column, kev: Column, importance: Column) -> Column:
-    c = F.greatest(F.lit(0.0), F.least(F.lit(10.0), cvss))
-    e = F.greatest(F.lit(0.0), F.least(F.lit(1.0), epss))
+    """A null CVSS or EPSS counts as 0, the least that is known of it."""
+    c = F.greatest(F.lit(0.0), F.least(F.lit(10.0), F.coalesce(cvss, F.lit(0.0))))
+    e = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(epss, F.lit(0.0))))
     threat = F.when(kev, F.lit(1.2)).otherwise(F.lit(0.6) + F.lit(0.6) * F.sqrt(e))
     return c * 10.0 * threat * importance_weight(importance)
 

@@ -115,30 +115,31 @@ def _sla_scope(findings: DataFrame, projects: DataFrame, organizations: DataFram
     return findings.join(owners, "project_id")
 
 
-def sla_approaching(findings: DataFrame, projects: DataFrame, organizations: DataFrame, *, now: Column, limit: int = 200) -> DataFrame:
-    """Findings inside their warning window that nobody was told about, nearest deadline first."""
+def _nearest(rows: DataFrame, per_organization: int | None) -> DataFrame:
+    """All rows, or so many of each organization by deadline."""
+    if per_organization is None:
+        return rows
+    return row_number_at_most(rows, ["organization_id"], [F.col("sla_deadline_at"), F.col("finding_id")], per_organization)
+
+
+def sla_approaching(findings: DataFrame, projects: DataFrame, organizations: DataFrame, *, now: Column, per_organization: int | None = None) -> DataFrame:
+    """Findings inside their warning window that nobody was told about, all of them or the nearest deadlines of each organization."""
     due = findings.filter(
         (F.col("sla_status") == "on_track") & F.col("sla_warning_notified_at").isNull()
         & (F.col("sla_warning_at") <= now) & (F.col("sla_deadline_at") > now)
     )
     hours = F.timestamp_diff("SECOND", now, F.col("sla_deadline_at")) / 3600
-    return (
-        _sla_scope(due, projects, organizations).withColumn("hours_remaining", F.round(hours, 4))
-        .orderBy("sla_deadline_at", "finding_id").limit(limit)
-    )
+    return _nearest(_sla_scope(due, projects, organizations).withColumn("hours_remaining", F.round(hours, 4)), per_organization)
 
 
-def sla_newly_breached(findings: DataFrame, projects: DataFrame, organizations: DataFrame, *, now: Column, limit: int = 200) -> DataFrame:
-    """Findings past their deadline whose breach was not announced yet, oldest deadline first."""
+def sla_newly_breached(findings: DataFrame, projects: DataFrame, organizations: DataFrame, *, now: Column, per_organization: int | None = None) -> DataFrame:
+    """Findings past their deadline whose breach was not announced yet, all of them or the oldest deadlines of each organization."""
     late = findings.filter(
         F.col("sla_status").isin("on_track", "warning") & F.col("sla_breach_notified_at").isNull()
         & (F.col("sla_deadline_at") < now)
     )
     hours = F.timestamp_diff("SECOND", F.col("sla_deadline_at"), now) / 3600
-    return (
-        _sla_scope(late, projects, organizations).withColumn("hours_overdue", F.round(hours, 4))
-        .orderBy("sla_deadline_at", "finding_id").limit(limit)
-    )
+    return _nearest(_sla_scope(late, projects, organizations).withColumn("hours_overdue", F.round(hours, 4)), per_organization)
 
 
 def stable_versions(versions: DataFrame) -> DataFrame:

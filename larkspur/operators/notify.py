@@ -83,17 +83,18 @@ def rate_limit(events: DataFrame, *, scope: str, time: str, tie: str, limit: int
     Only allowed events count, so the decision is sequential.  Scopes are first cut at idle windows: across an empty
     window-length bucket nothing carries over, and each piece is its own unit of work.  Pieces of at most ``limit``
     events need no decision at all.  The others are sorted by Spark and streamed through Python, which keeps at most
-    ``limit`` times.
+    ``limit`` times.  Events without a scope are one scope.
     """
     micros = window_seconds * 1_000_000
     at = F.unix_micros(C(time).cast("timestamp"))
-    rows = events.withColumn("_t", at).withColumn("_bucket", F.floor(C("_t") / micros))
-    w = Window.partitionBy(scope).orderBy("_bucket")
-    busy = rows.groupBy(scope, "_bucket").agg(F.count("*").alias("_n"))
+    # one value that is never null stands for the scope, so that events without a scope share one limit
+    rows = events.withColumn("_t", at).withColumn("_bucket", F.floor(C("_t") / micros)).withColumn("_scope", F.struct(scope))
+    w = Window.partitionBy("_scope").orderBy("_bucket")
+    busy = rows.groupBy("_scope", "_bucket").agg(F.count("*").alias("_n"))
     jump = F.coalesce(C("_bucket") - F.lag("_bucket").over(w) > 1, F.lit(False)).cast("int")
     pieces = busy.withColumn("_jump", jump).withColumn("_piece", F.sum("_jump").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    sizes = pieces.groupBy(scope, "_piece").agg(F.sum("_n").alias("_size"))
-    placed = rows.join(pieces.select(scope, "_bucket", "_piece"), [scope, "_bucket"]).join(sizes, [scope, "_piece"])
+    sizes = pieces.groupBy("_scope", "_piece").agg(F.sum("_n").alias("_size"))
+    placed = rows.join(pieces.select("_scope", "_bucket", "_piece"), ["_scope", "_bucket"]).join(sizes, ["_scope", "_piece"])
     calm = placed.filter(C("_size") <= limit).select(*events.columns, F.lit(True).alias("allowed"))
     crowded = placed.filter(C("_size") > limit).select(*events.columns, "_piece", "_t")
     ordered = crowded.repartition(scope, "_piece").sortWithinPartitions(scope, "_piece", "_t", tie)
@@ -103,7 +104,8 @@ def rate_limit(events: DataFrame, *, scope: str, time: str, tie: str, limit: int
         current, recent = None, deque()
         for batch in batches:
             allowed = []
-            for unit, part in batch.groupby([scope, "_piece"], sort=False):
+            for unit, part in batch.groupby([scope, "_piece"], sort=False, dropna=False):
+                unit = tuple(None if pd.isna(x) else x for x in unit)
                 if unit != current:
                     current, recent = unit, deque()
                 allowed += accept_in_order(part["_t"].to_numpy(), limit, micros, recent)

@@ -357,8 +357,7 @@ def _(v):
 @query("flt12_sla_approaching", f"""
     SELECT finding_id, p.organization_id, strftime(sla_deadline_at, {TS}) AS sla_deadline_at, round(date_diff('second', TIMESTAMP '{FINDINGS_NOW}', sla_deadline_at) / 3600.0, 4) AS hours_remaining
     FROM findings f JOIN projects p USING (project_id) JOIN organizations o ON o.organization_id = p.organization_id
-    WHERE sla_status = 'on_track' AND o.sla_paused_at IS NULL AND sla_warning_at <= TIMESTAMP '{FINDINGS_NOW}' AND sla_deadline_at > TIMESTAMP '{FINDINGS_NOW}'
-    ORDER BY f.sla_deadline_at, finding_id LIMIT 200""")
+    WHERE sla_status = 'on_track' AND o.sla_paused_at IS NULL AND sla_warning_at <= TIMESTAMP '{FINDINGS_NOW}' AND sla_deadline_at > TIMESTAMP '{FINDINGS_NOW}'""")
 def _(v):
     out = filters.sla_approaching(v.findings, v.projects, v.organizations, now=findings_now())
     return out.select("finding_id", "organization_id", stamp("sla_deadline_at"), "hours_remaining")
@@ -367,8 +366,7 @@ def _(v):
 @query("flt12_sla_newly_breached", f"""
     SELECT finding_id, p.organization_id, strftime(sla_deadline_at, {TS}) AS sla_deadline_at, round(date_diff('second', sla_deadline_at, TIMESTAMP '{FINDINGS_NOW}') / 3600.0, 4) AS hours_overdue
     FROM findings f JOIN projects p USING (project_id) JOIN organizations o ON o.organization_id = p.organization_id
-    WHERE sla_status IN ('on_track', 'warning') AND sla_breach_notified_at IS NULL AND o.sla_paused_at IS NULL AND sla_deadline_at < TIMESTAMP '{FINDINGS_NOW}'
-    ORDER BY f.sla_deadline_at, finding_id LIMIT 200""")
+    WHERE sla_status IN ('on_track', 'warning') AND sla_breach_notified_at IS NULL AND o.sla_paused_at IS NULL AND sla_deadline_at < TIMESTAMP '{FINDINGS_NOW}'""")
 def _(v):
     out = filters.sla_newly_breached(v.findings, v.projects, v.organizations, now=findings_now())
     return out.select("finding_id", "organization_id", stamp("sla_deadline_at"), "hours_overdue")

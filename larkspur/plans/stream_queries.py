@@ -159,12 +159,14 @@ def _(v):
     middle = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     # early rows that come after the others: those behind the watermark are dropped and counted
     parts = [v.events.filter(C("ts") >= middle), v.events.filter(C("ts") < middle)]
-    dropped = 0
+    dropped, counter = 0, st.LateRows()
+    v.spark.streams.addListener(counter)
     for part in parts:
         part.write.mode("append").parquet(f"{folder}/input")
         rows = v.spark.readStream.schema(v.events.schema).parquet(f"{folder}/input")
         stream = st.watermarked(rows, "ts", "3 days").dropDuplicatesWithinWatermark(["event_id"])
-        dropped += st.late_rows(st.run_append(stream, folder))
+        dropped += counter.of(st.run_append(stream, folder))
+    v.spark.streams.removeListener(counter)
     kept = st.read_append(v.spark, folder, stream.schema)
     return kept.groupBy("event_type").agg(F.count("*").alias("kept")).withColumn("dropped_in_total", F.lit(dropped))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time as time_
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from larkspur.operators import notify as rules_
 from larkspur.operators import runs
@@ -127,14 +128,43 @@ def session_activity(events: DataFrame, *, user: str, time: str, gap: str = "30
     return out.select(user, C("session_window.start").alias("session_start"), C("session_window.end").alias("session_end"), "events")
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that the watermark dropped over the whole query."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Counts the rows that watermarks dropped, per query, over all its micro-batches.
+
+    A query itself remembers its last 100 micro-batches only.  Add it to ``spark.streams`` before the query starts.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        key = str(event.progress.id)
+        self.dropped[key] = self.dropped.get(key, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.id))
+
+    def of(self, query: StreamingQuery, wait_seconds: float = 30) -> int:
+        """Rows dropped by an ended query, once its last event has come."""
+        deadline = time_.monotonic() + wait_seconds
+        while query.id not in self.ended and time_.monotonic() < deadline:
+            time_.sleep(0.05)
+        return self.dropped.get(query.id, 0)
 
 
 def finding_lifecycle(spark: SparkSession, snapshots: DataFrame, folder: str, key: list[str]) -> StreamingQuery:
     """Detected and resolved events out of successive snapshots; each micro-batch holds whole projects.
 
+    A project whose run found nothing comes as one row with its project_id and nulls in the rest of the key: its stored
+    findings are resolved.
+
     A batch is compared with the stored snapshot of the batch before it, for the projects it holds; both the events
     and the new snapshot go to folders named by the batch, so a repeated batch writes the same again.
     """
@@ -143,9 +173,10 @@ def finding_lifecycle(spark: SparkSession, snapshots: DataFrame, folder: str, ke
     def on_batch(rows: DataFrame, batch_id: int) -> None:
         from pyspark.sql.types import StructType
 
-        now = rows.select(key).distinct()
+        rest = [c for c in key if c != "project_id"]
+        now = rows.select(key).dropna("all", subset=rest).distinct()
         before = spark.createDataFrame([], StructType(columns)) if batch_id == 0 else spark.read.schema(StructType(columns)).parquet(f"{folder}/snapshot/batch={batch_id - 1}")
-        touched = now.select("project_id").distinct()
+        touched = rows.select("project_id").distinct()
         runs.advisory_delta(now, before.join(touched, "project_id", "left_semi"), key).write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
         now.unionByName(before.join(touched, "project_id", "left_anti")).write.mode("overwrite").parquet(f"{folder}/snapshot/batch={batch_id}")
 

@@ -76,12 +76,12 @@ class BalanceAlerts(StatefulProcessor):
                 out.append((int(tx), "rejected", balance))
                 continue
             balance = after
-            if balance >= self.low:
+            if int(amount) > 0:  # every credit makes room for new alerts and raises none
                 low_sent = zero_sent = False
             elif balance <= 0 and not zero_sent:
-                zero_sent = low_sent = True
+                zero_sent = True
                 out.append((int(tx), "zero", balance))
-            elif not low_sent:
+            elif 0 < balance <= self.low and not low_sent:
                 low_sent = True
                 out.append((int(tx), "low", balance))
         self.state.update((balance, low_sent, zero_sent))

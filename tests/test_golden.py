@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import labels, packages, scores, text, versions
-from larkspur.operators import evidence, graph, matching, policy, runs, summaries
+from larkspur.operators import evidence, filters, graph, matching, policy, runs, summaries
 
 C = F.col
 
@@ -35,6 +35,31 @@ def test_depscore_numbers(spark):
     assert score("module", rep=20) == 68
 
 
+def test_unknown_inputs_never_score_as_the_maximum(spark):
+    def base(cvss, epss, importance):
+        return one(spark, scores.base_depscore(lit(cvss, "double"), lit(epss, "double"), lit(False), lit(importance, "double"), lit(True), lit(False), lit(False), lit(None, "long")))
+
+    assert one(spark, scores.importance_weight(lit(None, "double"))) == 1.0
+    assert base(10.0, None, 1.0) == base(10.0, 0.0, 1.0) == 60
+    assert base(None, 0.0, 1.0) == 0 and base(10.0, 0.0, None) == 60
+    assert one(spark, scores.secret_depscore(lit("AWS"), lit(True), lit(True), lit(None, "double"))) == 90
+    assert one(spark, scores.capped(lit(None, "double"))) is None
+
+
+def test_deadline_lists_are_whole_or_limited_per_organization(spark):
+    import datetime
+
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    rows = [(i, i % 2, "on_track", None, None, day(0), day(20 + i)) for i in range(300)]
+    findings = spark.createDataFrame(rows, "finding_id long, project_id long, sla_status string, sla_warning_notified_at timestamp, sla_breach_notified_at timestamp, sla_warning_at timestamp, sla_deadline_at timestamp")
+    projects = spark.createDataFrame([(0, 10), (1, 11)], "project_id long, organization_id long")
+    organizations = spark.createDataFrame([(10, None), (11, None)], "organization_id long, sla_paused_at timestamp")
+    assert filters.sla_approaching(findings, projects, organizations, now=F.lit(day(10))).count() == 300
+    assert filters.sla_newly_breached(findings, projects, organizations, now=F.lit(day(900))).count() == 300
+    few = filters.sla_approaching(findings, projects, organizations, now=F.lit(day(10)), per_organization=2).collect()
+    assert sorted(r["finding_id"] for r in few) == [0, 1, 2, 3]
+
+
 def test_cvss_vectors(spark):
     assert one(spark, scores.cvss3_score(lit("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H"))) == 9.8
     assert one(spark, scores.cvss3_score(lit("CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H"))) == 10.0

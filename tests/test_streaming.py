@@ -58,6 +58,31 @@ def test_balance_alerts_once_per_crossing(spark):
     assert got == [(2, "low", 400), (4, "rejected", 300), (5, "zero", 0), (200, "low", 400)]
 
 
+def test_balance_alerts_at_the_mark_and_after_each_credit(spark):
+    rows = [(1, "topup", 1000), (2, "usage_deduction", -500), (3, "usage_deduction", -100), (4, "topup", 50), (5, "usage_deduction", -20)]
+    df = spark.createDataFrame([(7, i, k, a) for i, k, a in rows], "organization_id long, transaction_id long, kind string, amount_cents long").withColumn("created_at", F.timestamp_seconds("transaction_id"))
+    out = feed(spark, [df], lambda s: stateful.balance_alerts(s, low_cents=500))
+    assert [(r["transaction_id"], r["alert"], r["balance"]) for r in out.orderBy("transaction_id").collect()] == [(2, "low", 500), (5, "low", 430)]
+
+
+def test_an_emptied_project_is_resolved(spark):
+    folder, key = new_folder(spark, "cycle"), ["project_id", "finding"]
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d")], "project_id long, finding string")
+    second = spark.createDataFrame([(1, "a"), (2, None)], first.schema)
+    for part in (first, second):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/input")
+        st.finding_lifecycle(spark, spark.readStream.schema(first.schema).parquet(f"{folder}/input"), folder, key).awaitTermination()
+    events = spark.read.parquet(f"{folder}/events/batch=1").collect()
+    assert sorted((r["project_id"], r["finding"]) for r in events) == [(2, "b"), (2, "c")]
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{folder}/snapshot/batch=1").select(key).collect()) == [(1, "a"), (3, "d")]
+
+
+def test_events_without_a_scope_share_one_limit(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else 5, 10 * i) for i in range(20)], "event_id long, scope long, sec long").withColumn("created_at", F.timestamp_seconds("sec"))
+    out = notify.rate_limit(df, scope="scope", time="created_at", tie="event_id", limit=3, window_seconds=1000).collect()
+    assert len(out) == 20 and sorted(r["event_id"] for r in out if r["allowed"]) == [0, 1, 2, 3, 4, 5]
+
+
 def test_sla_monitor_announces_once_and_honours_pauses(spark):
     schema = "finding_id string, kind string, sec long, warn_ms long, due_ms long, shift_ms long"
     start, hour = 1_700_000_000, 3600
@@ -100,5 +125,8 @@ def test_late_rows_are_dropped_and_counted(spark):
     for part in (new, old):
         part.write.mode("append").parquet(f"{folder}/input")
         stream = st.watermarked(spark.readStream.schema(part.schema).parquet(f"{folder}/input"), "ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
-        dropped.append(st.late_rows(st.run_append(stream, folder)))
+        counter = st.LateRows()
+        spark.streams.addListener(counter)
+        dropped.append(counter.of(st.run_append(stream, folder)))
+        spark.streams.removeListener(counter)
     assert dropped == [0, 1] and st.read_append(spark, folder, stream.schema).count() == 2
