@@ -89,6 +89,31 @@ def carry_malicious(new: DataFrame, old: DataFrame) -> DataFrame:
     return carry_status(new, old.filter(C("status") == "ignored"), ["finding_key"], ["status"], ["created_at", "finding_id"])
 
 
+TRIAGE = ("status", "suppressed", "suppressed_by", "suppressed_at", "risk_accepted", "risk_accepted_by", "risk_accepted_at", "risk_accepted_reason")
+
+
+def carry_secret(new: DataFrame, old: DataFrame, *, value: str = "redacted_value") -> DataFrame:
+    """Secret status: same detector, file and redacted value (no value matches no value)."""
+    return carry_status(new, old, ["detector_type", "file_path", value], ["status"], ["finding_id"], null_safe=(value,))
+
+
+def carry_iac(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Infrastructure findings: triage state of the same scanner's finding with the same fingerprint."""
+    return carry_status(new, old, ["scanner", "fingerprint"], [c for c in TRIAGE if c in new.columns], ["finding_id"])
+
+
+def carry_container(new: DataFrame, old: DataFrame) -> DataFrame:
+    """Container findings: triage state of the finding with the same fingerprint."""
+    return carry_status(new, old, ["fingerprint"], [c for c in TRIAGE if c in new.columns], ["finding_id"])
+
+
+def finalize_families(families: dict[str, DataFrame], projects: DataFrame) -> dict[str, DataFrame]:
+    """Active rows of the families besides vulnerabilities (``sast``, ``secret``, ``iac``, ``container``, ``malicious``) with the
+    state that each project's previous run carries forward."""
+    carry = {"sast": carry_sast, "secret": carry_secret, "iac": carry_iac, "container": carry_container, "malicious": carry_malicious}
+    return {name: carry[name](active_run(rows, projects), active_run(rows, projects, "previous")) for name, rows in families.items()}
+
+
 def carry_forward_dast(new: DataFrame, old: DataFrame) -> DataFrame:
     """Runtime findings: same handler, or (both unresolved) same URL and method; only non-open old rows count."""
     triaged = old.filter(C("status") != "open")

@@ -49,6 +49,35 @@ def _(v):
     return runs.carry_malicious(m.filter(C("extraction_run_id") == "2001"), m.filter(C("extraction_run_id") == "2000")).select("finding_id", "status")
 
 
+def _carried_sql(table: str, same: str, columns: list[str]) -> str:
+    """Rows of the active run with the columns of the last matching row of the previous one."""
+    side = lambda run: f"SELECT s.* FROM {table} s JOIN projects p ON p.project_id = s.project_id AND p.{run}_extraction_run_id = s.extraction_run_id"
+    chosen = ", ".join(f"CASE WHEN c.finding_id IS NULL THEN n.{x} ELSE c.{x} END AS {x}" for x in columns)
+    return f"""
+    WITH n AS ({side("active")}), o AS ({side("previous")}),
+    c AS (SELECT n.finding_id, {", ".join("o." + x for x in columns)} FROM n JOIN o ON o.project_id = n.project_id AND {same} QUALIFY row_number() OVER (PARTITION BY n.finding_id ORDER BY o.finding_id DESC) = 1)
+    SELECT n.finding_id, {chosen} FROM n LEFT JOIN c USING (finding_id)"""
+
+
+def _active_and_previous(v, rows):
+    return active_run(rows, v.projects), active_run(rows, v.projects, "previous")
+
+
+@query("jn14_carry_secret", _carried_sql("secret_findings", "o.detector_type = n.detector_type AND o.file_path = n.file_path AND o.raw_value IS NOT DISTINCT FROM n.raw_value", ["status"]))
+def _(v):
+    return runs.carry_secret(*_active_and_previous(v, v.secret_findings), value="raw_value").select("finding_id", "status")
+
+
+@query("jn14_carry_iac", _carried_sql("iac_findings", "o.scanner = n.scanner AND o.fingerprint = n.fingerprint", ["status", "suppressed", "risk_accepted"]))
+def _(v):
+    return runs.carry_iac(*_active_and_previous(v, v.iac_findings)).select("finding_id", "status", "suppressed", "risk_accepted")
+
+
+@query("jn14_carry_container", _carried_sql("container_findings", "o.fingerprint = n.fingerprint", ["status", "suppressed", "risk_accepted"]))
+def _(v):
+    return runs.finalize_families({"container": v.container_findings}, v.projects)["container"].select("finding_id", "status", "suppressed", "risk_accepted")
+
+
 @query("jn15_unmatched", f"""
     WITH {ACTIVE}, {PREVIOUS} SELECT finding_id FROM cur WHERE NOT EXISTS (SELECT 1 FROM prev o WHERE o.project_id = cur.project_id AND o.dep_name = cur.dep_name AND o.osv_id = cur.osv_id)""")
 def _(v):
