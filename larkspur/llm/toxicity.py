@@ -108,9 +108,10 @@ def fit(features: list[np.ndarray], changed: list[np.ndarray | None], toxic: np.
     m = len(chosen)
     w, b, mean, square = np.zeros(m + 1), 0.0, np.zeros(m + 1), np.zeros(m + 1)
     w[m] = np.log(positive / (n - positive))
+    heavier = np.where(toxic > 0, np.sqrt(max(n - positive, 1) / positive), 1.0)  # half way to equal classes
     for step in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-(np.bincount(row, w[col], n) + w[m])))
-        error = (p - toxic) / n
+        error = heavier * (p - toxic) / n
         gradient = np.append(np.bincount(col, error[row], m) + ridge * w[:m], error.sum())
         if k:
             change = penalty * (np.bincount(row_a, w[col_a], k) - np.bincount(row_b, w[col_b], k)) / n
