@@ -56,6 +56,18 @@ def contains_match(texts: DataFrame, needles: DataFrame, key: list[str]) -> Data
     return have.join(pairs, "text").join(wanted, [*key, "needle"]).select(*key, "text", "needle")
 
 
+def boundary_match(texts: DataFrame, needles: DataFrame, key: list[str]) -> DataFrame:
+    """Distinct (key, text, needle) where the lower-case text has the needle with no letter or digit next to it.
+
+    At such a place the needle's first run of letters and digits is a whole token of the text, so an equi join on the
+    key and that token misses nothing; needles without letters and digits match nothing.
+    """
+    wanted = needles.select(*key, "needle").distinct().withColumn("_token", F.regexp_extract("needle", "[a-z0-9]+", 0)).filter(C("_token") != "")
+    have = texts.select(*key, "text").distinct().withColumn("_token", F.explode(F.array_distinct(F.split("text", "[^a-z0-9]+"))))
+    bounded = F.concat(F.lit(r"(?<![a-z0-9])\Q"), C("needle"), F.lit(r"\E(?![a-z0-9])"))
+    return have.join(wanted, [*key, "_token"]).filter(F.contains(C("text"), C("needle")) & F.regexp_like(C("text"), bounded)).select(*key, "text", "needle")
+
+
 def name_variants(name: Column) -> Column:
     """Spellings under which code may mention a package: name, dotted name, first part, import names, without ``py``."""
     lower = F.lower(F.coalesce(name, F.lit("")))
@@ -133,7 +145,7 @@ def symbol_match(findings: DataFrame, sinks: DataFrame, usages: DataFrame) -> Da
 def usage_strength(usages: DataFrame, deps: DataFrame) -> DataFrame:
     """Per package row that call sites mention: does any site prove more than a common call name?
 
-    A site is strong when its bare method is distinctive, or when the receiver carries a distinctive spelling of the
+    A mention has no letter or digit next to it.  A site is strong when its bare method is distinctive, or when the receiver carries a distinctive spelling of the
     package (four letters or more, not a common call name).
     """
     lower = F.lower(C("name"))
@@ -145,7 +157,7 @@ def usage_strength(usages: DataFrame, deps: DataFrame) -> DataFrame:
     rows = usages.select("project_id", F.lower("target_type").alias("t"), F.lower("resolved_method").alias("m"), distinct_call.alias("strong"))
     sites = rows.select("project_id", "strong", F.explode(F.array(F.struct(C("t").alias("text"), F.lit(True).alias("receiver")), F.struct(C("m").alias("text"), F.lit(False).alias("receiver")))).alias("x"))
     sites = sites.select("project_id", "x.text", "x.receiver", "strong").filter(C("text").isNotNull()).groupBy("project_id", "text").agg(F.bool_or("receiver").alias("receiver"), F.bool_or("strong").alias("strong"))
-    found = contains_match(sites, variants, ["project_id"]).join(sites, ["project_id", "text"])
+    found = boundary_match(sites, variants, ["project_id"]).join(sites, ["project_id", "text"])
     good = C("strong") | (C("receiver") & (F.length("needle") >= 4) & ~C("needle").isin(COMMON_CALLS))
     per_needle = found.groupBy("project_id", "needle").agg(F.bool_or(good).alias("g"))
     return per_needle.join(variants, ["project_id", "needle"]).groupBy("project_dependency_id").agg(F.bool_or("g").alias("usage_strong")).withColumn("usage_seen", F.lit(True))

@@ -35,6 +35,13 @@ def test_depscore_numbers(spark):
     assert score("module", rep=20) == 68
 
 
+def test_packages_are_mentioned_on_token_boundaries(spark):
+    usages = spark.createDataFrame([(1, "MyDecoder", "com.acme.redistribute"), (2, "redis.Client", "redis.Client.fetch_all"), (2, "x", "@scope/code.run_it")], "project_id long, target_type string, resolved_method string")
+    deps = spark.createDataFrame([(p, f"{p}:{n}", n) for p in (1, 2) for n in ("redis", "code", "@scope/code", "--")], "project_id long, project_dependency_id string, name string")
+    got = {r["project_dependency_id"]: r["usage_strong"] for r in evidence.usage_strength(usages, deps).collect()}
+    assert got == {"2:redis": True, "2:code": True, "2:@scope/code": True}
+
+
 def test_unknown_inputs_never_score_as_the_maximum(spark):
     def base(cvss, epss, importance):
         return one(spark, scores.base_depscore(lit(cvss, "double"), lit(epss, "double"), lit(False), lit(importance, "double"), lit(True), lit(False), lit(False), lit(None, "long")))
