@@ -155,9 +155,8 @@ def drop_single_node_flows(flows: DataFrame, key: str = "flow_signature_hash", o
     """
     long = flows.filter(F.col("flow_length") > 1)
     keyed = long.filter(F.col(key).isNotNull())
-    rest = [c for c in flows.columns if c not in ("project_id", key)]
-    first = keyed.groupBy("project_id", key).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_r"))
-    return first.select("project_id", key, "_r.*").select(flows.columns).unionByName(long.filter(F.col(key).isNull()))
+    first = row_number_at_most(keyed.filter(F.col(order).isNotNull()), ["project_id", key], [F.col(order)], 1)
+    return first.unionByName(long.filter(F.col(key).isNull()))
 
 
 def fresh_cache(cache: DataFrame, expected_hash: Column, *, scanner_version: str, now: Column, ttl_days: int = 7) -> DataFrame:

@@ -6,16 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import labels, packages, versions
+from larkspur.operators.filters import row_number_at_most
 
 C = F.col
 
 
 def prefer_prod_scope(deps: DataFrame, key: list[str], row_id: str) -> DataFrame:
     """One row per key: a non-dev row wins, then the lowest id."""
-    rest = [c for c in deps.columns if c not in key]
-    order = F.struct(F.coalesce(C("environment") == "dev", F.lit(False)).alias("dev"), C(row_id).alias("id"))
-    best = deps.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r"))
-    return best.select(*key, "_r.*").select(deps.columns)
+    return row_number_at_most(deps, key, [F.coalesce(C("environment") == "dev", F.lit(False)), C(row_id)], 1)
 
 
 def attach_advisories(hits: DataFrame, deps: DataFrame) -> DataFrame:
@@ -176,9 +174,8 @@ def kev_epss_lookup(findings: DataFrame) -> DataFrame:
 
 def latest_snapshot(snapshots: DataFrame, key: list[str], time: str, tie: str) -> DataFrame:
     """Most recent row per key; a tie on time goes to the larger tie-break value."""
-    rest = [c for c in snapshots.columns if c not in key]
-    best = snapshots.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(time, tie)).alias("_r"))
-    return best.select(*key, "_r.*")
+    best = row_number_at_most(snapshots, key, [C(time).desc(), C(tie).desc()], 1)
+    return best.select(*key, *[c for c in snapshots.columns if c not in key])
 
 
 def as_of_baseline(packages_df: DataFrame, snapshots: DataFrame, *, now: Column, lag_days: int = 30) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators.filters import active_run, run_pointers
+from larkspur.operators.filters import active_run, row_number_at_most, run_pointers
 
 C = F.col
 
@@ -16,11 +16,8 @@ STATE = [
 
 
 def dedup(rows: DataFrame, key: list[str], order: list[str], *, keep: str = "last") -> DataFrame:
-    """One row per key: the last or first in the given order, reduced before the shuffle."""
-    rest = [c for c in rows.columns if c not in key]
-    pick = F.max_by if keep == "last" else F.min_by
-    best = rows.groupBy(*key).agg(pick(F.struct(*rest), F.struct(*order)).alias("_r"))
-    return best.select(*key, "_r.*").select(rows.columns)
+    """One row per key: the last or first in the given order, cut per input partition before the shuffle."""
+    return row_number_at_most(rows, key, [C(c).desc() if keep == "last" else C(c).asc() for c in order], 1)
 
 
 def _named(findings: DataFrame, deps: DataFrame) -> DataFrame:

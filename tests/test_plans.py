@@ -35,6 +35,12 @@ def test_top_k_is_limited_before_the_shuffle(spark, sf_dir):
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
+@pytest.mark.parametrize("name", ["jn2_prefer_prod_scope", "jn18_latest_snapshot", "agg22_dedup_last", "flt14_drop_single_node_flows"])
+def test_first_rows_need_no_sorted_aggregate(spark, sf_dir, name):
+    text = plan(entry.queries()[name](spark, sf_dir))
+    assert "SortAggregate" not in text and "WindowGroupLimit" in text
+
+
 def test_summaries_reduce_before_they_shuffle(spark, sf_dir):
     text = plan(entry.queries()["agg4_project_stats"](spark, sf_dir))
     assert "partial_count" in text or "partial_sum" in text
