@@ -163,11 +163,12 @@ def _wide(data: bytes, n: int) -> np.ndarray:
 class Packer:
     """Gathers (bucket, key, place in a text, text) and gives them out as one row per bucket.
 
-    A row holds thousands of entries as bytes, so that a shuffle moves 10 bytes an entry and no row objects.
+    A row holds thousands of entries as bytes, so that a shuffle moves 10 bytes an entry and no row objects, or less if
+    only the low ``key_bytes`` of the keys are sent.
     """
 
-    def __init__(self, buckets: int, limit: int = 2_000_000):
-        self.buckets, self.limit, self.parts, self.size = buckets, limit, [], 0
+    def __init__(self, buckets: int, key_bytes: int = 8, limit: int = 1_000_000):
+        self.buckets, self.key_bytes, self.limit, self.parts, self.size = buckets, key_bytes, limit, [], 0
 
     def add(self, bucket: np.ndarray, key: np.ndarray, place: np.ndarray, text: np.ndarray) -> Iterator[pa.RecordBatch]:
         """``text``: a 64-bit name of each entry's text, entries of a text being neighbours."""
@@ -188,7 +189,7 @@ class Packer:
         for lo, hi in zip(edges[:-1], edges[1:]):
             own = text[lo:hi]
             at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            for c, v in zip(cols, (int(bucket[lo]), key[lo:hi].tobytes(), _narrow(place[lo:hi]), own[at].tobytes(), _narrow(np.diff(at, append=hi - lo)))):
+            for c, v in zip(cols, (int(bucket[lo]), key[lo:hi].view(np.uint8).reshape(-1, 8)[:, : self.key_bytes].tobytes(), _narrow(place[lo:hi]), own[at].tobytes(), _narrow(np.diff(at, append=hi - lo)))):
                 c.append(v)
         kinds = (pa.int64(), *[pa.binary()] * 4)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["bucket", "keys", "places", "texts", "counts"])
@@ -218,13 +219,15 @@ def unpack_places(places: Iterator[bytes], texts: Iterator[bytes], counts: Itera
     return np.concatenate(place), np.concatenate(text)
 
 
-def unpack(keys: Iterator[bytes], places: Iterator[bytes], texts: Iterator[bytes], counts: Iterator[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unpack(keys: Iterator[bytes], places: Iterator[bytes], texts: Iterator[bytes], counts: Iterator[bytes], key_bytes: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, place, text) of all entries of some packed rows."""
     key, place, text = [], [], []
     for k, p, t, c in zip(keys, places, texts, counts):
-        n = len(k) // 8
+        n = len(k) // key_bytes
         names = np.frombuffer(t, np.uint64)
-        key.append(np.frombuffer(k, np.uint64))
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, :key_bytes] = np.frombuffer(k, np.uint8).reshape(n, key_bytes)
+        key.append(whole.view(np.uint64).reshape(-1))
         place.append(_wide(p, n))
         text.append(np.repeat(names, _wide(c, len(names))))
     return np.concatenate(key), np.concatenate(place), np.concatenate(text)

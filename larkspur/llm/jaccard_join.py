@@ -3,11 +3,11 @@
 A document is its set of word shingles.  Each shingle flips one bit of a long bit sketch, cut into blocks; two documents
 whose sets differ in d shingles differ in at most d bits, so in at most d blocks.  Documents of 2^j to 2^(j+1) shingles
 (and those below that can still reach a partner there) form a size band with one number of blocks.  Similarity at least
-t bounds d by D = (1 - t) / (1 + t) * (sum of the sizes).  A document gives out its first D + 1 blocks that are not
-empty, D for its largest possible partner: of the blocks that the shorter of two such lists spans at most D differ, so a
-linked pair has one in common.  The sketch is sparse and only its set bits are ever held; a block travels as a
-fingerprint of its bits.  Folded to as many bits as there are shingles, the sketch still bounds d from below, which
-drops candidates before their sets are compared.
+t bounds d by D = (1 - t) / (1 + t) * (sum of the sizes), so of a document's R blocks that are not empty a linked partner
+has R - D or more.  Blocks meet by their contents; a document of which too few blocks are met by any other can have no
+link and leaves.  The sketch is sparse and only its set bits are ever held; a block travels as a fingerprint of its bits.
+Folded to as many bits as there are shingles, the sketch still bounds d from below, which drops pairs before their sets
+are compared.
 
 Links join documents to components.  Documents that share a block are first compared with one of them only (a star);
 where that leaves several components within a block's documents, pairs across components are compared, nearest folded
@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import PACKED_SCHEMA, Packer, Words, input_tasks, mix64, partitions, rolling, sequence_names, sums_before, text_blocks, unpack
@@ -31,9 +32,13 @@ from larkspur.session import written
 SHINGLE = 5
 PERCENT = 75
 TILE = 2048
-TEXT_SCHEMA = "doc_id long, node long, n_shingles long"
-GROUP_SCHEMA = "key long, nodes array<long>"
-SET_SCHEMA = "node long, n long, shingles binary, folded binary"
+TEXT_SCHEMA = "doc_id long, node long, n_shingles long, folded binary"
+GROUP_SCHEMA = "key long, keys long, nodes array<long>, needs array<long>"
+#: Bytes of a key that travel beside its bucket; keys that only then look equal are told apart by the sets.
+KEY_BYTES = 5
+SET_SCHEMA = "node long, shingles binary"
+#: Ids up to which those wanted are sent to every task instead of shuffling the texts.
+FEW_IDS = 200_000
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -65,18 +70,23 @@ def _shingles(batches: Iterator[pa.RecordBatch], width: int = SHINGLE):
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, lo, hi, _, _, first, nodes in _shingles(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(nodes.view(np.int64)), pa.array(np.diff(first))], ["doc_id", "node", "n_shingles"])
+    for batch, lo, hi, grams, _, first, nodes in _shingles(batches):
+        folded = [fold(grams[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(nodes.view(np.int64)), pa.array(np.diff(first)), pa.array(folded, pa.binary())], ["doc_id", "node", "n_shingles", "folded"])
 
 
 def n_blocks(band: np.ndarray) -> np.ndarray:
-    """Blocks of a band's sketches: enough that the not empty ones nearly always exceed the difference allowed."""
+    """Blocks of a band's sketches: enough that those not empty nearly always exceed the difference allowed."""
     low = np.int64(1) << band
-    return np.where(low <= 16, 8 * low, np.where(low < 128, 2 * low, 3 * low // 4))
+    return np.where(low <= 16, 8 * low, np.where(low < 128, 2 * low, low))
 
 
-def block_keys(grams: np.ndarray, text: np.ndarray, sizes: np.ndarray, band: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(key, text) of the blocks that the texts give out in a band each; ``text`` indexes ``sizes`` and ``band``."""
+def block_keys(grams: np.ndarray, text: np.ndarray, sizes: np.ndarray, band: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, need) of the blocks of the texts in a band each; ``text`` indexes ``sizes`` and ``band``.
+
+    ``need`` is how many blocks a text shares with any linked partner at least.  Texts for which that says nothing have a
+    key more, by which they meet each other, and need one.
+    """
     blocks = n_blocks(band)[text]
     scrambled = mix64(grams ^ np.uint64(0x5851F42D4C957F2D))
     block = (scrambled % blocks.astype(np.uint64)).astype(np.int64)
@@ -85,13 +95,14 @@ def block_keys(grams: np.ndarray, text: np.ndarray, sizes: np.ndarray, band: np.
     edges = np.flatnonzero(np.concatenate([[True], (at_text[1:] != at_text[:-1]) | (at_block[1:] != at_block[:-1])])) if len(order) else np.empty(0, np.int64)
     content = np.bitwise_xor.reduceat(mix64(scrambled[order]), edges) if len(edges) else np.empty(0, np.uint64)
     own, block = at_text[edges], at_block[edges]
-    rank = np.arange(len(own)) - np.searchsorted(own, own)
     largest = np.minimum(100 * sizes // percent, (np.int64(2) << band) - 1)
-    need = most_different(sizes, largest, percent) + 1
-    out = rank < need[own]
+    need = np.bincount(own, minlength=len(sizes)) - most_different(sizes, largest, percent)
     key = mix64(content + mix64((block << 8).astype(np.uint64) + band[own].astype(np.uint64)))
-    scarce = np.flatnonzero((np.bincount(own, minlength=len(sizes)) < need) & (sizes > 0))  # these also meet each other
-    return np.concatenate([key[out], mix64(band[scarce].astype(np.uint64))]), np.concatenate([own[out], scarce])
+    scarce = np.flatnonzero((need < 1) & (sizes > 0))
+    need = np.maximum(need, 1)
+    key, own = np.concatenate([key, mix64(band[scarce].astype(np.uint64))]), np.concatenate([own, scarce])
+    order = np.argsort(own, kind="stable")
+    return key[order], own[order], need[own[order]]
 
 
 def bands_of(sizes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -105,52 +116,86 @@ def bands_of(sizes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.nda
 
 def _keys(buckets: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, seen = Packer(buckets), set()
+        packer, seen = Packer(buckets, KEY_BYTES), set()
         for _, _, _, grams, text, first, nodes in _shingles(batches):
             sizes = np.diff(first)
             for i, node in enumerate(nodes.tolist()):
                 if node in seen:
                     sizes[i] = 0  # an equal set has given its blocks
                 seen.add(node)
-            for texts, band in bands_of(sizes, percent):
+            for upper, (texts, band) in enumerate(bands_of(sizes, percent)):
                 index = np.full(len(sizes), -1)
                 index[texts] = np.arange(len(texts))
                 use = index[text] >= 0
-                key, own = block_keys(grams[use], index[text[use]], sizes[texts], band, percent)
-                yield from packer.add(mix64(key) % np.uint64(buckets), key, np.zeros(len(key), np.int64), nodes[texts[own]])
+                key, own, need = block_keys(grams[use], index[text[use]], sizes[texts], band, percent)
+                yield from packer.add(mix64(key) % np.uint64(buckets), key, 2 * need + upper, nodes[texts[own]])
         yield from packer.flush()
 
     return run
 
 
 def _groups(frame: pd.DataFrame) -> pd.DataFrame:
-    """Nodes that share a key, in sorted lists of at most TILE; equal lists once."""
-    key, _, node = unpack(frame["keys"], frame["places"], frame["texts"], frame["counts"])
+    """Nodes that share a key, in sorted lists of at most TILE; equal lists once, with the number of keys they stand for.
+
+    A list entry tells the band in its lowest bit and the blocks needed above it.
+    """
+    key, place, node = unpack(frame["keys"], frame["places"], frame["texts"], frame["counts"], KEY_BYTES)
     order = np.lexsort((node, key))
-    key, node = key[order], node[order]
+    key, place, node = key[order], place[order], node[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node = key[new], node[new]
+    key, place, node = key[new], place[new], node[new]
     edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     ends = np.append(edges[1:], len(key))
     shared = np.flatnonzero(ends - edges > 1)
-    sums = sums_before(mix64(node))
+    sums = sums_before(mix64(node + mix64(place.astype(np.uint64))))
     names = mix64((sums[ends[shared]] - sums[edges[shared]]) + (ends - edges)[shared].astype(np.uint64))
-    _, once = np.unique(names, return_index=True)
-    rows = [(int(names[i : i + 1].view(np.int64)[0]), node[lo : min(lo + TILE, ends[shared[i]])].view(np.int64)) for i in once for lo in range(edges[shared[i]], ends[shared[i]], TILE)]
-    return pd.DataFrame({"key": [r[0] for r in rows], "nodes": [r[1] for r in rows]})
+    names, once, times = np.unique(names, return_index=True, return_counts=True)
+    rows = []
+    for name, i, n in zip(names.view(np.int64).tolist(), once, times.tolist()):
+        for lo in range(edges[shared[i]], ends[shared[i]], TILE):
+            hi = min(lo + TILE, ends[shared[i]])
+            rows.append((name, n, node[lo:hi].view(np.int64), place[lo:hi]))
+    return pd.DataFrame({"key": [r[0] for r in rows], "keys": [r[1] for r in rows], "nodes": [r[2] for r in rows], "needs": [r[3] for r in rows]})
+
+
+def supported(found: DataFrame) -> DataFrame:
+    """(key, tile, nodes): the groups that are enough to find every link.
+
+    Nodes that others meet in fewer blocks than a link needs leave.  Of a node's R blocks all but R - need differ from a
+    linked partner's at most, so with blocks in one order for all, rarest first, two linked nodes have one in common
+    among their first R - need + 1; the blocks that nobody else has come first and meet nobody.
+    """
+    entries = found.select("key", F.element_at("nodes", 1).alias("tile"), "keys", F.explode(F.arrays_zip("nodes", "needs")).alias("e"))
+    entries = written(entries.groupBy("key", "tile", F.col("e.nodes").alias("node"), F.col("e.needs").alias("place")).agg(F.sum("keys").alias("keys")))
+    met = entries.groupBy("node", "place").agg(F.sum("keys").alias("met")).withColumn("spare", F.col("met") - F.shiftright("place", 1)).where("spare >= 0")
+    left = entries.join(met.select("node", "place", "spare"), ["node", "place"])
+    sizes = left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    rarest = W.partitionBy("node", "place").orderBy("size", "key").rowsBetween(W.unboundedPreceding, -1)
+    first = left.join(sizes, "key").withColumn("before", F.coalesce(F.sum("keys").over(rarest), F.lit(0))).where("before <= spare")
+    groups = first.groupBy("key", "tile").agg(F.array_sort(F.collect_set("node")).alias("nodes"))  # TILE of them at most
+    several = groups.groupBy("key").agg(F.sum(F.size("nodes")).alias("_n")).where("_n > 1").select("key")
+    return groups.join(several, "key")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets and folded sketches of the texts whose node is the one wanted."""
+    """Sets of the texts whose node is the one wanted."""
     for batch, lo, hi, grams, text, first, nodes in _shingles(batches):
         wanted = batch.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64)
         rows = []
         for i in np.flatnonzero(wanted == nodes.view(np.int64)):
             own = grams[first[i] : first[i + 1]]
-            rows.append((int(wanted[i]), len(own), own.tobytes(), fold(own).tobytes()))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["node", "n", "shingles", "folded"])
+            rows.append((int(wanted[i]), own.tobytes()))
+        kinds = (pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["node", "shingles"])
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the nodes ``wanted`` (doc_id, node), from the texts."""
+    wanted = written(wanted.select(F.col("doc_id").alias("_id"), "node"))
+    if wanted.count() <= FEW_IDS:
+        wanted = F.broadcast(wanted)
+    return written(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "node").mapInArrow(_sets, SET_SCHEMA))
 
 
 def fold(grams: np.ndarray, bits: int | None = None) -> np.ndarray:
@@ -166,6 +211,23 @@ def halve(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
+def near_enough(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that sizes and folded sketches leave possible."""
+    side = lambda name: sketches.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("folded").alias(f"of_{name}"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mask = []
+            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(p), len(q))
+                mask.append(int(_BITS[halve(p, size) ^ halve(q, size)].sum(dtype=np.int64)) <= most_different(n, m, percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(mask, pa.bool_()))
+
+    sized = pairs.join(side("b"), "b").join(side("a"), "a").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return sized.select("a", "b", "n_a", "n_b", "of_a", "of_b").mapInArrow(keep, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b, linked): pairs of nodes with their sets compared whole."""
     one = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
@@ -199,48 +261,69 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _tiles(k: int, percent: int):
-    """Nearest candidates across components between two lists of nodes, up to ``k`` for a node."""
-
-    def unfold(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        return (*(np.array([r[c] for r in rows], np.int64) for c in ("node", "component", "n")), [np.frombuffer(r["folded"], np.uint8) for r in rows])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = {"a": [], "b": [], "more": []}
-            for left, right in zip(frame["left"], frame["right"]):
-                nodes, comps, sizes, sketches = unfold(left)
-                nodes2, comps2, sizes2, sketches2 = unfold(right)
-                shapes = {size: np.stack([halve(s, size) if len(s) >= size else np.zeros(size, np.uint8) for s in sketches2]) for size in {len(s) for s in sketches + sketches2}}
-                for i in range(len(nodes)):
-                    low, high = np.minimum(sizes[i], sizes2), np.maximum(sizes[i], sizes2)
-                    fits = (comps2 != comps[i]) & (100 * low >= percent * high)
-                    for size in {min(len(sketches[i]), len(s)) for s, f in zip(sketches2, fits) if f}:
-                        which = np.flatnonzero(fits & (np.array([min(len(sketches[i]), len(s)) for s in sketches2]) == size))
-                        apart = _BITS[shapes[size][which] ^ halve(sketches[i], size)].sum(axis=1, dtype=np.int64)
-                        near = apart <= most_different(sizes[i], sizes2[which], percent)
-                        order = np.argsort(apart[near], kind="stable")
-                        chosen = which[near][order][:k]
-                        out["a"] += np.minimum(nodes[i], nodes2[chosen]).tolist()
-                        out["b"] += np.maximum(nodes[i], nodes2[chosen]).tolist()
-                        out["more"] += [len(order) > k] * len(chosen)
-            yield pd.DataFrame(out).astype({"a": "int64", "b": "int64", "more": "bool"})
+def _candidates(k: int, percent: int):
+    """Nearest candidates across components within a list of nodes or between two, up to ``k`` for a node.
+
+    Columns: nodes, components, sizes and folded sketches of one list, or of two.  Lists of a batch that hold the same
+    nodes name the same pairs; those are compared once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index: dict[int, int] = {}
+            names, sketches, counts, pairs, waiting = [], [], [], [], 0
+            for row in range(batch.num_rows):
+                sides = []
+                for c in range(0, batch.num_columns, 4):
+                    nodes, comps, sizes = (batch.column(c + i)[row].values.to_numpy() for i in range(3))
+                    for node, n, folded in zip(nodes.tolist(), sizes.tolist(), batch.column(c + 3)[row].values):
+                        if node not in index:
+                            index[node] = len(names)
+                            names.append(node)
+                            counts.append(n)
+                            sketches.append(np.frombuffer(folded.as_buffer(), np.uint8))
+                    sides.append((np.array([index[n] for n in nodes.tolist()]), comps, sizes))
+                (own, comps, sizes), (own2, comps2, sizes2) = sides[0], sides[-1]
+                fits = (comps[:, None] != comps2[None, :]) & (100 * np.minimum.outer(sizes, sizes2) >= percent * np.maximum.outer(sizes, sizes2))
+                i, j = np.nonzero(fits)
+                pairs.append((np.minimum(own[i], own2[j]) << 32) + np.maximum(own[i], own2[j]))
+                waiting += len(i)
+                if waiting > 1_000_000:
+                    pairs, waiting = [np.unique(np.concatenate(pairs))], 0
+            near = []
+            for code in np.unique(np.concatenate(pairs)).tolist() if pairs else []:
+                x, y = code >> 32, code & 0xFFFFFFFF
+                p, q = sketches[x], sketches[y]
+                size = min(len(p), len(q))
+                apart = int(_BITS[halve(p, size) ^ halve(q, size)].sum(dtype=np.int64))
+                if apart <= most_different(counts[x], counts[y], percent):
+                    near.append((min(names[x], names[y]), apart, max(names[x], names[y])))
+            near.sort()
+            a, rank = np.array([r[0] for r in near], np.int64), np.arange(len(near))
+            rank -= np.searchsorted(a, a)
+            more = np.bincount(np.searchsorted(a, a), minlength=len(a))[np.searchsorted(a, a)] > k
+            use = rank < k
+            yield pa.RecordBatch.from_arrays([pa.array(a[use]), pa.array(np.array([r[2] for r in near], np.int64)[use]), pa.array(more[use])], ["a", "b", "more"])
 
     return run
 
 
-def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, more): candidate pairs across components in groups that hold several; ``more`` if a node has further ones."""
     members = groups.select("key", "tile", F.explode("nodes").alias("node")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    tiles = members.join(mixed, "key").join(sets.select("node", "n", "folded"), "node").groupBy("key", "tile").agg(F.collect_list(F.struct("node", "component", "n", "folded")).alias("rows"))
-    tiles = written(tiles)
-    left, right = tiles.select("key", F.col("tile").alias("t"), F.col("rows").alias("left")), tiles.select("key", "tile", F.col("rows").alias("right"))
-    found = left.join(right, "key").where("t <= tile").select("left", "right").mapInPandas(_tiles(k, percent), "a long, b long, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
-
-
-def near_copies(docs: DataFrame, percent: int = PERCENT, nearest: int = 8) -> DataFrame:
+    rows = members.join(mixed, "key").join(sketches.select("node", "n", "folded"), "node").groupBy("key", "tile").agg(F.array_sort(F.collect_list(F.struct("node", "component", "n", "folded"))).alias("rows"))
+    tiles = written(rows.select("key", "tile", *[F.col(f"rows.{c}").alias(c) for c in ("node", "component", "n", "folded")]))
+    schema, fields = "a long, b long, more boolean", ["node", "component", "n", "folded"]
+    near = F.element_at("node", 1)  # lists of the same nodes come to the same task
+    found = tiles.repartition(partitions(tiles.sparkSession), near).sortWithinPartitions(near).select(fields).mapInArrow(_candidates(k, percent), schema)
+    split = tiles.join(tiles.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "key")
+    left, right = split.select("key", F.col("tile").alias("t"), *[F.col(c).alias(f"l_{c}") for c in fields]), split.select("key", "tile", *fields)
+    between = left.join(right, "key").where("t < tile").select(*[f"l_{c}" for c in fields], *fields).mapInArrow(_candidates(k, percent), schema)
+    return found.union(between).groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def near_copies(docs: DataFrame, percent: int = PERCENT, nearest: int = 4) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, the smallest doc_id that links reach.
 
     A-Z is lowered.  A text with fewer words than a shingle is one shingle; one without words, empty or null, is linked
@@ -252,32 +335,35 @@ def near_copies(docs: DataFrame, percent: int = PERCENT, nearest: int = 8) -> Da
     buckets = max(partitions(spark), 2 * input_tasks(docs))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     texts = written(rows.mapInArrow(_texts, TEXT_SCHEMA))
-    distinct = texts.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sketches = written(texts.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("folded").alias("folded")))
 
     packed = rows.mapInArrow(_keys(buckets, percent), PACKED_SCHEMA)
     found = packed.groupBy("bucket").applyInPandas(_groups, GROUP_SCHEMA)
-    groups = written(found.groupBy("key", F.element_at("nodes", 1).alias("tile")).agg(F.first("nodes").alias("nodes")))
-    members = groups.select(F.explode("nodes").alias("node")).distinct()
-    wanted = members.join(distinct, "node").select(F.col("doc_id").alias("_id"), "node")
-    sets = written(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", "text", "node").mapInArrow(_sets, SET_SCHEMA).dropDuplicates(["node"]))
+    groups = written(supported(found))
 
-    centres = groups.groupBy("key").agg(F.min(F.element_at("nodes", 1)).alias("a"))
+    centres = groups.groupBy("key").agg(F.min(F.array_min("nodes")).alias("a"))
     star = groups.join(centres, "key").select("a", F.explode("nodes").alias("b")).where("a <> b").distinct()
-    compared = written(verified(star, sets, percent))
-    labels = components(compared.where("linked"))
-    k = nearest
+    star = written(near_enough(star, sketches, percent))
+    have = None
+    compared, labels, k, fresh, exhausted = None, None, nearest, star, False
     while True:
-        pairs = written(_across(groups, labels, sets, k, percent))
-        fresh = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti").select("a", "b")
-        done = written(verified(fresh, sets, percent))
-        if done.isEmpty():
-            if pairs.where("more").isEmpty():
+        nodes = fresh.select(F.col("a").alias("node")).union(fresh.select("b")).distinct()
+        nodes = nodes if have is None else nodes.join(have.select("node"), "node", "left_anti")
+        new = sets_of(rows, nodes.join(sketches.select("node", "doc_id"), "node"))
+        have = new if have is None else have.union(new)
+        done = written(verified(fresh, have, percent))
+        compared = done if compared is None else written(compared.union(done))
+        if labels is None or not done.where("linked").isEmpty():
+            labels = components(compared.where("linked"))
+        if exhausted:
+            break
+        while True:
+            pairs = written(_across(groups, labels, sketches, k, percent))
+            k *= 4
+            exhausted = pairs.where("more").isEmpty()  # then these are all pairs that could join components
+            fresh = written(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"))
+            if exhausted or not fresh.isEmpty():
                 break
-        else:
-            compared = written(compared.union(done))
-            if not done.where("linked").isEmpty():
-                labels = components(compared.where("linked"))
-        k *= 8
 
     joined = texts.join(labels, "node", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     smallest = joined.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
