@@ -28,12 +28,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; of rows that repeat it one."""
-    found = jaccard_join.near_copies(docs)
-    stays = written(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("_rows")))
-    kept = docs.join(stays.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = kept.where("_rows = 1 or doc_id is null").select(COLUMNS)
-    return once.unionByName(kept.where("_rows > 1 and doc_id is not null").select(COLUMNS).dropDuplicates(["doc_id"]))
+    """Of each group of near copies the row with the smallest id, nulls last; texts without words stay, once for each id."""
+    rows = written(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()))  # ids may repeat or be null
+    found = jaccard_join.near_copies(rows.select(F.col("_row").alias("doc_id"), "text")).withColumnsRenamed({"doc_id": "_row", "component_id": "_group"})
+    placed = found.join(rows.select("_row", "doc_id", F.xxhash64("text").alias("_name")), "_row")
+    own = F.when((F.col("n_shingles") == 0) & F.col("doc_id").isNotNull(), F.col("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_name", "_row"))
+    stays = placed.withColumn("_own", own).groupBy(F.when(own.isNull(), F.col("_group")).alias("_group"), "_own").agg(first.alias("_first"))
+    return rows.join(stays.select("_first._row"), "_row").select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from larkspur.llm import lm_score
 
 
@@ -38,3 +39,12 @@ def test_held_out_text_scores_better_than_its_shuffled_copy(spark):
 def test_weights_of_histories_add_up_to_one():
     weights = lm_score._proper(np.random.default_rng(3).random((lm_score.SEEN**2, 3)) + 0.1)
     assert np.allclose(weights.sum(axis=1), 1) and not weights[: lm_score.SEEN, 1].any() and not weights[:: lm_score.SEEN, 2].any()
+
+
+def test_near_copy_stage_keeps_one_row_of_each_group_whatever_its_id(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    rows = [(1, text["a"]), (1, text["b"]), (2, text["c"]), (3, text["c"] + " tail"), (3, text["d"]), (None, text["a"] + " tail"), (None, "alone with no id at all"), (None, "alone with no id at all"), (7, ""), (7, ""), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copy_stage(spark, docs, "").collect()]
+    want = [(1, text["a"]), (1, text["b"]), (2, text["c"]), (3, text["d"]), (None, "alone with no id at all"), (7, ""), (None, None), (None, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
