@@ -1,8 +1,10 @@
 """Licence scan: sparse TF-IDF cosine of lines to licence templates, then inheritance from the nearest directory.
 
-Texts are looked at line by line.  A vector has the terms of the templates (without stop words) that a line holds,
+Texts are looked at line by line, and in windows of up to ``MAX_LINES`` lines that follow each other, lines without a
+letter or digit (blank ones, bare comment marks) not counted, as notices may be wrapped.  A vector has the terms of the templates (without stop words) that a line holds,
 weighted by how few documents have the term; a line without any has no vector.  A document's licence is that of the
-template nearest to one of its lines, if near enough.  A directory's licence file is the licensed document with the
+template nearest to one of its lines or windows, if near enough; a window must also hold half of the template's terms.
+A directory's licence file is the licensed document with the
 smallest id directly in it; documents without a licence of their own take that of the nearest directory above them
 that has one.
 """
@@ -16,6 +18,7 @@ from larkspur.llm.common import text_or_empty
 from larkspur.session import written
 
 MIN_COSINE = 0.6
+MAX_LINES = 8  # the longest template has 5 lines at 40 columns, 8 at 24
 
 # fixed values: (licence, header or one-line notice)
 TEMPLATES = (
@@ -60,11 +63,26 @@ def _term_pattern(words: list[str]) -> str:
 
 
 def candidate_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_name, line, terms): every line that holds a term of the templates, and those terms with repeats."""
+    """(doc_id, text_name, line, place, terms): every line that holds a term of the templates, and those terms with repeats.
+
+    ``place`` counts the lines that have a letter or digit.
+    """
     pattern = _term_pattern(vocabulary())
-    lines = F.filter(F.transform(F.split("text", "\n", -1), lambda l, i: F.struct(i.alias("line"), F.regexp_extract_all(l, F.lit(pattern), F.lit(0)).alias("found"))), lambda l: F.size(l["found"]) > 0)
+    full = F.filter(F.transform(F.split("text", "\n", -1), lambda l, i: F.struct(i.alias("line"), l.alias("text"))), lambda l: l["text"].rlike(r"[\p{L}\p{N}]"))
+    lines = F.filter(F.transform(full, lambda l, i: F.struct(l["line"].alias("line"), i.alias("place"), F.regexp_extract_all(l["text"], F.lit(pattern), F.lit(0)).alias("found"))), lambda l: F.size(l["found"]) > 0)
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("text_name"), F.explode(lines).alias("l"))
-    return rows.select("doc_id", "text_name", "l.line", F.transform("l.found", lambda t: F.btrim(F.lower(t), F.lit("."))).alias("terms"))
+    return rows.select("doc_id", "text_name", "l.line", "l.place", F.transform("l.found", lambda t: F.btrim(F.lower(t), F.lit("."))).alias("terms"))
+
+
+def windows(lines: DataFrame) -> DataFrame:
+    """(doc_id, text_name, line, span, terms): windows of 2 to MAX_LINES lines that begin and end with a line of ``lines``."""
+    once = lines.dropDuplicates(["doc_id", "text_name", "line"])  # rows that repeat id and text have the same windows
+    starts = once.select(F.col("doc_id").alias("_id"), F.col("text_name").alias("_name"), F.col("place").alias("_start"), F.col("line").alias("_line"))
+    parts = once.select("doc_id", "text_name", "place", "terms", F.explode(F.expr(f"sequence(greatest(place - {MAX_LINES - 1}, 0), place)")).alias("start"))
+    joined = parts.join(starts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_name") == F.col("_name")) & (F.col("start") == F.col("_start")))
+    spans = joined.groupBy("doc_id", "text_name", F.col("_line").alias("line")).agg(F.collect_list(F.struct((F.col("place") - F.col("start") + 1).alias("span"), "terms")).alias("parts"))  # MAX_LINES at most
+    ends = spans.where(F.size("parts") > 1).select("*", F.explode("parts.span").alias("span")).where("span > 1")
+    return ends.select("doc_id", "text_name", "line", "span", F.expr("flatten(transform(filter(parts, p -> p.span <= span), p -> p.terms))").alias("terms"))
 
 
 def weights(lines: DataFrame, n_docs: int) -> DataFrame:
@@ -75,27 +93,29 @@ def weights(lines: DataFrame, n_docs: int) -> DataFrame:
 
 
 def template_vectors(idf: DataFrame) -> DataFrame:
-    """(template, license, term, share): unit vectors of the templates."""
+    """(template, license, term, size, share): unit vectors of the templates, and how many terms each has."""
     spark = idf.sparkSession
     rows = [(i, name, t, text_terms.count(t)) for i, (name, text) in enumerate(TEMPLATES) for text_terms in [terms(text)] for t in sorted(set(text_terms))]
     weighted = spark.createDataFrame(rows, "template int, license string, term string, n int").join(idf, "term").withColumn("w", F.col("n") * F.col("idf"))
-    norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, "template").select("template", "license", "term", (F.col("w") / F.col("norm")).alias("share"))
+    norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.count("*").alias("size"))
+    return weighted.join(norms, "template").select("template", "license", "term", "size", (F.col("w") / F.col("norm")).alias("share"))
 
 
 def own_licenses(docs: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(doc_id, text_name, license, cosine, line) of the documents with a licence: nearest template, then first line."""
+    """(doc_id, text_name, license, cosine, line) of the documents with a licence: nearest template, then fewest lines, then first."""
     lines = written(candidate_lines(docs))
     idf = written(weights(lines, docs.count()))
     vectors = template_vectors(idf)
-    counted = lines.select("doc_id", "text_name", "line", F.explode("terms").alias("term")).groupBy("doc_id", "text_name", "line", "term").agg(F.count("*").alias("n"))
+    pieces = lines.select("doc_id", "text_name", "line", F.lit(1).alias("span"), "terms").union(windows(lines))
+    counted = pieces.select("doc_id", "text_name", "line", "span", F.explode("terms").alias("term")).groupBy("doc_id", "text_name", "line", "span", "term").agg(F.count("*").alias("n"))
     # both sides are as large as the templates make them: some hundred rows
     weighted = counted.join(F.broadcast(idf), "term").withColumn("w", F.col("n") * F.col("idf"))
-    norms = weighted.groupBy("doc_id", "text_name", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.join(F.broadcast(vectors), "term").groupBy("doc_id", "text_name", "line", "template", "license").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_name"] == b["text_name"]) & (a["line"] == b["line"])
-    near = dots.join(norms, same(dots, norms)).select(dots["doc_id"], dots["text_name"], dots["line"], "template", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= min_cosine)
-    best = near.groupBy("doc_id", "text_name").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "line", "template", "license")).alias("b"))
+    norms = weighted.groupBy("doc_id", "text_name", "line", "span").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighted.join(F.broadcast(vectors), "term").groupBy("doc_id", "text_name", "line", "span", "template", "license", "size").agg(F.sum(F.col("w") * F.col("share")).alias("dot"), F.count("*").alias("shared"))
+    dots = dots.where("span = 1 or 2 * shared >= size")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_name"] == b["text_name"]) & (a["line"] == b["line"]) & (a["span"] == b["span"])
+    near = dots.join(norms, same(dots, norms)).select(dots["doc_id"], dots["text_name"], dots["line"], dots["span"], "template", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= min_cosine)
+    best = near.groupBy("doc_id", "text_name").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "span", "line", "template", "license")).alias("b"))
     return best.select("doc_id", "text_name", "b.license", (-F.col("b.c")).alias("cosine"), "b.line")
 
 
@@ -113,10 +133,10 @@ def inherited(directories: DataFrame, licensed: DataFrame) -> DataFrame:
 def license_scan(docs: DataFrame, directory: Column, min_cosine: float = MIN_COSINE) -> DataFrame:
     """Per document: doc_id, directory, license, cosine, line, from_directory; ``directory`` gives its path from the docs.
 
-    Own licences have a cosine and the number of the line; inherited ones have the directory they come from; documents
+    Own licences have a cosine and the number of the line, of a window its first; inherited ones have the directory they come from; documents
     with neither have nulls.  A null text has no lines, a null directory is the root, ''.  A null doc_id is a document,
-    but no licence file.  Rows that repeat id and text share their licence.  Ties go to the first line, then to the
-    first template.  Other columns are ignored; an empty table gives no rows.
+    but no licence file.  Rows that repeat id and text share their licence.  Ties go to single lines, shorter windows,
+    the first line, then the first template.  Other columns are ignored; an empty table gives no rows.
     """
     own = written(own_licenses(docs, min_cosine).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_name", "_name"))
     placed = written(docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()).alias("_n"), F.coalesce(directory, F.lit("")).alias("directory")))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import random
+import textwrap
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from larkspur.llm import lm_score
+from larkspur.llm import license_scan, lm_score
 
 
 def test_held_out_text_scores_better_than_its_shuffled_copy(spark):
@@ -48,3 +49,15 @@ def test_near_copy_stage_keeps_one_row_of_each_group_whatever_its_id(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_copy_stage(spark, docs, "").collect()]
     want = [(1, text["a"]), (1, text["b"]), (2, text["c"]), (3, text["d"]), (None, "alone with no id at all"), (7, ""), (None, None), (None, None)]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_wrapped_notices_are_compared_as_a_whole(spark):
+    mit, gpl = (next(t for name, t in reversed(license_scan.TEMPLATES) if name == kind) for kind in ("MIT", "GPL-3.0"))
+    wrap = lambda text, width, mark, gap="\n": gap.join(mark + line for line in textwrap.wrap(text, width))
+    notices = [(name, wrap(text, width, mark, gap)) for name, text in (("MIT", mit), ("GPL-3.0", gpl)) for width in (40, 50, 60) for mark, gap in (("", "\n"), ("# ", "\n#\n"), (" * ", "\n\n"))]
+    rows = [(i, "first line\n" + text + "\nlast line", f"/{i}") for i, (_, text) in enumerate(notices)] + [(100 + i, "plain prose\nwithout a notice", "/plain") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    got = {r.doc_id: r for r in license_scan.license_scan(docs, F.col("path")).collect()}
+    for i, (name, _) in enumerate(notices):
+        assert (got[i].license, got[i].line) == (name, 1) and got[i].cosine > 0.9, (i, name, got[i])
+    assert all(got[100 + i].license is None for i in range(30))
