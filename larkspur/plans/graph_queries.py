@@ -98,12 +98,31 @@ def _(v):
     return graph.latest_safe_version(uses, counts, v.version_edges, banned, fixes)
 
 
-@query("gr7_taint_flows", """
+def _taint_sql(cap: int) -> str:
+    """Walks of up to ``cap`` hops, each node's nearest callers, the smallest of them followed back to the source."""
+    return f"""
     WITH RECURSIVE k AS MATERIALIZED (SELECT c.* FROM calls c WHERE NOT EXISTS (SELECT 1 FROM call_roles r WHERE r.project_id = c.project_id AND r.fn = c.callee AND r.role = 'sanitizer')),
-    r AS (SELECT project_id, fn AS source, fn AS node, 0 AS hops FROM call_roles WHERE role = 'source' UNION SELECT r.project_id, r.source, k.callee, r.hops + 1 FROM r JOIN k ON k.project_id = r.project_id AND k.caller = r.node WHERE r.hops < 40)
-    SELECT r.project_id, source, node AS sink, CAST(min(hops) AS BIGINT) AS hops FROM r JOIN call_roles s ON s.project_id = r.project_id AND s.fn = r.node AND s.role = 'sink' GROUP BY 1, 2, 3""")
+    r AS (SELECT project_id, fn AS source, fn AS node, 0 AS hops FROM call_roles WHERE role = 'source' UNION SELECT r.project_id, r.source, k.callee, r.hops + 1 FROM r JOIN k ON k.project_id = r.project_id AND k.caller = r.node WHERE r.hops <= {cap}),
+    n AS MATERIALIZED (SELECT project_id, source, node, min(hops) AS hops FROM r GROUP BY ALL),
+    v AS MATERIALIZED (SELECT * FROM n WHERE hops <= {cap}),
+    e AS MATERIALIZED (SELECT v.project_id, v.source, v.node, v.hops, min(u.node) AS parent FROM v JOIN k ON k.project_id = v.project_id AND k.callee = v.node JOIN v u ON u.project_id = v.project_id AND u.source = v.source AND u.node = k.caller AND u.hops = v.hops - 1 GROUP BY ALL),
+    p AS (SELECT project_id, source, node, node AS path FROM v WHERE hops = 0 UNION ALL SELECT e.project_id, e.source, e.node, p.path || '>' || e.node FROM p JOIN e ON e.project_id = p.project_id AND e.source = p.source AND e.parent = p.node)
+    SELECT v.project_id, v.source, v.node AS sink, CAST(v.hops AS BIGINT) AS hops, p.path, EXISTS (SELECT 1 FROM n WHERE n.project_id = v.project_id AND n.hops > {cap}) AS truncated,
+           sha256(CAST(v.project_id AS VARCHAR) || chr(31) || p.path) AS flow_id
+    FROM v JOIN p USING (project_id, source, node) WHERE v.hops > 0 AND EXISTS (SELECT 1 FROM call_roles s WHERE s.project_id = v.project_id AND s.fn = v.node AND s.role = 'sink')"""
+
+
+TAINT = ["project_id", "source", "sink", "CAST(hops AS BIGINT) AS hops", "path", "truncated", "flow_id"]
+
+
+@query("gr7_taint_flows", _taint_sql(50))
+def _(v):
+    return graph.taint_flows(v.calls, v.call_roles).selectExpr(*TAINT)
+
+
+@query("gr7_taint_flows_short", _taint_sql(3))
 def _(v):
-    return graph.taint_flows(v.calls, v.call_roles).select("project_id", "source", "sink", C("hops").cast("long").alias("hops"))
+    return graph.taint_flows(v.calls, v.call_roles, max_hops=3).selectExpr(*TAINT)
 
 
 @query("gr8_callers_of", "SELECT DISTINCT project_id, callee, caller, count(*) OVER (PARTITION BY project_id, callee) AS callers FROM calls")

@@ -59,6 +59,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Write ``df`` once as a table in the shared folder, bucketed and sorted by ``keys``.
+
+    Joins and groupings by these keys read it without an exchange.  ``forget`` drops the name; the files stay.
+    """
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"larkspur_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.option("path", new_folder(spark, "buckets")).bucketBy(n, keys[0], *keys[1:]).sortBy(keys[0], *keys[1:]).saveAsTable(name)
+    table = spark.table(name)
+    table.table_name = name
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Drop the names of bucketed tables that nothing will read again."""
+    for table in tables:
+        table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.table_name}")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder; later steps do not depend on any executor that computed it."""
     shared_dir(df.sparkSession)

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import evidence, graph, notify, ranking
+from larkspur.session import bucketed, forget
 
 C = F.col
 
@@ -124,3 +125,46 @@ def test_veto_ignores_owners(spark):
     imports = spark.createDataFrame([(1, "p1", "a.b.c"), (1, "p2", "x.y"), (1, "p1", "x.y.z")], "project_id int, package string, module string")
     asked = spark.createDataFrame([(1, 1, "a.b", "p1"), (1, 2, "a.b", "p9"), (1, 3, "x.y", "p1"), (1, 4, "a.b.c.d", "p9"), (1, 5, "a", "p2")], "project_id int, question_id int, module string, owner string")
     assert {r["question_id"]: r["veto"] for r in evidence.transitive_veto(asked, imports).collect()} == {1: False, 2: True, 3: True, 4: False, 5: True}
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_closure_with_chains_hubs_and_cycles(spark, seed):
+    rng = random.Random(seed)
+    edges = {(i, i + 1) for i in range(200)} | {(1000, 2000 + i) for i in range(40)} | {(2000 + i, 1000) for i in range(40)} | {(60, 1000), (2007, 3000), (3000, 3001), (3001, 3000)}
+    edges |= {(rng.randrange(4000, 4060), rng.randrange(4000, 4060)) for _ in range(100)} | {(3001, 4000 + seed), (5, 5)}
+    start = [0, 150, 4001][seed - 3]
+    nexts = defaultdict(set)
+    for a, b in edges:
+        nexts[a].add(b)
+    seen, queue = {start}, [start]
+    while queue:
+        for child in nexts[queue.pop()] - seen:
+            seen.add(child)
+            queue.append(child)
+    got = graph.closure(spark.createDataFrame(list(edges), "parent int, child int"), spark.createDataFrame([(start,)], "node int"))
+    assert sorted(r["node"] for r in got.collect()) == sorted(seen)
+
+
+def test_a_long_chain_settles_in_few_rounds(spark):
+    chain = spark.range(4096).select(C("id").alias("parent"), (C("id") + 1).alias("child"))
+    assert graph.closure(chain, spark.createDataFrame([(0,)], "node long"), max_rounds=15).count() == 4097
+
+
+def test_a_round_exchanges_the_frontier_only(spark):
+    edges = bucketed(spark.range(100).select((C("id") % 3).alias("project_id"), C("id").alias("node"), (C("id") + 1).alias("_next")), ["project_id", "node"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = graph.step(edges.select("project_id", "node"), edges, ["project_id"], ["project_id"])._jdf.queryExecution().executedPlan().toString()
+        one = graph.step(spark.range(9).select((C("id") % 3).alias("project_id"), C("id").alias("node")), edges, ["project_id"], ["project_id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plan and one.count("Exchange") == 1 and "Bucketed: true" in plan
+    forget(edges)
+
+
+def test_taint_paths_of_fifty_hops_and_one_more(spark):
+    calls = spark.createDataFrame([(p, f"f{i:02}", f"f{i + 1:02}") for p, n in ((1, 50), (2, 51)) for i in range(n)], "project_id long, caller string, callee string")
+    roles = spark.createDataFrame([(1, "f00", "source"), (2, "f00", "source"), (1, "f50", "sink"), (2, "f50", "sink"), (2, "f51", "sink"), (1, "f13", "sink")], "project_id long, fn string, role string")
+    got = {(r["project_id"], r["sink"]): r for r in graph.taint_flows(calls, roles).collect()}
+    assert set(got) == {(1, "f13"), (1, "f50"), (2, "f50")}
+    assert all(r["path"] == ">".join(f"f{i:02}" for i in range(r["hops"] + 1)) and r["truncated"] == (r["project_id"] == 2) for r in got.values())
