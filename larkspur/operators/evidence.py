@@ -10,6 +10,8 @@ from larkspur.operators.filters import RUN, active_run, row_number_at_most
 
 C = F.col
 GRAM = 4
+#: Pairs of places and needles that one task should compare for a gram, most tasks for a gram, and most grams dealt so.
+HOT_PAIRS, MOST_SALTS, MOST_HOT = 200_000, 1024, 1000
 # Runtime components that frameworks embed, and packages that frameworks load by convention.
 EMBEDDED_RUNTIME = [
     "tomcat-embed", "jetty", "undertow", "netty", "spring-boot-starter-tomcat", "thymeleaf", "freemarker", "mustache",
@@ -35,25 +37,48 @@ PYPI_IMPORTS = {
 }
 
 
+def _spots(rows: DataFrame, column: str, size: Column) -> DataFrame:
+    """(column, _gram, _at): every place of a text and the letters that follow there."""
+    at = F.sequence(F.lit(1), F.length(column) - size + 1)
+    return rows.filter(F.length(column) >= size).select(column, F.explode(F.transform(at, lambda i: F.struct(C(column).substr(i, size).alias("_gram"), i.alias("_at")))).alias("_g")).select(column, "_g._gram", "_g._at")
+
+
+def filed_needles(words: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Needles, each under its rarest gram with the number of places of texts that have it, and the places of texts.
+
+    A needle with a gram that no text has is in none and leaves.  Needles under four letters are their own gram, which
+    texts only produce when such needles exist.
+    """
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    # the gram lengths in use: four, and the lengths of any shorter needles (at most four numbers)
+    lengths = parts.agg(F.collect_set(size)).scalar()
+    places = _spots(words.select("text", F.explode(lengths).alias("_n")), "text", C("_n"))
+    common = places.groupBy("_gram").agg(F.count("*").alias("_df"))
+    own = _spots(parts, "needle", size).join(common, "_gram", "left").withColumn("_df", F.coalesce("_df", F.lit(0)))
+    return row_number_at_most(own, ["needle"], [C("_df"), C("_gram"), C("_at")], 1).filter(C("_df") > 0), places
+
+
 def contains_match(texts: DataFrame, needles: DataFrame, key: list[str]) -> DataFrame:
     """Distinct (key, text, needle) where the text contains the needle, as equi joins on four-letter grams.
 
     The search runs once over the distinct texts and distinct needles of all keys; the matching pairs are then joined
-    back to the keys that have both.  A text that contains a needle contains the needle's last four letters, so
-    joining each needle by that gram misses nothing; the ``contains`` test removes the false partners.  Needles under
-    four letters use grams of their own length, which texts only produce when such needles exist.
+    back to the keys that have both.  A needle is filed under the gram of its that texts have least often, so endings
+    and beginnings that many needles share do not bring them together; a gram tells the place at which the needle must
+    stand, and only that place is compared.  Grams whose places and needles make many pairs are dealt over salts.
     """
     wanted = needles.select(*key, "needle").filter(F.length("needle") > 0).distinct()
     have = texts.select(*key, "text").filter(F.length("text") > 0).distinct()
-    words, parts = have.select("text").distinct(), wanted.select("needle").distinct()
-    size = F.least(F.length("needle"), F.lit(GRAM))
-    # the gram lengths in use: four, and the lengths of any shorter needles (at most four numbers)
-    lengths = parts.agg(F.collect_set(size)).scalar()
-    pieces = F.transform(F.sequence(F.lit(1), F.length("text") - C("_n") + 1), lambda i: C("text").substr(i, C("_n")))
-    grams = words.select("text", F.explode(lengths).alias("_n")).filter(F.length("text") >= C("_n")).select("text", F.explode(F.array_distinct(pieces)).alias("_gram"))
-    keyed = parts.withColumn("_gram", C("needle").substr(F.length("needle") - size + 1, size))
-    pairs = grams.join(keyed, "_gram").filter(F.contains(C("text"), C("needle"))).select("text", "needle")
-    return have.join(pairs, "text").join(wanted, [*key, "needle"]).select(*key, "text", "needle")
+    filed, places = filed_needles(have.select("text").distinct(), wanted.select("needle").distinct())
+    pairs = filed.groupBy("_gram").agg((F.count("*") * F.first("_df")).alias("_pairs")).filter(C("_pairs") > HOT_PAIRS)
+    salts = F.least(F.ceil(C("_pairs") / HOT_PAIRS), F.lit(MOST_SALTS)).cast("int").alias("salts")
+    # the grams with most pairs, at most MOST_HOT of them; others stay whole
+    hot = pairs.orderBy(C("_pairs").desc()).limit(MOST_HOT).agg(F.map_from_entries(F.collect_list(F.struct("_gram", salts)))).scalar()
+    dealt = lambda rows: rows.withColumn("_salts", F.coalesce(F.try_element_at(hot, C("_gram")), F.lit(1)))
+    keyed = dealt(filed.select("needle", "_gram", C("_at").alias("_from"))).withColumn("_salt", F.explode(F.sequence(F.lit(0), C("_salts") - 1))).drop("_salts")
+    spread = dealt(places).withColumn("_salt", F.pmod(F.xxhash64("text", "_at"), C("_salts")).cast("int")).drop("_salts")
+    start = C("_at") - C("_from") + 1
+    found = spread.join(keyed, ["_gram", "_salt"]).filter((start > 0) & (C("text").substr(start, F.length("needle")) == C("needle"))).select("text", "needle").distinct()
+    return have.join(found, "text").join(wanted, [*key, "needle"]).select(*key, "text", "needle")
 
 
 def boundary_match(texts: DataFrame, needles: DataFrame, key: list[str]) -> DataFrame:

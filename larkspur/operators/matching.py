@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import labels, packages, versions
@@ -340,38 +340,53 @@ def merge_advisories(advisories: DataFrame) -> DataFrame:
     return aliases.unionByName(affected).distinct()
 
 
+def advisory_runs(ordered: DataFrame, hits: DataFrame) -> DataFrame:
+    """(dependency_id, advisory_id, runs): the versions of a package that an advisory affects, as runs of places in its version order.
+
+    ``ordered`` has (dependency_id, version_id, place), ``hits`` (version_id, advisory_id).  An advisory has about as many
+    runs as it has ranges, however many versions lie in them.
+    """
+    placed = hits.join(ordered.select("dependency_id", "version_id", "place"), "version_id")
+    inside = Window.partitionBy("dependency_id", "advisory_id").orderBy("place")
+    islands = placed.withColumn("_island", C("place") - F.row_number().over(inside)).groupBy("dependency_id", "advisory_id", "_island").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    return islands.groupBy("dependency_id", "advisory_id").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+
+
 def version_candidates(current: DataFrame, candidates: DataFrame, advisories: DataFrame, banned: DataFrame) -> DataFrame:
     """Per project package and candidate version: CVEs fixed, CVEs introduced, major bump and ban flags.
 
     ``current`` has (project_id, dependency_id, version); candidates are the stable versions of the package above
-    the current one.  Counts come from the sizes of the two advisory sets and of their common part.
+    the current one.  A sweep along the version order counts what a candidate shares with a version in use: an advisory
+    of the latter adds one where a run of its begins and takes one off behind its end.  So an advisory costs its runs, not
+    its versions; numbers come from the sizes of the two advisory sets and of their common part.
     """
-    rows = candidates.select("dependency_id", "version_id", "version").withColumn("_k", versions.version_key(C("version")))
-    rows = rows.filter(C("_k").isNotNull() & ~versions.is_prerelease(C("version")))
-    hits = affected_versions(candidates.select("version_id", "dependency_id", "version"), advisories).select("version_id", "advisory_id")
+    stable = candidates.select("dependency_id", "version_id", "version").withColumn("_k", versions.version_key(C("version")))
+    stable = stable.filter(C("_k").isNotNull() & ~versions.is_prerelease(C("version")))
+    hits = affected_versions(candidates.select("version_id", "dependency_id", "version"), advisories).select("version_id", "advisory_id").distinct()
     total = hits.groupBy("version_id").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("dependency_id").orderBy("_k", "version_id"))
+    rows = stable.join(total, "version_id", "left").fillna(0, ["n"]).withColumn("place", place)
     in_use = current.select("dependency_id", "version").distinct()
     now = rows.join(in_use, ["dependency_id", "version"], "left_semi").select(
-        "dependency_id", C("version").alias("cur_version"), C("version_id").alias("cur_id"), C("_k").alias("_ck"))
-    then = rows.select("dependency_id", C("version").alias("candidate"), C("version_id").alias("cand_id"), "_k")
-    ladder = now.join(then, "dependency_id").filter(C("_k") > C("_ck"))
-    shared = (
-        hits.withColumnRenamed("version_id", "cur_id").join(now.select("cur_id"), "cur_id", "left_semi")
-        .join(hits.withColumnRenamed("version_id", "cand_id"), "advisory_id")
-        .groupBy("cur_id", "cand_id").agg(F.count("*").alias("shared"))
-    )
+        "dependency_id", C("version").alias("cur_version"), C("version_id").alias("cur_id"), C("_k").alias("_ck"), C("n").alias("cur_n"), C("place").alias("cur_place"))
+    ladder = now.join(rows.select("dependency_id", C("version").alias("candidate"), "_k", C("n").alias("cand_n"), "place"), "dependency_id").filter(C("_k") > C("_ck"))
+
+    mine = now.select("dependency_id", "cur_id", "cur_place").join(advisory_runs(rows, hits), "dependency_id")
+    mine = mine.filter(F.exists("runs", lambda r: (r["low"] <= C("cur_place")) & (r["high"] >= C("cur_place"))))
+    ends = mine.select("cur_id", "cur_place", F.explode("runs").alias("r")).filter(C("r.high") > C("cur_place"))
+    turns = F.array(F.struct(F.greatest(C("r.low"), C("cur_place") + 1).alias("place"), F.lit(1).alias("turn")), F.struct((C("r.high") + 1).alias("place"), F.lit(-1).alias("turn")))
+    events = ends.select("cur_id", F.explode(turns).alias("t")).groupBy("cur_id", "t.place").agg(F.sum("t.turn").alias("turn"))
+    marks = ladder.withColumn("turn", F.lit(0).cast("long")).unionByName(events, allowMissingColumns=True)
+    sweep = Window.partitionBy("cur_id").orderBy("place", C("candidate").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     scored = (
-        ladder.join(shared, ["cur_id", "cand_id"], "left")
-        .join(total.select(C("version_id").alias("cur_id"), C("n").alias("cur_n")), "cur_id", "left")
-        .join(total.select(C("version_id").alias("cand_id"), C("n").alias("cand_n")), "cand_id", "left")
-        .fillna(0, ["shared", "cur_n", "cand_n"])
+        marks.withColumn("shared", F.sum("turn").over(sweep)).filter(C("candidate").isNotNull())
         .select("dependency_id", "cur_version", "candidate", (C("cur_n") - C("shared")).alias("cves_fixed"),
                 (C("cand_n") - C("shared")).alias("cves_new"), (C("_k.major") > C("_ck.major")).alias("is_major_bump"))
     )
-    mine = current.select("project_id", "dependency_id", C("version").alias("cur_version")).distinct()
+    used = current.select("project_id", "dependency_id", C("version").alias("cur_version")).distinct()
     bans = banned.select("project_id", "dependency_id", C("version").alias("candidate"), F.lit(True).alias("_b"))
     return (
-        mine.join(scored, ["dependency_id", "cur_version"])
+        used.join(scored, ["dependency_id", "cur_version"])
         .join(bans, ["project_id", "dependency_id", "candidate"], "left")
         .withColumn("is_banned", F.coalesce(C("_b"), F.lit(False))).drop("_b")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import labels, versions
 from larkspur.functions.scores import lookup
 from larkspur.operators.filters import row_number_at_most
+from larkspur.session import written
 
 C = F.col
 # Preference of base-image providers.
@@ -41,18 +42,24 @@ def running_total(rows: DataFrame, partition: list[str], bucket: dict[str, Colum
     return joined.withColumn(name, C("_before") + F.sum("_value").over(v)).drop("_before", "_value", *keys)
 
 
-def rank_findings(findings: DataFrame, partition: list[str]) -> DataFrame:
-    """Every finding with its rank inside its partition; ranks count inside (score, severity, month) buckets."""
-    bucket = {
-        "_b1": -labels.ranking_score(C("contextual_depscore"), C("depscore"), -1), "_b2": -labels.severity_rank(C("severity")),
-        "_b3": F.coalesce(-(F.year("published_at") * 12 + F.month("published_at")), F.lit(1)),
-    }
-    return running_total(findings, partition, bucket, ranking_order(), F.lit(1), "rank").withColumn("rank", C("rank").cast("long"))
+def rank_findings(findings: DataFrame, partition: list[str], slices: int | None = None) -> DataFrame:
+    """Every finding with its rank inside its partition.
 
-
-def sort_findings(findings: DataFrame) -> DataFrame:
-    """Globally sorted, worst first; a range-partitioned sort, no single task sees everything."""
-    return findings.orderBy(*ranking_order())
+    The rows are cut into slices of about equal size by splitters that Spark samples from the whole order, ids
+    included, so neither a hot partition nor a crowd of equal scores is one task.  A row's rank is the number of its
+    partition's rows in earlier slices and its place in its own slice, which the sorted slice gives without a window.
+    """
+    n = slices or int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*[C(p).asc() for p in partition], *ranking_order()]
+    cut = findings.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = written(cut.withColumn("_at", F.monotonically_increasing_id()).withColumn("_slice", F.spark_partition_id()))
+    own = placed.groupBy(*partition, "_slice").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))  # partitions and slices, not rows
+    w = Window.partitionBy(*partition).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = own.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).select(*[C(p).alias(f"_r_{p}") for p in partition], C("_slice").alias("_r__slice"), "_first", "_before")
+    same = F.lit(True)
+    for p in [*partition, "_slice"]:
+        same = same & C(p).eqNullSafe(C(f"_r_{p}"))
+    return placed.join(before, same).withColumn("rank", C("_before") + C("_at") - C("_first") + 1).select(*findings.columns, "rank")
 
 
 def cap_per_project(findings: DataFrame, n: int = 100) -> DataFrame:

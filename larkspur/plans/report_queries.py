@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions import labels
-from larkspur.operators import learning, matching, ranking, usage
+from larkspur.operators import learning, matching, ranking, usage, vectors
 from larkspur.operators.filters import active_run
 from larkspur.plans.common import events_now, instant, ledger_now, stamp
 from larkspur.plans.domain import EVENTS_NOW, FINDINGS_NOW, LEDGER_NOW
@@ -323,6 +323,33 @@ def _(v):
     return out.select("memory_id", F.round("similarity", 6).alias("similarity"))
 
 
+def _batch_sql(scoped: bool) -> str:
+    """Every query against every memory."""
+    dot = "list_sum(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+    return f"""
+    WITH q AS (SELECT vec_id AS query_id, CAST(label % 5 AS BIGINT) AS organization_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
+    s AS (SELECT query_id, memory_id, round({dot.format(a='embedding', b='e')} / (sqrt({dot.format(a='embedding', b='embedding')}) * sqrt({dot.format(a='e', b='e')})), 9) AS sim
+      FROM memories m JOIN q ON {'q.organization_id = m.organization_id' if scoped else 'true'} WHERE expires_at IS NULL OR expires_at > TIMESTAMP '{EVENTS_NOW}')
+    SELECT query_id, memory_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, memory_id) AS rank
+    FROM s WHERE sim > 0.05 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, memory_id) <= 10"""
+
+
+def _batch(v, scope):
+    asked = v.embeddings.filter(C("vec_id") % 100 == 0).select(C("vec_id").alias("query_id"), (C("label") % 5).cast("long").alias("organization_id"), "embedding")
+    out = vectors.vector_topk_batch(v.memories, asked, now=events_now(), threshold=0.05, k=10, dimensions=64, scope=scope)
+    return out.select("query_id", "memory_id", F.round("similarity", 6).alias("similarity"), C("rank").cast("long").alias("rank"))
+
+
+@query("top10_vector_topk_batch", _batch_sql(False))
+def _(v):
+    return _batch(v, None)
+
+
+@query("top10_vector_topk_batch_scoped", _batch_sql(True))
+def _(v):
+    return _batch(v, "organization_id")
+
+
 @query("top11_fix_priority", f"""
     WITH w AS (SELECT * FROM {act('findings')} WHERE NOT suppressed AND NOT risk_accepted QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY depscore DESC NULLS LAST, finding_id) <= 20)
     SELECT project_id, finding_id, row_number() OVER (PARTITION BY project_id ORDER BY CASE sla_status WHEN 'breached' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, depscore DESC NULLS LAST, finding_id) AS rank FROM w

@@ -168,3 +168,26 @@ def test_taint_paths_of_fifty_hops_and_one_more(spark):
     got = {(r["project_id"], r["sink"]): r for r in graph.taint_flows(calls, roles).collect()}
     assert set(got) == {(1, "f13"), (1, "f50"), (2, "f50")}
     assert all(r["path"] == ">".join(f"f{i:02}" for i in range(r["hops"] + 1)) and r["truncated"] == (r["project_id"] == 2) for r in got.values())
+
+
+def test_needles_with_one_ending_are_filed_apart(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    needles = sorted({word(8) + ".create" for _ in range(10_000)})
+    texts = [f"use {n} here" for n in needles[::10]] + [f"{word(9)}.create" for _ in range(2000)]
+    frame = lambda rows, name: spark.createDataFrame([(r,) for r in rows], f"{name} string").distinct()
+    filed, _ = evidence.filed_needles(frame(texts, "text"), frame(needles, "needle"))
+    sizes = [r["count"] for r in filed.groupBy("_gram").count().collect()]
+    work = [r["n"] for r in filed.groupBy((F.xxhash64("_gram") % 16).alias("task")).agg(F.sum("_df").alias("n")).collect()]
+    assert sum(sizes) >= 1000 and max(work) <= 3 * sorted(work)[len(work) // 2]
+    assert filed.filter(C("_gram").isin("crea", "reat", "eate", ".cre")).isEmpty()
+
+
+def test_grams_with_many_pairs_are_dealt_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "HOT_PAIRS", 5)
+    texts = [(1, f"aaaa{i}") for i in range(30)] + [(2, "aaaa1")]
+    needles = [(1, "aaaa"), (1, "aaa"), (1, "a"), (1, "aaaa1"), (2, "aaaa2"), (2, "")]
+    got = evidence.contains_match(spark.createDataFrame(texts, "project_id int, text string"), spark.createDataFrame(needles, "project_id int, needle string"), ["project_id"])
+    rows = [tuple(r) for r in got.collect()]
+    want = [(p, t, n) for p, t in texts for q, n in needles if p == q and n and n in t]
+    assert sorted(rows) == sorted(want)
