@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators import notify, summaries
+from larkspur.operators import incremental, notify, summaries
+from larkspur.operators.filters import active_run
 from larkspur.plans import domain
 from larkspur.plans.common import events_now, stamp
 from larkspur.plans.domain import EVENTS_NOW
 from larkspur.plans.registry import query
-from larkspur.session import new_folder
+from larkspur.session import new_folder, written
 from larkspur.streaming import events as st
 from larkspur.streaming import stateful
 
@@ -125,19 +126,29 @@ def _(v):
     return appended(v, stateful.sla_monitor(changes), "sla-monitor")
 
 
-def _finding_stream(v, folder: str) -> DataFrame:
-    return v.spark.readStream.schema("project_id bigint, dependency_id bigint, osv_id string").parquet(folder)
-
-
-@query("str12_finding_lifecycle", """
-    WITH n AS (SELECT DISTINCT project_id, dependency_id, osv_id FROM findings WHERE extraction_run_id = '2001'), o AS (SELECT DISTINCT project_id, dependency_id, osv_id FROM findings WHERE extraction_run_id = '2000')
-    SELECT CAST(0 AS BIGINT) AS batch, *, 'detected' AS event_type FROM o UNION ALL SELECT 1, *, 'detected' FROM (SELECT * FROM n EXCEPT SELECT * FROM o) UNION ALL SELECT 1, *, 'resolved' FROM (SELECT * FROM o EXCEPT SELECT * FROM n)""")
-def _(v):
-    folder = new_folder(v.spark, "lifecycle")
-    key = ["project_id", "dependency_id", "osv_id"]
-    for run in ("2000", "2001"):
-        v.findings.filter(C("extraction_run_id") == run).select(key).write.mode("append").parquet(f"{folder}/input")
-        st.finding_lifecycle(v.spark, _finding_stream(v, f"{folder}/input"), folder, key)
+#: Three rounds of finished runs: all projects, then all again (the runs of some found nothing), then a few.
+FINISHED = [
+    "SELECT project_id, '2000' AS extraction_run_id, TIMESTAMP '2000-12-31 00:00:00' AS finished_at FROM projects",
+    "SELECT project_id, CASE WHEN project_id % 5 = 3 THEN 'empty' ELSE '2001' END AS extraction_run_id, TIMESTAMP '2001-12-31 00:00:00' AS finished_at FROM projects",
+    "SELECT project_id, '1999' AS extraction_run_id, TIMESTAMP '2002-01-01 00:00:00' AS finished_at FROM projects WHERE project_id % 10 = 3",
+]
+
+
+@query("str12_finding_lifecycle", f"""
+    WITH k AS (SELECT DISTINCT project_id, extraction_run_id, dependency_id, osv_id FROM findings),
+    run AS (SELECT 0 AS batch, * FROM ({FINISHED[0]}) UNION ALL SELECT 1, * FROM ({FINISHED[1]}) UNION ALL SELECT 2, * FROM ({FINISHED[2]})),
+    held AS (SELECT batch, project_id, dependency_id, osv_id FROM run JOIN k USING (project_id, extraction_run_id)),
+    old AS (SELECT n.batch, o.project_id, o.dependency_id, o.osv_id FROM run n JOIN held o ON o.project_id = n.project_id AND o.batch = n.batch - 1)
+    SELECT CAST(batch AS BIGINT) AS batch, project_id, dependency_id, osv_id, 'detected' AS event_type FROM (SELECT * FROM held EXCEPT SELECT * FROM old)
+    UNION ALL SELECT batch, project_id, dependency_id, osv_id, 'resolved' FROM (SELECT * FROM old EXCEPT SELECT * FROM held)""")
+def _(v):
+    folder, key = new_folder(v.spark, "lifecycle"), ["project_id", "dependency_id", "osv_id"]
+    v.projects.createOrReplaceTempView(name := f"projects_{uuid.uuid4().hex}")
+    for text in FINISHED:
+        v.spark.sql(text.replace("projects", name)).write.mode("append").parquet(f"{folder}/input")
+        stream = v.spark.readStream.schema("project_id bigint, extraction_run_id string, finished_at timestamp").parquet(f"{folder}/input")
+        st.finding_lifecycle(v.spark, stream, lambda: v.findings, folder, key)
+    v.spark.catalog.dropTempView(name)
     return v.spark.read.parquet(f"{folder}/events").withColumn("batch", C("batch").cast("long"))
 
 
@@ -182,3 +193,21 @@ def _(v):
     folder = new_folder(v.spark, "summary")
     st.summary_refresh(stream_view(v, "dast_findings", "events"), folder, compute)
     return st.latest_updates(v.spark, folder, ["project_id"]).select("project_id", "vuln_total")
+
+
+@query("str15_stale_pass", """
+    SELECT p.project_id, coalesce(vuln_total, 0) AS vuln_total, coalesce(vuln_high, 0) AS vuln_high, coalesce(score_total, 0) AS score_total, worst_depscore
+    FROM projects p LEFT JOIN (SELECT f.project_id, count(*) FILTER (WHERE NOT suppressed) AS vuln_total, count(*) FILTER (WHERE NOT suppressed AND severity = 'high') AS vuln_high, CAST(coalesce(sum(depscore) FILTER (WHERE NOT suppressed), 0) AS BIGINT) AS score_total,
+      max(depscore) FILTER (WHERE NOT suppressed) AS worst_depscore FROM findings f JOIN projects q ON q.project_id = f.project_id AND q.active_extraction_run_id = f.extraction_run_id GROUP BY 1) USING (project_id)""")
+def _(v):
+    now = active_run(v.findings, v.projects)
+    before = now.withColumns({"suppressed": F.lit(False), "severity": F.when(C("severity") == "low", "high").otherwise(C("severity"))})
+    first = events_now() - F.make_dt_interval(F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+    # a third of the projects have no summary yet, the others one of the rows before triage; some of those are old
+    known = v.projects.filter(C("project_id") % 3 != 0).select("project_id")
+    age = F.when(C("project_id") % 7 == 0, first - F.make_dt_interval(F.lit(9), F.lit(0), F.lit(0), F.lit(0))).otherwise(first)
+    stored = incremental.summarize(before, known, first).withColumn("computed_at", age)
+    changed = written(incremental.changes(before, now, ["finding_id", "project_id"], ["suppressed", "severity", "depscore"]))
+    merged = incremental.apply_changes(stored, changed.join(known, "project_id", "left_semi"), events_now())
+    out = incremental.stale_pass(merged, now, v.projects, cut=first - F.make_dt_interval(F.lit(2), F.lit(0), F.lit(0), F.lit(0)), at=events_now())
+    return out.select("project_id", "vuln_total", "vuln_high", "score_total", "worst_depscore")

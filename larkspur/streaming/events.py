@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import StructType
 
 from larkspur.operators import notify as rules_
 from larkspur.operators import runs
 from larkspur.schemas import TABLES
-from larkspur.session import new_folder
+from larkspur.session import new_folder, written
 
 C = F.col
 
@@ -159,28 +160,48 @@ class LateRows(StreamingQueryListener):
         return self.dropped.get(query.id, 0)
 
 
-def finding_lifecycle(spark: SparkSession, snapshots: DataFrame, folder: str, key: list[str]) -> StreamingQuery:
-    """Detected and resolved events out of successive snapshots; each micro-batch holds whole projects.
+def stored_buckets(spark: SparkSession, folder: str, schema: StructType, touched: DataFrame, batch_id: int) -> DataFrame:
+    """Rows of the touched buckets as they were before this batch; only the newest version of each is read.
 
-    A project whose run found nothing comes as one row with its project_id and nulls in the rest of the key: its stored
-    findings are resolved.
-
-    A batch is compared with the stored snapshot of the batch before it, for the projects it holds; both the events
-    and the new snapshot go to folders named by the batch, so a repeated batch writes the same again.
+    ``manifest`` tells in which batch a bucket was last written, and how many rows it got then.
+    """
+    empty = spark.createDataFrame([], schema)
+    if batch_id == 0:
+        return empty
+    log = spark.read.schema("bucket int, rows long, batch long").parquet(f"{folder}/manifest").filter(C("batch") < batch_id)
+    newest = log.groupBy("bucket").agg(F.max_by("rows", "batch").alias("rows"), F.max("batch").alias("batch"))
+    found = newest.filter(C("rows") > 0).join(touched.select("bucket").distinct(), "bucket").collect()  # a row a bucket at most
+    paths = [f"{folder}/snapshot/batch={r.batch}/bucket={r.bucket}" for r in found]
+    return spark.read.schema(schema).parquet(*paths) if paths else empty
+
+
+def finding_lifecycle(spark: SparkSession, finished: DataFrame, facts: Callable[[], DataFrame], folder: str, key: list[str], buckets: int = 256) -> StreamingQuery:
+    """Detected and resolved events out of a stream of finished runs (project_id, extraction_run_id, finished_at).
+
+    A finished run says that its project is complete, so a run that found nothing resolves all that was stored.  ``facts``
+    gives the fact table at the time of a batch; ``key`` starts with project_id.  Of several runs of a project in one
+    batch the last counts.  The stored findings lie in ``buckets`` folders by project: a batch reads the newest version of
+    the buckets it touches and writes those anew.  All it writes is named by the batch and it reads earlier batches
+    only, so a repeated batch writes the same again.
     """
-    columns = [f for f in snapshots.schema.fields if f.name in key]
+    schema = StructType([f for f in facts().schema.fields if f.name in key])
+    where = F.pmod(F.xxhash64("project_id"), F.lit(buckets)).cast("int")
 
     def on_batch(rows: DataFrame, batch_id: int) -> None:
-        from pyspark.sql.types import StructType
-
-        rest = [c for c in key if c != "project_id"]
-        now = rows.select(key).dropna("all", subset=rest).distinct()
-        before = spark.createDataFrame([], StructType(columns)) if batch_id == 0 else spark.read.schema(StructType(columns)).parquet(f"{folder}/snapshot/batch={batch_id - 1}")
-        touched = rows.select("project_id").distinct()
-        runs.advisory_delta(now, before.join(touched, "project_id", "left_semi"), key).write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
-        now.unionByName(before.join(touched, "project_id", "left_anti")).write.mode("overwrite").parquet(f"{folder}/snapshot/batch={batch_id}")
-
-    return run_batches(snapshots, folder, on_batch)
+        last = runs.dedup(rows.filter(C("project_id").isNotNull()), ["project_id"], ["finished_at", "extraction_run_id"])
+        touched = written(last.select("project_id", "extraction_run_id", where.alias("bucket")))
+        now = written(facts().join(touched.select("project_id", "extraction_run_id"), ["project_id", "extraction_run_id"], "left_semi").select(key).distinct())
+        stored = stored_buckets(spark, folder, schema, touched, batch_id)
+        before = stored.join(touched.select("project_id"), "project_id", "left_semi")
+        runs.advisory_delta(now, before, key).write.mode("overwrite").parquet(f"{folder}/events/batch={batch_id}")
+        after = now.unionByName(stored.join(touched.select("project_id"), "project_id", "left_anti")).withColumn("bucket", where)
+        path = f"{folder}/snapshot/batch={batch_id}"
+        after.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+        kept = spark.read.schema("project_id long, bucket int").parquet(path).groupBy("bucket").agg(F.count("*").alias("rows"))
+        marks = touched.select("bucket").distinct().join(kept, "bucket", "left").select("bucket", F.coalesce("rows", F.lit(0)).alias("rows"))
+        marks.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest/batch={batch_id}")  # last: the batch is whole
+
+    return run_batches(finished, folder, on_batch)
 
 
 def summary_refresh(changes: DataFrame, folder: str, compute: Callable[[DataFrame], DataFrame]) -> StreamingQuery:

@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from larkspur.operators import notify
+from larkspur.operators import incremental, notify
 from larkspur.session import new_folder
 from larkspur.streaming import events as st
 from larkspur.streaming import stateful
@@ -65,16 +65,72 @@ def test_balance_alerts_at_the_mark_and_after_each_credit(spark):
     assert [(r["transaction_id"], r["alert"], r["balance"]) for r in out.orderBy("transaction_id").collect()] == [(2, "low", 500), (5, "low", 430)]
 
 
-def test_an_emptied_project_is_resolved(spark):
+def lifecycle(spark, rounds, facts, buckets=8):
     folder, key = new_folder(spark, "cycle"), ["project_id", "finding"]
-    first = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (3, "d")], "project_id long, finding string")
-    second = spark.createDataFrame([(1, "a"), (2, None)], first.schema)
-    for part in (first, second):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/input")
-        st.finding_lifecycle(spark, spark.readStream.schema(first.schema).parquet(f"{folder}/input"), folder, key).awaitTermination()
-    events = spark.read.parquet(f"{folder}/events/batch=1").collect()
-    assert sorted((r["project_id"], r["finding"]) for r in events) == [(2, "b"), (2, "c")]
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{folder}/snapshot/batch=1").select(key).collect()) == [(1, "a"), (3, "d")]
+    table = spark.createDataFrame(facts, "project_id long, extraction_run_id string, finding string")
+    schema = "project_id long, extraction_run_id string, finished_at timestamp"
+    for i, part in enumerate(rounds):
+        rows = spark.createDataFrame(part, "project_id long, extraction_run_id string").withColumn("finished_at", F.timestamp_seconds(F.lit(1000 * i)))
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/input")
+        st.finding_lifecycle(spark, spark.readStream.schema(schema).parquet(f"{folder}/input"), lambda: table, folder, key, buckets)
+    return folder
+
+
+FACTS = [(1, "a", "x"), (2, "a", "b"), (2, "a", "c"), (3, "a", "d"), (3, "b", "d"), (3, "b", "e"), (1, "other", "z"), (9, "a", None), (9, "a", "q")]
+
+
+def test_an_emptied_project_is_resolved(spark):
+    folder = lifecycle(spark, [[(1, "a"), (2, "a"), (3, "a"), (9, "a")], [(2, "b"), (3, "b")], [(2, "a"), (None, "a")]], FACTS)
+    got = {i: sorted((r["project_id"], r["finding"] or "", r["event_type"]) for r in spark.read.parquet(f"{folder}/events/batch={i}").collect()) for i in range(3)}
+    assert got[0] == [(1, "x", "detected"), (2, "b", "detected"), (2, "c", "detected"), (3, "d", "detected"), (9, "", "detected"), (9, "q", "detected")]
+    assert got[1] == [(2, "b", "resolved"), (2, "c", "resolved"), (3, "e", "detected")]
+    assert got[2] == [(2, "b", "detected"), (2, "c", "detected")]
+
+
+def test_a_batch_writes_only_the_buckets_it_touches(spark):
+    facts = [(p, r, f"f{i}") for p in range(200) for r in ("a", "b") for i in range(3)]
+    folder = lifecycle(spark, [[(p, "a") for p in range(200)], [(7, "b")]], facts, buckets=64)
+    rows = lambda i: spark.read.parquet(f"{folder}/snapshot/batch={i}").count()
+    own = spark.range(200).filter(F.pmod(F.xxhash64("id"), F.lit(64)) == F.pmod(F.xxhash64(F.lit(7).cast("long")), F.lit(64))).count()
+    assert rows(0) == 600 and rows(1) == 3 * own < 60
+    assert [r["bucket"] for r in spark.read.parquet(f"{folder}/manifest/batch=1").collect()] == [r["bucket"] for r in spark.read.parquet(f"{folder}/snapshot/batch=1").select("bucket").distinct().collect()]
+
+
+def test_a_repeated_batch_writes_the_same(spark):
+    rounds = [[(1, "a"), (2, "a"), (3, "a")], [(3, "b"), (2, "none")]]
+    folder = lifecycle(spark, rounds, FACTS)
+    read = lambda: sorted(map(str, spark.read.parquet(f"{folder}/events").collect())) + sorted(map(str, spark.read.parquet(f"{folder}/snapshot").collect()))
+    before, found = read(), []
+    stream = spark.readStream.schema("project_id long, extraction_run_id string, finished_at timestamp").parquet(f"{folder}/input")
+    table = spark.createDataFrame(FACTS, "project_id long, extraction_run_id string, finding string")
+    original = st.run_batches
+    st.run_batches = lambda s, f, on_batch, mode="append": found.append(on_batch)
+    try:
+        st.finding_lifecycle(spark, stream, lambda: table, folder, ["project_id", "finding"], 8)
+    finally:
+        st.run_batches = original
+    again = spark.createDataFrame(rounds[1], "project_id long, extraction_run_id string").withColumn("finished_at", F.timestamp_seconds(F.lit(1000)))
+    found[0](again, 1)
+    assert read() == before
+
+
+def test_signed_changes_and_the_stale_pass(spark):
+    schema = "finding_id long, project_id long, suppressed boolean, severity string, depscore long"
+    old = spark.createDataFrame([(1, 1, False, "high", 90), (2, 1, False, "low", 50), (3, 2, False, "high", 70), (4, 3, None, None, None), (5, 4, False, "high", 10)], schema)
+    new = spark.createDataFrame([(1, 1, True, "high", 90), (2, 1, False, "high", 50), (3, 2, False, "high", 70), (6, 2, False, "low", 80), (4, 3, None, None, None), (5, 4, False, "high", 10)], schema)
+    projects = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5)], "project_id long")
+    at = lambda s: F.timestamp_seconds(F.lit(s))
+    stored = incremental.summarize(old, projects.filter("project_id < 4"), at(100))
+    changed = incremental.changes(old, new, ["finding_id", "project_id"], ["suppressed", "severity", "depscore"])
+    assert changed.count() == 5
+    merged = incremental.apply_changes(stored, changed, at(200))
+    rows = {r.project_id: (r.vuln_total, r.vuln_high, r.score_total, r.worst_depscore, r.computed_at is None) for r in merged.collect()}
+    assert rows == {1: (1, 1, 50, None, True), 2: (2, 1, 150, 80, False), 3: (1, 0, 0, None, False)}
+    assert sorted(r.project_id for r in incremental.stale_projects(merged, projects, at(50)).collect()) == [1, 4, 5]
+    done = incremental.stale_pass(merged, new, projects, cut=at(50), at=at(300))
+    whole = incremental.summarize(new, projects, at(300))
+    assert sorted(map(tuple, done.drop("computed_at").collect()), key=str) == sorted(map(tuple, whole.drop("computed_at").collect()), key=str)
+    assert incremental.stale_pass(merged, new, projects, cut=None, at=at(300)).filter(F.col("computed_at") == at(300)).count() == 5
 
 
 def test_events_without_a_scope_share_one_limit(spark):
