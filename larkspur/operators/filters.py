@@ -151,11 +151,10 @@ def stable_versions(versions: DataFrame) -> DataFrame:
 def drop_single_node_flows(flows: DataFrame, key: str = "flow_signature_hash", order: str = "flow_id") -> DataFrame:
     """Drop flows of at most one node; of several flows with one key keep the first by ``order``.
 
-    Flows without a key are all kept.
+    A flow without an order column comes after those that have one.  Flows without a key are all kept.
     """
     long = flows.filter(F.col("flow_length") > 1)
-    keyed = long.filter(F.col(key).isNotNull())
-    first = row_number_at_most(keyed.filter(F.col(order).isNotNull()), ["project_id", key], [F.col(order)], 1)
+    first = row_number_at_most(long.filter(F.col(key).isNotNull()), ["project_id", key], [F.col(order).asc_nulls_last()], 1)
     return first.unionByName(long.filter(F.col(key).isNull()))
 
 

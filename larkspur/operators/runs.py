@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.filters import active_run, row_number_at_most, run_pointers
+from larkspur.session import written
 
 C = F.col
 
@@ -147,11 +150,14 @@ def classify_reopened(unmatched_rows: DataFrame, history: DataFrame, projects: D
     return out.withColumn("event_type", F.when(C("_seen"), "reopened").otherwise("detected")).drop("_seen")
 
 
-def lifecycle_events(findings: DataFrame, projects: DataFrame, deps: DataFrame, *, now: Column) -> DataFrame:
-    """Events of the active run against the previous one, one per (project, vulnerability, package row)."""
-    new = active_run(findings, projects)
-    old = active_run(findings, projects, "previous")
-    events = classify_reopened(unmatched(new, old, deps), findings, projects, deps)
+def lifecycle_events(findings: DataFrame, projects: DataFrame, deps: DataFrame, *, now: Column, fresh: DataFrame | None = None) -> DataFrame:
+    """Events of the active run against the previous one, one per (project, vulnerability, package row).
+
+    ``fresh`` are the unmatched findings, where the caller has them already.
+    """
+    if fresh is None:
+        fresh = unmatched(active_run(findings, projects), active_run(findings, projects, "previous"), deps)
+    events = classify_reopened(fresh, findings, projects, deps)
     first_time = projects.filter(C("previous_extraction_run_id").isNull()).select("project_id", F.lit(True).alias("_first"))
     return (
         events.join(first_time, "project_id", "left")
@@ -161,31 +167,49 @@ def lifecycle_events(findings: DataFrame, projects: DataFrame, deps: DataFrame,
     )
 
 
-def finalize_runs(findings, events, deps, projects, organizations, policies, *, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Commit the active run of every project: (findings with state and clocks, events, one summary row each)."""
+class Commit(NamedTuple):
+    """What a commit of runs gives: vulnerabilities with state and clocks, their events, a summary row a project, other families."""
+
+    rows: DataFrame
+    log: DataFrame
+    summary: DataFrame
+    families: dict[str, DataFrame]
+
+
+CLOCK = ("detected_at", "sla_status", "sla_deadline_at", "sla_warning_at", "sla_breached_at")
+
+
+def finalize_runs(findings, events, deps, projects, organizations, policies, *, now: Column, families: dict[str, DataFrame] | None = None) -> Commit:
+    """Commit the active run of every project, all families in one go.
+
+    ``families`` are the tables besides vulnerabilities (see ``finalize_families``); their rows come back with carried
+    state and are counted in the summary.  Carried rows, unmatched findings, events and started clocks are written
+    once, as several results read each.
+    """
     from larkspur.operators.sla import sla_clock
 
-    new = active_run(findings, projects)
-    old = active_run(findings, projects, "previous")
-    carried = carry_forward(new, old, deps)
-    log = lifecycle_events(findings, projects, deps, now=now)
-    clocked = sla_clock(carried, events, projects, organizations, policies, now=now)
-    started = clocked.select("finding_id", *[C(c).alias(f"_{c}") for c in ("detected_at", "sla_status", "sla_deadline_at", "sla_warning_at", "sla_breached_at")])
-    rows = carried.join(started, "finding_id", "left")
-    for column in ("detected_at", "sla_status", "sla_deadline_at", "sla_warning_at", "sla_breached_at"):
+    new, old = active_run(findings, projects), active_run(findings, projects, "previous")
+    carried = written(carry_forward(new, old, deps))
+    fresh_rows = written(unmatched(new, old, deps))
+    log = written(lifecycle_events(findings, projects, deps, now=now, fresh=fresh_rows))
+    clocked = written(sla_clock(carried, events, projects, organizations, policies, now=now).select("project_id", "finding_id", *CLOCK))
+    rows = carried.join(clocked.select("finding_id", *[C(c).alias(f"_{c}") for c in CLOCK]), "finding_id", "left")
+    for column in CLOCK:
         rows = rows.withColumn(column, F.coalesce(C(f"_{column}"), C(column))).drop(f"_{column}")
     loud = (F.lower(F.coalesce(C("severity"), F.lit(""))) == "critical") | C("cisa_kev")
-    fresh = unmatched(new, old, deps).groupBy("project_id").agg(F.count_if(loud).alias("critical_new"))
-    closed = close_missing(deps, projects, now=now).groupBy("project_id").agg(F.count("*").alias("deps_removed"))
-    by_type = log.groupBy("project_id").agg(
-        F.count_if(C("event_type") == "detected").alias("vulns_new"), F.count_if(C("event_type") == "reopened").alias("vulns_reopened"))
-    kept = carried.groupBy("project_id").agg(F.count_if("carried").alias("vulns_carried"))
-    timed = clocked.groupBy("project_id").agg(F.count("*").alias("sla_computed"))
-    summary = projects.filter(C("active_extraction_run_id").isNotNull()).select("project_id")
-    for part in (kept, by_type, fresh, closed, timed):
-        summary = summary.join(part, "project_id", "left")
-    names = ["vulns_carried", "vulns_new", "vulns_reopened", "critical_new", "deps_removed", "sla_computed"]
-    return rows, log, summary.fillna(0, names).select("project_id", *names)
+    others = finalize_families(families or {}, projects)
+    counted = {
+        "vulns_carried": carried.filter("carried"), "vulns_new": log.filter(C("event_type") == "detected"), "vulns_reopened": log.filter(C("event_type") == "reopened"),
+        "critical_new": fresh_rows.filter(loud), "deps_removed": close_missing(deps, projects, now=now), "sla_computed": clocked,
+    } | {f"{name}_rows": part for name, part in others.items()}
+    # one long table of (project, measure, number) instead of a join for each measure
+    long = None
+    for name, part in counted.items():
+        one = part.groupBy("project_id").agg(F.count("*").alias("n")).withColumn("measure", F.lit(name))
+        long = one if long is None else long.unionByName(one)
+    wide = long.groupBy("project_id").agg(*[F.sum(F.when(C("measure") == name, C("n"))).alias(name) for name in counted])
+    summary = projects.filter(C("active_extraction_run_id").isNotNull()).select("project_id").join(wide, "project_id", "left").fillna(0, list(counted))
+    return Commit(rows, log, summary.select("project_id", *counted), others)
 
 
 def close_missing(deps: DataFrame, projects: DataFrame, *, now: Column) -> DataFrame:

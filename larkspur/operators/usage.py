@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.ranking import running_total
+
 C = F.col
 
 
@@ -218,13 +220,15 @@ def debt_velocity(snapshots: DataFrame, *, now: Column, days: int = 30) -> DataF
 
 
 def balance_crossings(ledger: DataFrame, *, low_cents: int) -> DataFrame:
-    """Days on which an organization's end-of-day balance falls below the low mark or to zero (batch form of the alerts)."""
-    daily = ledger.groupBy("organization_id", C("created_at").cast("date").alias("day")).agg(F.sum("amount_cents").alias("net"))
-    w = Window.partitionBy("organization_id").orderBy("day")
-    run = daily.withColumn("balance", F.sum("net").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    run = run.withColumn("before", F.coalesce(F.lag("balance").over(w), F.lit(0)))
-    alert = F.when((C("balance") <= 0) & (C("before") > 0), "zero").when((C("balance") < low_cents) & (C("before") >= low_cents), "low")
-    return run.withColumn("alert", alert).filter(C("alert").isNotNull()).select("organization_id", "day", "balance", "alert")
+    """Transactions that take an organization's balance to the low mark or to zero, or below (batch form of the alerts).
+
+    Balances are running sums inside a day on top of what lies before it, so no organization is one task.
+    """
+    order = [C("created_at"), C("transaction_id")]
+    run = running_total(ledger.select("organization_id", "transaction_id", "created_at", "amount_cents"), ["organization_id"], {"_day": C("created_at").cast("date")}, order, C("amount_cents"), "balance")
+    before = C("balance") - C("amount_cents")
+    alert = F.when((C("balance") <= 0) & (before > 0), "zero").when((C("balance") <= low_cents) & (before > low_cents), "low")
+    return run.withColumn("alert", alert).filter(C("alert").isNotNull()).select("organization_id", "transaction_id", "balance", "alert")
 
 
 def feed_staleness(runs_df: DataFrame, sources: list[str], *, now: Column) -> DataFrame:

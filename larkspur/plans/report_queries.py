@@ -162,10 +162,10 @@ def _(v):
 
 
 @query("str11_balance_crossings", """
-    WITH d AS (SELECT organization_id, CAST(created_at AS DATE) AS day, sum(amount_cents) AS net FROM ledger GROUP BY 1, 2), r AS (SELECT *, sum(net) OVER (PARTITION BY organization_id ORDER BY day) AS balance FROM d), b AS (SELECT *, coalesce(lag(balance) OVER (PARTITION BY organization_id ORDER BY day), 0) AS prev FROM r)
-    SELECT organization_id, CAST(day AS VARCHAR) AS day, CAST(balance AS BIGINT) AS balance, CASE WHEN balance <= 0 AND prev > 0 THEN 'zero' ELSE 'low' END AS alert FROM b WHERE (balance <= 0 AND prev > 0) OR (balance < 500000 AND prev >= 500000)""")
+    WITH r AS (SELECT *, sum(amount_cents) OVER (PARTITION BY organization_id ORDER BY created_at, transaction_id) AS balance FROM ledger), b AS (SELECT *, balance - amount_cents AS prev FROM r)
+    SELECT organization_id, transaction_id, CAST(balance AS BIGINT) AS balance, CASE WHEN balance <= 0 AND prev > 0 THEN 'zero' ELSE 'low' END AS alert FROM b WHERE (balance <= 0 AND prev > 0) OR (balance <= 500000 AND prev > 500000)""")
 def _(v):
-    return usage.balance_crossings(v.ledger, low_cents=500000).withColumn("day", C("day").cast("string"))
+    return usage.balance_crossings(v.ledger, low_cents=500000)
 
 
 @query("str9_stale_source", f"""

@@ -16,7 +16,7 @@ NOW = f"TIMESTAMP '{FINDINGS_NOW}'"
 
 ACTIVE = "cur AS (SELECT f.*, d.name AS dep_name, d.version AS dep_version FROM findings f JOIN projects p ON p.project_id = f.project_id AND p.active_extraction_run_id = f.extraction_run_id JOIN project_dependencies d USING (project_dependency_id))"
 PREVIOUS = "prev AS (SELECT f.*, d.name AS dep_name, d.version AS dep_version FROM findings f JOIN projects p ON p.project_id = f.project_id AND p.previous_extraction_run_id = f.extraction_run_id JOIN project_dependencies d USING (project_dependency_id))"
-CARRY = f"""{ACTIVE}, {PREVIOUS}, carried AS (SELECT * FROM (SELECT n.finding_id, o.status, o.suppressed, o.risk_accepted, coalesce(o.detected_at, n.detected_at) AS detected_at, o.sla_status,
+CARRY = f"""{ACTIVE}, {PREVIOUS}, carried AS (SELECT * FROM (SELECT n.finding_id, o.status, o.suppressed, o.risk_accepted, coalesce(o.detected_at, n.detected_at) AS detected_at, o.sla_status, o.sla_deadline_at, o.sla_warning_at,
     CASE WHEN o.runtime_confirmed_at IS NOT NULL THEN 'confirmed' ELSE n.reachability_level END AS reachability_level,
     row_number() OVER (PARTITION BY n.finding_id ORDER BY n.project_dependency_id = o.project_dependency_id DESC, n.dep_version = o.dep_version DESC, o.detected_at ASC NULLS LAST, o.finding_id) AS rn
     FROM cur n JOIN prev o ON o.project_id = n.project_id AND o.dep_name = n.dep_name AND o.osv_id = n.osv_id) WHERE rn = 1)"""
@@ -124,16 +124,72 @@ def _(v):
     return runs.carry_forward_dast(d.filter(C("dast_run_id") == "run-2"), d.filter(C("dast_run_id") == "run-1")).select("finding_id", "status")
 
 
+STATE = ["status", "suppressed", "risk_accepted", "sla_status", "sla_deadline_at", "sla_warning_at"]
+COMMIT = f"""{CARRY}, base AS (SELECT n.* REPLACE ({", ".join(f"CASE WHEN c.finding_id IS NULL THEN n.{x} ELSE c.{x} END AS {x}" for x in STATE)}, coalesce(c.detected_at, n.detected_at) AS detected_at), c.finding_id IS NOT NULL AS carried FROM cur n LEFT JOIN carried c USING (finding_id)),
+    fe AS (SELECT project_id, osv_id, min(created_at) AS t FROM finding_events WHERE event_type = 'detected' GROUP BY 1, 2),
+    due AS (SELECT f.project_id, f.finding_id, coalesce(fe.t, f.created_at) AS d, s.max_hours AS h, coalesce(s.warning_threshold_percent, 75) AS w FROM base f JOIN projects p ON p.project_id = f.project_id JOIN organizations o ON o.organization_id = p.organization_id
+      JOIN sla_policies s ON s.organization_id = p.organization_id AND s.severity = f.severity AND s.enabled LEFT JOIN fe ON fe.project_id = f.project_id AND fe.osv_id = f.osv_id
+      WHERE f.sla_status IS NULL AND NOT f.suppressed AND NOT f.risk_accepted AND o.sla_paused_at IS NULL),
+    clock AS (SELECT project_id, finding_id, d, d + to_hours(h) AS deadline, CASE WHEN {NOW} > d + to_hours(h) THEN 'breached' WHEN {NOW} >= d + to_seconds(h * w * 36) THEN 'warning' ELSE 'on_track' END AS state FROM due)"""
+LOG = f"{REOPENED}, log AS (SELECT DISTINCT e.project_id, e.osv_id, e.extraction_run_id, e.project_dependency_id, CASE WHEN p.previous_extraction_run_id IS NULL THEN 'detected' ELSE e.event_type END AS event_type FROM ev e JOIN projects p USING (project_id))"
+FAMILY_SQL = {
+    "sast": """SELECT n.project_id, CAST(n.finding_id AS VARCHAR) AS finding_id, coalesce((SELECT o.status FROM semgrep_findings o JOIN projects p ON p.project_id = o.project_id AND p.previous_extraction_run_id = o.extraction_run_id WHERE o.project_id = n.project_id
+        AND CASE WHEN n.fingerprint IS NOT NULL THEN o.fingerprint = n.fingerprint ELSE o.rule_id = n.rule_id AND o.file_path = n.file_path AND o.start_line IS NOT DISTINCT FROM n.start_line END ORDER BY o.created_at DESC, o.finding_id DESC LIMIT 1), n.status) AS status
+        FROM semgrep_findings n JOIN projects p ON p.project_id = n.project_id AND p.active_extraction_run_id = n.extraction_run_id""",
+    "malicious": """SELECT n.project_id, CAST(n.finding_id AS VARCHAR), coalesce((SELECT o.status FROM malicious_findings o JOIN projects p ON p.project_id = o.project_id AND p.previous_extraction_run_id = o.extraction_run_id WHERE o.status = 'ignored' AND o.project_id = n.project_id AND o.finding_key = n.finding_key
+        ORDER BY o.created_at DESC, o.finding_id DESC LIMIT 1), n.status) FROM malicious_findings n JOIN projects p ON p.project_id = n.project_id AND p.active_extraction_run_id = n.extraction_run_id""",
+} | {
+    name: f"""SELECT n.project_id, CAST(n.finding_id AS VARCHAR), coalesce((SELECT o.status FROM {table} o JOIN projects p ON p.project_id = o.project_id AND p.previous_extraction_run_id = o.extraction_run_id WHERE o.project_id = n.project_id AND {same} ORDER BY o.finding_id DESC LIMIT 1), n.status)
+        FROM {table} n JOIN projects p ON p.project_id = n.project_id AND p.active_extraction_run_id = n.extraction_run_id"""
+    for name, table, same in (
+        ("secret", "secret_findings", "o.detector_type = n.detector_type AND o.file_path = n.file_path AND o.raw_value IS NOT DISTINCT FROM n.raw_value"),
+        ("iac", "iac_findings", "o.scanner = n.scanner AND o.fingerprint = n.fingerprint"), ("container", "container_findings", "o.fingerprint = n.fingerprint"))
+}
+FAMILY_ROWS = "fam AS (" + " UNION ALL ".join(f"SELECT '{name}' AS family, * FROM ({text})" for name, text in FAMILY_SQL.items()) + ")"
+
+
+def _commit(v) -> runs.Commit:
+    families = {
+        "sast": v.semgrep_findings, "malicious": v.malicious_findings, "secret": v.secret_findings.withColumn("redacted_value", C("raw_value")),
+        "iac": v.iac_findings, "container": v.container_findings,
+    }
+    return runs.finalize_runs(v.findings, v.finding_events, v.project_dependencies, v.projects, v.organizations, v.sla_policies, now=findings_now(), families=families)
+
+
 @query("finalize_runs_summary", f"""
-    WITH {REOPENED}, c AS (SELECT n.project_id, count(*) AS k FROM cur n WHERE EXISTS (SELECT 1 FROM prev o WHERE o.project_id = n.project_id AND o.dep_name = n.dep_name AND o.osv_id = n.osv_id) GROUP BY 1),
-    e AS (SELECT project_id, count(*) FILTER (WHERE t = 'detected') AS nw, count(*) FILTER (WHERE t = 'reopened') AS re FROM (SELECT DISTINCT e.project_id, e.osv_id, e.project_dependency_id, CASE WHEN p.previous_extraction_run_id IS NULL THEN 'detected' ELSE e.event_type END AS t FROM ev e JOIN projects p USING (project_id)) GROUP BY 1),
+    WITH {COMMIT}, {LOG.replace(ACTIVE + ", " + PREVIOUS + ", ", "")}, {FAMILY_ROWS},
+    c AS (SELECT project_id, count(*) AS k FROM base WHERE carried GROUP BY 1),
+    e AS (SELECT project_id, count(*) FILTER (WHERE event_type = 'detected') AS nw, count(*) FILTER (WHERE event_type = 'reopened') AS re FROM log GROUP BY 1),
     cr AS (SELECT project_id, count(*) FILTER (WHERE severity = 'critical' OR cisa_kev) AS k FROM ev GROUP BY 1),
-    rm AS (SELECT d.project_id, count(*) AS k FROM project_dependencies d JOIN projects p USING (project_id) WHERE p.active_extraction_run_id IS NOT NULL AND removed_at IS NULL AND last_seen_extraction_run_id IS DISTINCT FROM p.active_extraction_run_id GROUP BY 1)
-    SELECT p.project_id, coalesce(c.k, 0) AS vulns_carried, coalesce(e.nw, 0) AS vulns_new, coalesce(e.re, 0) AS vulns_reopened, coalesce(cr.k, 0) AS critical_new, coalesce(rm.k, 0) AS deps_removed
-    FROM projects p LEFT JOIN c USING (project_id) LEFT JOIN e USING (project_id) LEFT JOIN cr USING (project_id) LEFT JOIN rm USING (project_id) WHERE p.active_extraction_run_id IS NOT NULL""")
+    rm AS (SELECT d.project_id, count(*) AS k FROM project_dependencies d JOIN projects p USING (project_id) WHERE p.active_extraction_run_id IS NOT NULL AND removed_at IS NULL AND last_seen_extraction_run_id IS DISTINCT FROM p.active_extraction_run_id GROUP BY 1),
+    sl AS (SELECT project_id, count(*) AS k FROM clock GROUP BY 1),
+    fm AS (SELECT project_id, {", ".join(f"count(*) FILTER (WHERE family = '{n}') AS {n}_rows" for n in FAMILY_SQL)} FROM fam GROUP BY 1)
+    SELECT p.project_id, coalesce(c.k, 0) AS vulns_carried, coalesce(e.nw, 0) AS vulns_new, coalesce(e.re, 0) AS vulns_reopened, coalesce(cr.k, 0) AS critical_new, coalesce(rm.k, 0) AS deps_removed, coalesce(sl.k, 0) AS sla_computed, {", ".join(f"coalesce({n}_rows, 0) AS {n}_rows" for n in FAMILY_SQL)}
+    FROM projects p LEFT JOIN c USING (project_id) LEFT JOIN e USING (project_id) LEFT JOIN cr USING (project_id) LEFT JOIN rm USING (project_id) LEFT JOIN sl USING (project_id) LEFT JOIN fm USING (project_id) WHERE p.active_extraction_run_id IS NOT NULL""")
+def _(v):
+    return _commit(v).summary
+
+
+@query("finalize_runs_rows", f"""
+    WITH {COMMIT}
+    SELECT b.finding_id, b.carried, b.status, b.suppressed, b.risk_accepted, coalesce(k.state, b.sla_status) AS sla_status, strftime(coalesce(k.deadline, b.sla_deadline_at), {TS}) AS sla_deadline_at, strftime(coalesce(k.d, b.detected_at), {TS}) AS detected_at
+    FROM base b LEFT JOIN clock k USING (finding_id)""")
+def _(v):
+    return _commit(v).rows.select("finding_id", "carried", "status", "suppressed", "risk_accepted", "sla_status", stamp("sla_deadline_at"), stamp("detected_at"))
+
+
+@query("finalize_runs_log", f"WITH {LOG} SELECT project_id, osv_id, event_type, extraction_run_id, project_dependency_id FROM log")
+def _(v):
+    return _commit(v).log.select("project_id", "osv_id", "event_type", "extraction_run_id", "project_dependency_id")
+
+
+@query("finalize_runs_families", f"WITH {FAMILY_ROWS} SELECT family, project_id, finding_id, status FROM fam")
 def _(v):
-    out = runs.finalize_runs(v.findings, v.finding_events, v.project_dependencies, v.projects, v.organizations, v.sla_policies, now=findings_now())
-    return out[2].drop("sla_computed")
+    out = None
+    for name, rows in _commit(v).families.items():
+        part = rows.select(F.lit(name).alias("family"), "project_id", C("finding_id").cast("string").alias("finding_id"), "status")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("win7_sla_clock", f"""

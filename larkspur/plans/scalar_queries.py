@@ -378,10 +378,12 @@ def _(v):
 
 
 @query("flt14_drop_single_node_flows", """
-    SELECT min(flow_id) AS flow_id FROM flows WHERE flow_length > 1 AND flow_signature_hash IS NOT NULL GROUP BY project_id, flow_signature_hash
-    UNION ALL SELECT flow_id FROM flows WHERE flow_length > 1 AND flow_signature_hash IS NULL""")
+    WITH f AS (SELECT * REPLACE (CASE WHEN sink_line % 3 = 0 THEN NULL ELSE flow_id END AS flow_id) FROM flows WHERE flow_length > 1)
+    SELECT project_id, flow_signature_hash, min(flow_id) AS flow_id FROM f WHERE flow_signature_hash IS NOT NULL GROUP BY project_id, flow_signature_hash
+    UNION ALL SELECT project_id, flow_signature_hash, flow_id FROM f WHERE flow_signature_hash IS NULL""")
 def _(v):
-    return filters.drop_single_node_flows(v.flows).select("flow_id")
+    some_without = v.flows.withColumn("flow_id", F.when(C("sink_line") % 3 == 0, None).otherwise(C("flow_id")))
+    return filters.drop_single_node_flows(some_without).select("project_id", "flow_signature_hash", "flow_id")
 
 
 @query("flt15_fresh_cache", f"""
