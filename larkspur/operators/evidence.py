@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import labels, packages, scores, text
 from larkspur.operators.filters import RUN, active_run, row_number_at_most
+from larkspur.session import written
 
 C = F.col
 GRAM = 4
@@ -201,8 +202,8 @@ def reachability_level() -> Column:
     """Ladder over evidence columns.
 
     Expects confirmed_flows, data_flow_flows, environment, symbol_hit, usage_seen, usage_strong, usage_ran,
-    files_importing_count, is_direct, ecosystem, name, graph_trusted, client_spa, transitive_of_reachable.  Without
-    usage analysis or with an untrusted graph nothing becomes unreachable.
+    files_importing_count, is_direct, ecosystem, name, graph_trusted, client_spa, transitive_of_reachable, call_reached.
+    Without usage analysis or with an untrusted graph nothing becomes unreachable for want of imports.
     """
     true, false = F.lit(True), F.lit(False)
     dev = is_dev(C("environment"))
@@ -211,7 +212,7 @@ def reachability_level() -> Column:
     orphan = (
         F.coalesce("graph_trusted", true) & ran & (~C("is_direct") | C("ecosystem").isin(EXPLICIT_IMPORT))
         & (C("files_importing_count") == 0) & ~is_framework_runtime(C("name"))
-        & ~(F.coalesce("client_spa", false) & ~dev)
+        & ~(F.coalesce("client_spa", false) & ~dev) & ~F.coalesce("call_reached", false)
     )
     return (
         F.when(C("confirmed_flows") > 0, "confirmed").when(C("data_flow_flows") > 0, "data_flow").when(dev, "unreachable")
@@ -221,26 +222,39 @@ def reachability_level() -> Column:
     )
 
 
-def classify(findings, deps, projects, flows, suppressions, sinks, usages, edges) -> DataFrame:
-    """All evidence of the active run joined to its findings, with the resulting level in ``new_level``."""
+def trusted_graphs(bom_edges: DataFrame, root: str = "root") -> DataFrame:
+    """(project_id, graph_trusted): projects whose bill of materials says what is direct; others are not listed."""
+    return bom_edges.filter(C("parent") == root).select("project_id").distinct().withColumn("graph_trusted", F.lit(True))
+
+
+def classify(findings, deps, projects, flows, suppressions, sinks, usages, edges, bom_edges, reached) -> DataFrame:
+    """All evidence of the active run joined to its findings, with the resulting level in ``new_level``.
+
+    ``bom_edges`` (project_id, parent, child) tells which projects' graphs are wired: in the others every package looks
+    transitive, so nothing is called unreachable for want of imports and nothing is inherited.  ``reached`` (project_id,
+    package in lower case) are the packages that the project's call graph enters: they are evidence of their own and
+    pass on to what they depend on.
+    """
     from larkspur.operators.graph import transitive_of_reachable
 
-    rows = active_run(findings, projects)
+    rows = written(active_run(findings, projects))
+    calls = written(active_run(usages, projects).select("project_id", "target_type", "resolved_method"))
     rows = flow_evidence(rows, active_run(flows, projects), suppressions)
-    calls = active_run(usages, projects)
     rows = symbol_match(rows, sinks, calls)
     ran = calls.select("project_id").distinct().withColumn("usage_ran", F.lit(True))
     rows = rows.join(usage_strength(calls, deps), "project_dependency_id", "left").join(ran, "project_id", "left")
-    meta = deps.select("project_dependency_id", "name", "version_id", "environment", "is_direct", "ecosystem", "files_importing_count")
-    rows = rows.join(meta, "project_dependency_id").join(projects.select("project_id", C("is_client_spa").alias("client_spa")), "project_id")
-    evidence = deps.filter(
-        ~is_dev(C("environment"))
-        & ((F.coalesce("files_importing_count", F.lit(0)) > 0) | is_framework_runtime(C("name")) | (C("is_direct") & ~C("ecosystem").isin(EXPLICIT_IMPORT)))
-    )
-    via = transitive_of_reachable(deps, edges, evidence.select("project_id", "version_id")).select(
+    trusted = trusted_graphs(bom_edges)
+    entered = reached.select("project_id", C("package").alias("_package"), F.lit(True).alias("call_reached")).distinct()
+    meta = deps.select("project_id", "project_dependency_id", "name", "version_id", "environment", "is_direct", "ecosystem", "files_importing_count", F.lower("name").alias("_package"))
+    meta = written(meta.join(entered, ["project_id", "_package"], "left").join(trusted, "project_id", "left").drop("_package").fillna(False, ["call_reached", "graph_trusted"]))
+    rows = rows.join(meta.drop("project_id"), "project_dependency_id").join(projects.select("project_id", C("is_client_spa").alias("client_spa")), "project_id")
+    explicit = C("ecosystem").isin(EXPLICIT_IMPORT)
+    proof = (F.coalesce("files_importing_count", F.lit(0)) > 0) | is_framework_runtime(C("name")) | (C("is_direct") & ~explicit) | C("call_reached")
+    wired = meta.filter("graph_trusted")
+    evidence = wired.filter(~is_dev(C("environment")) & proof)
+    via = transitive_of_reachable(wired, edges, evidence.select("project_id", "version_id")).select(
         "project_id", C("node").alias("version_id"), F.lit(True).alias("transitive_of_reachable"))
-    rows = rows.join(via, ["project_id", "version_id"], "left").withColumn("graph_trusted", F.lit(True))
-    return rows.withColumn("new_level", reachability_level())
+    return rows.join(via, ["project_id", "version_id"], "left").withColumn("new_level", reachability_level())
 
 
 def route_match(requests: DataFrame, routes: DataFrame, key: list[str]) -> DataFrame:

@@ -166,23 +166,55 @@ def _(v):
 
 @query("scl28_reachability_level", """
     SELECT finding_id, CASE WHEN c > 0 THEN 'confirmed' WHEN d > 0 THEN 'data_flow' WHEN environment = 'dev' THEN 'unreachable' WHEN sym THEN 'function' WHEN NOT sym AND ran AND coalesce(files, 0) > 0 THEN 'unreachable' WHEN strong THEN 'function' WHEN seen THEN 'module'
-      WHEN ran AND trusted AND (NOT is_direct OR ecosystem IN ('composer', 'pypi', 'npm')) AND files = 0 AND NOT spa AND NOT via THEN 'unreachable' ELSE 'module' END AS level
+      WHEN ran AND trusted AND (NOT is_direct OR ecosystem IN ('composer', 'pypi', 'npm')) AND files = 0 AND NOT spa AND NOT entered AND NOT via THEN 'unreachable' ELSE 'module' END AS level
     FROM (SELECT f.finding_id, CASE WHEN length(f.finding_id) % 9 = 0 THEN 1 ELSE 0 END AS c, CASE WHEN f.kevs THEN 1 ELSE 0 END AS d, x.environment, CASE WHEN f.severity = 'high' THEN true WHEN f.severity = 'low' THEN false END AS sym, x.files_importing_count AS files, f.suppressed AS seen, f.suppressed AND f.risk_accepted AS strong,
-      f.status <> 'ignored' AS ran, f.status <> 'resolved' AS trusted, x.is_direct, x.ecosystem, p.is_client_spa AS spa, f.auto_ignored AS via FROM (SELECT *, cisa_kev AND severity = 'medium' AS kevs FROM findings) f JOIN project_dependencies x USING (project_dependency_id) JOIN projects p ON p.project_id = f.project_id)""")
+      f.status <> 'ignored' AS ran, f.status <> 'resolved' AS trusted, x.is_direct, x.ecosystem, p.is_client_spa AS spa, f.auto_ignored AS via, f.risk_accepted AS entered FROM (SELECT *, cisa_kev AND severity = 'medium' AS kevs FROM findings) f JOIN project_dependencies x USING (project_dependency_id) JOIN projects p ON p.project_id = f.project_id)""")
 def _(v):
     rows = (
         v.findings.join(v.project_dependencies.select("project_dependency_id", "name", "environment", "files_importing_count", "is_direct", "ecosystem"), "project_dependency_id")
         .join(v.projects.select("project_id", C("is_client_spa").alias("client_spa")), "project_id")
         .withColumn("confirmed_flows", F.when(F.length("finding_id") % 9 == 0, 1).otherwise(0)).withColumn("data_flow_flows", F.when(C("cisa_kev") & (C("severity") == "medium"), 1).otherwise(0))
         .withColumn("symbol_hit", F.when(C("severity") == "high", True).when(C("severity") == "low", False)).withColumn("usage_seen", C("suppressed")).withColumn("usage_strong", C("suppressed") & C("risk_accepted"))
-        .withColumn("usage_ran", C("status") != "ignored").withColumn("graph_trusted", C("status") != "resolved").withColumn("transitive_of_reachable", C("auto_ignored"))
+        .withColumn("usage_ran", C("status") != "ignored").withColumn("graph_trusted", C("status") != "resolved").withColumn("transitive_of_reachable", C("auto_ignored")).withColumn("call_reached", C("risk_accepted"))
     )
     return rows.select("finding_id", evidence.reachability_level().alias("level"))
 
 
-@query("reachability_classify")
+_quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+CLASSIFY = f"""
+    WITH RECURSIVE af AS MATERIALIZED (SELECT f.* FROM findings f JOIN projects p ON p.project_id = f.project_id AND p.active_extraction_run_id = f.extraction_run_id),
+    au AS MATERIALIZED (SELECT u.project_id, lower(target_type) AS t, lower(resolved_method) AS m FROM usages u JOIN projects p ON p.project_id = u.project_id AND p.active_extraction_run_id = u.extraction_run_id),
+    fl AS (SELECT f.*, EXISTS (SELECT 1 FROM flow_suppressions s WHERE s.project_id = f.project_id AND s.flow_signature_hash = f.flow_signature_hash) AS sup FROM flows f JOIN projects p ON p.project_id = f.project_id AND p.active_extraction_run_id = f.extraction_run_id),
+    ev AS (SELECT f.finding_id, count(*) FILTER (WHERE fl.osv_id IS NOT NULL AND fl.reachability_source IN ('semgrep_taint', 'taint_engine') AND NOT sup) AS c, count(fl.flow_id) AS d FROM af f LEFT JOIN fl ON fl.project_id = f.project_id AND fl.dependency_id = f.dependency_id AND (fl.osv_id IS NULL OR fl.osv_id = f.osv_id OR list_contains(f.aliases, fl.osv_id)) GROUP BY 1),
+    tk AS (SELECT osv_id, unnest([regexp_replace(regexp_replace(lower(pattern), '\\(\\*\\)$', ''), '\\.\\*$', ''), split_part(regexp_replace(regexp_replace(lower(pattern), '\\(\\*\\)$', ''), '\\.\\*$', ''), '.', 2)]) AS needle FROM cve_sinks),
+    ask AS (SELECT DISTINCT finding_id, project_id, needle FROM (SELECT finding_id, project_id, unnest(list_distinct(list_append(coalesce(aliases, []), osv_id))) AS osv_id FROM af) JOIN tk USING (osv_id)),
+    tx AS MATERIALIZED (SELECT project_id, text, bool_or(receiver) AS receiver, bool_or(strong) AS strong FROM (SELECT project_id, t AS text, true AS receiver, bare <> '' AND bare NOT IN ({_quoted(evidence.COMMON_CALLS)}) AS strong FROM (SELECT *, regexp_extract(coalesce(m, ''), '[a-z0-9_$]*$') AS bare FROM au)
+      UNION ALL SELECT project_id, m, false, bare <> '' AND bare NOT IN ({_quoted(evidence.COMMON_CALLS)}) FROM (SELECT *, regexp_extract(coalesce(m, ''), '[a-z0-9_$]*$') AS bare FROM au)) WHERE text IS NOT NULL GROUP BY 1, 2),
+    ok AS (SELECT DISTINCT a.project_id, a.needle FROM (SELECT DISTINCT project_id, needle FROM ask WHERE needle <> '') a JOIN tx ON tx.project_id = a.project_id AND contains(text, needle)),
+    sy AS (SELECT finding_id, bool_or(ok.needle IS NOT NULL) AS hit FROM ask LEFT JOIN ok USING (project_id, needle) GROUP BY 1),
+    vr AS (SELECT DISTINCT project_id, project_dependency_id, needle FROM (SELECT project_id, project_dependency_id, unnest([lower(name), replace(lower(name), '-', '.'), CASE WHEN length(split_part(lower(name), '-', 1)) > 3 THEN split_part(lower(name), '-', 1) END]) AS needle FROM project_dependencies) WHERE needle <> ''),
+    st AS (SELECT n.project_id, n.needle, bool_or(strong OR (receiver AND length(needle) >= 4 AND needle NOT IN ({_quoted(evidence.COMMON_CALLS)}))) AS good FROM (SELECT DISTINCT project_id, needle FROM vr) n JOIN tx ON tx.project_id = n.project_id AND contains(text, needle)
+      AND regexp_matches(text, '(^|[^a-z0-9])' || regexp_replace(needle, '([^a-z0-9 _-])', '\\\\\\1', 'g') || '($|[^a-z0-9])') GROUP BY 1, 2),
+    us AS (SELECT project_dependency_id, bool_or(good) AS strong FROM vr JOIN st USING (project_id, needle) GROUP BY 1),
+    rp AS (SELECT DISTINCT project_id, lower(dependency_name) AS package FROM usages WHERE usage_kind = 'new'),
+    {WIRED}, tr AS (SELECT DISTINCT project_id FROM e WHERE parent = 'root'),
+    dm AS MATERIALIZED (SELECT d.*, coalesce(environment = 'dev', false) AS dev, rp.package IS NOT NULL AS entered, tr.project_id IS NOT NULL AS trusted, lower(coalesce(name, '')) IN ({_quoted(evidence.CONVENTION_RUNTIME)}) OR {" OR ".join(f"contains(lower(coalesce(name, '')), '{w}')" for w in evidence.EMBEDDED_RUNTIME)} AS runtime
+      FROM project_dependencies d LEFT JOIN rp ON rp.project_id = d.project_id AND rp.package = lower(d.name) LEFT JOIN tr ON tr.project_id = d.project_id),
+    sd AS MATERIALIZED (SELECT project_id, version_id FROM dm WHERE trusted AND NOT dev AND (coalesce(files_importing_count, 0) > 0 OR runtime OR entered OR (is_direct AND ecosystem NOT IN ('composer', 'pypi', 'npm')))),
+    ed AS MATERIALIZED (SELECT a.project_id, g.parent_version_id AS p, g.child_version_id AS c FROM version_edges g JOIN dm a ON a.version_id = g.parent_version_id AND a.trusted JOIN dm b ON b.project_id = a.project_id AND b.version_id = g.child_version_id),
+    cl AS (SELECT project_id, version_id AS node FROM sd UNION SELECT cl.project_id, ed.c FROM cl JOIN ed ON ed.project_id = cl.project_id AND ed.p = cl.node),
+    vi AS (SELECT * FROM cl EXCEPT SELECT * FROM sd), ra AS (SELECT DISTINCT project_id FROM au)
+    SELECT f.finding_id, f.project_id, CASE WHEN ev.c > 0 THEN 'confirmed' WHEN ev.d > 0 THEN 'data_flow' WHEN x.dev THEN 'unreachable' WHEN sy.hit THEN 'function' WHEN NOT sy.hit AND ra.project_id IS NOT NULL AND coalesce(x.files_importing_count, 0) > 0 THEN 'unreachable'
+      WHEN us.strong THEN 'function' WHEN us.project_dependency_id IS NOT NULL THEN 'module'
+      WHEN x.trusted AND ra.project_id IS NOT NULL AND (NOT x.is_direct OR x.ecosystem IN ('composer', 'pypi', 'npm')) AND x.files_importing_count = 0 AND NOT x.runtime AND NOT p.is_client_spa AND NOT x.entered AND vi.node IS NULL THEN 'unreachable' ELSE 'module' END AS new_level
+    FROM af f JOIN ev USING (finding_id) JOIN dm x USING (project_dependency_id) JOIN projects p ON p.project_id = f.project_id LEFT JOIN sy ON sy.finding_id = f.finding_id LEFT JOIN us ON us.project_dependency_id = f.project_dependency_id
+    LEFT JOIN ra ON ra.project_id = f.project_id LEFT JOIN vi ON vi.project_id = f.project_id AND vi.node = x.version_id"""
+
+
+@query("reachability_classify", CLASSIFY)
 def _(v):
-    out = evidence.classify(v.findings, v.project_dependencies, v.projects, v.flows, v.flow_suppressions, v.cve_sinks, v.usages, v.version_edges)
+    reached = v.usages.filter(C("usage_kind") == "new").select("project_id", F.lower("dependency_name").alias("package"))
+    out = evidence.classify(v.findings, v.project_dependencies, v.projects, v.flows, v.flow_suppressions, v.cve_sinks, v.usages, v.version_edges, _wired(v), reached)
     return out.select("finding_id", "project_id", "new_level")
 
 

@@ -272,10 +272,10 @@ def test_taint_paths_stop_at_sanitizers(spark):
 
 
 def test_ladder_never_unreachable_without_analysis(spark):
-    cols = "confirmed_flows int, data_flow_flows int, environment string, symbol_hit boolean, usage_seen boolean, usage_strong boolean, usage_ran boolean, files_importing_count int, is_direct boolean, ecosystem string, name string, graph_trusted boolean, client_spa boolean, transitive_of_reachable boolean"
-    base = (0, 0, None, None, None, None, True, 0, False, "npm", "lib", True, False, None)
+    cols = "confirmed_flows int, data_flow_flows int, environment string, symbol_hit boolean, usage_seen boolean, usage_strong boolean, usage_ran boolean, files_importing_count int, is_direct boolean, ecosystem string, name string, graph_trusted boolean, client_spa boolean, transitive_of_reachable boolean, call_reached boolean"
+    base = (0, 0, None, None, None, None, True, 0, False, "npm", "lib", True, False, None, None)
     cases = {base: "unreachable"}
-    for index, value, want in [(6, None, "module"), (11, False, "module"), (12, True, "module"), (13, True, "module"), (10, "jetty-server", "module"), (10, "react", "module"), (0, 1, "confirmed"), (1, 2, "data_flow"), (2, "Test", "unreachable"), (3, True, "function"), (7, None, "module")]:
+    for index, value, want in [(6, None, "module"), (11, False, "module"), (12, True, "module"), (13, True, "module"), (14, True, "module"), (10, "jetty-server", "module"), (10, "react", "module"), (0, 1, "confirmed"), (1, 2, "data_flow"), (2, "Test", "unreachable"), (3, True, "function"), (7, None, "module")]:
         row = list(base)
         row[index] = value
         cases[tuple(row)] = want
