@@ -77,15 +77,16 @@ def reachability_filter(findings: DataFrame, levels: list[str], include_unknown:
     return findings.filter(keep)
 
 
-def access_grants(org_members: DataFrame, project_members: DataFrame, team_members: DataFrame) -> DataFrame:
+def access_grants(org_members: DataFrame, org_roles: DataFrame, project_members: DataFrame, team_members: DataFrame) -> DataFrame:
     """Who may see what, as (user, scope, scope id) without listing every project of an organization.
 
-    Owners and managers hold their whole organization; other members hold their own projects and teams.
+    Owners hold their whole organization, as do members whose role there may manage teams and projects; other members
+    hold their own projects and teams.  A role that the organization's table does not have permits nothing.
     """
-    wide = org_members.filter(F.col("role").isin("owner", "manager")).select(
-        "user_id", F.lit("organization").alias("scope"), F.col("organization_id").alias("scope_id")
-    )
-    plain = org_members.filter(~F.col("role").isin("owner", "manager")).select("user_id").distinct()
+    may = org_roles.select("organization_id", F.col("name").alias("role"), F.col("manage_teams_and_projects").alias("_may"))
+    roles = org_members.join(may, ["organization_id", "role"], "left").withColumn("_all", (F.col("role") == "owner") | F.coalesce("_may", F.lit(False)))
+    wide = roles.filter("_all").select("user_id", F.lit("organization").alias("scope"), F.col("organization_id").alias("scope_id"))
+    plain = roles.filter(~F.coalesce("_all", F.lit(False))).select("user_id").distinct()
     direct = project_members.select("user_id", F.lit("project").alias("scope"), F.col("project_id").alias("scope_id"))
     team = team_members.select("user_id", F.lit("team").alias("scope"), F.col("team_id").alias("scope_id"))
     narrow = direct.unionByName(team).join(plain, "user_id", "left_semi")

@@ -83,11 +83,34 @@ def pr_check(changes: DataFrame, rules: list[Rule]) -> DataFrame:
     return judged.groupBy("pr_id").agg(F.bool_and("policy_result.allowed").alias("passed"), F.count_if(~C("policy_result.allowed")).alias("violations"))
 
 
+def notification_triggers(events: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Each event under each trigger: (trigger, notify, message) beside the event's columns.
+
+    A trigger is a rule: when its predicate holds it notifies with its reason as the message.  A predicate that is null
+    for an event does not notify; a null message stays empty.
+    """
+    fires = [F.coalesce(F.expr(r.predicate), F.lit(False)) for r in rules]
+    verdicts = [F.struct(F.lit(r.label).alias("trigger"), fire.alias("notify"), F.when(fire, F.expr(r.reason)).alias("message")) for r, fire in zip(rules, fires)]
+    return events.withColumn("_t", F.explode(F.array(*verdicts))).select(*events.columns, "_t.*")
+
+
 def preflight(spark: SparkSession, package: dict, rules: list[Rule], schema: str) -> DataFrame:
     """Judge one hypothetical package before it is added."""
     return evaluate(spark.createDataFrame([package], schema), rules)
 
 
+def preflight_candidates(candidates: DataFrame, installed: DataFrame, catalog: DataFrame, projects: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Judge packages that projects do not have yet, as if they were added: candidates (project_id, dependency_id) with their verdict.
+
+    Candidates that the project has already are left to the policy of installed packages; one that the catalog does not
+    know is refused, as nothing is known about it.
+    """
+    new = candidates.select("project_id", "dependency_id").distinct().join(installed.select("project_id", "dependency_id"), ["project_id", "dependency_id"], "left_anti")
+    rows = new.join(catalog.withColumn("is_known", F.lit(True)), "dependency_id", "left").join(projects.select("project_id", "importance"), "project_id")
+    unknown = Rule("unknown", "is_known IS NULL", "'Package is not in the catalog'")
+    return evaluate(rows, [unknown, *rules])
+
+
 def extract_purls(components: DataFrame) -> DataFrame:
     """Distinct versioned package URLs of bill-of-materials components, without the document's own component."""
     good = C("purl").startswith("pkg:") & C("purl").contains("@") & ~F.coalesce(C("is_root"), F.lit(False))

@@ -168,6 +168,10 @@ def _views(d) -> dict[str, str]:
                CASE c_mktsegment WHEN 'BUILDING' THEN 'owner' WHEN 'MACHINERY' THEN 'manager' ELSE 'member' END AS role,
                {d.add_hours(d.ts('1995-02-01 00:00:00'), 'c_custkey % 2200 * 24')} AS created_at
         FROM {{customer}} c"""
+    v["organization_roles"] = f"""
+        SELECT CAST(n_nationkey AS BIGINT) AS organization_id, {pick('k', ['owner', 'manager', 'member'])} AS name,
+               (CASE k WHEN 1 THEN n_nationkey % 6 <> 5 WHEN 2 THEN n_nationkey % 11 = 3 END) AS manage_teams_and_projects
+        FROM {{nation}} n {d.series('k', 0, 2)} WHERE k < 2 OR n_nationkey % 8 <> 7"""
     v["project_members"] = """
         SELECT DISTINCT o_custkey AS user_id, l_suppkey AS project_id
         FROM {orders} o JOIN {lineitem} l ON l_orderkey = o_orderkey"""

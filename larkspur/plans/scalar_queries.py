@@ -346,12 +346,24 @@ def _(v):
     return filters.reachability_filter(v.findings, ["confirmed", "data_flow"], include_unknown=True).select("finding_id")
 
 
-@query("flt11_access_grants", """
-    SELECT user_id, 'organization' AS scope, organization_id AS scope_id FROM org_members WHERE role IN ('owner', 'manager')
-    UNION SELECT m.user_id, 'project', m.project_id FROM project_members m JOIN org_members o USING (user_id) WHERE o.role = 'member'
-    UNION SELECT m.user_id, 'team', m.team_id FROM team_members m JOIN org_members o USING (user_id) WHERE o.role = 'member'""")
+GRANTS = """m AS (SELECT o.*, o.role = 'owner' OR coalesce(r.manage_teams_and_projects, false) AS sees_all FROM org_members o LEFT JOIN organization_roles r ON r.organization_id = o.organization_id AND r.name = o.role),
+    g AS (SELECT user_id, 'organization' AS scope, organization_id AS scope_id FROM m WHERE sees_all
+    UNION SELECT p.user_id, 'project', p.project_id FROM project_members p JOIN m USING (user_id) WHERE NOT sees_all
+    UNION SELECT t.user_id, 'team', t.team_id FROM team_members t JOIN m USING (user_id) WHERE NOT sees_all)"""
+
+
+@query("flt11_access_grants", f"WITH {GRANTS} SELECT * FROM g")
+def _(v):
+    return filters.access_grants(v.org_members, v.organization_roles, v.project_members, v.team_members)
+
+
+@query("flt11_accessible_projects", """
+    WITH m AS (SELECT o.*, o.role = 'owner' OR coalesce(r.manage_teams_and_projects, false) AS sees_all FROM org_members o LEFT JOIN organization_roles r ON r.organization_id = o.organization_id AND r.name = o.role)
+    SELECT m.user_id, p.project_id, p.organization_id FROM m JOIN projects p ON p.organization_id = m.organization_id
+    WHERE sees_all OR EXISTS (SELECT 1 FROM project_members x WHERE x.user_id = m.user_id AND x.project_id = p.project_id) OR EXISTS (SELECT 1 FROM team_members t JOIN project_teams y ON y.team_id = t.team_id WHERE t.user_id = m.user_id AND y.project_id = p.project_id)""")
 def _(v):
-    return filters.access_grants(v.org_members, v.project_members, v.team_members)
+    grants = filters.access_grants(v.org_members, v.organization_roles, v.project_members, v.team_members)
+    return filters.accessible_projects(grants, v.projects, v.project_teams, v.org_members).select("user_id", "project_id", "organization_id")
 
 
 @query("flt12_sla_approaching", f"""

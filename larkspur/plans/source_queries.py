@@ -8,12 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators import policy
+from larkspur.operators import policy, runs, sla
 from larkspur.operators.filters import active_run
 from larkspur.plans.common import stamp
 from larkspur.plans.registry import query
 from larkspur.session import new_folder
-from larkspur.sources import readers, writers
+from larkspur.sources import merges, readers, writers
 
 C = F.col
 
@@ -212,6 +212,73 @@ def _(v):
     return policy.pr_check(changes, [policy.Rule("agpl", "license LIKE '%AGPL%'", "'AGPL not allowed'")])
 
 
+TRIGGERS = [
+    ("loud", "priority IN ('critical', 'high') AND depscore >= 40", "upper(priority) || ': ' || event_type"),
+    ("policy", "event_type = 'policy_violation' AND project_id IS NOT NULL", "'Policy violated in project ' || CAST(project_id AS STRING)"),
+    ("unscored", "depscore IS NULL", "event_type || ' for ' || CAST(project_id AS STRING)"),
+]
+
+
+@query("udf3_notification_trigger", " UNION ALL ".join(f"SELECT event_id, '{label}' AS trigger, coalesce({when}, false) AS notify, CASE WHEN {when} THEN {text} END AS message FROM notification_events" for label, when, text in TRIGGERS))
+def _(v):
+    return policy.notification_triggers(v.notification_events, [policy.Rule(*t) for t in TRIGGERS]).select("event_id", "trigger", "notify", "message")
+
+
+@query("udf4_preflight", """
+    WITH c AS (SELECT p.project_id, p.importance, x.d AS dependency_id FROM projects p, (SELECT DISTINCT dependency_id + 7 AS d FROM dependencies) x WHERE x.d % 200 = p.project_id % 200),
+    n AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM project_dependencies i WHERE i.project_id = c.project_id AND i.dependency_id = c.dependency_id))
+    SELECT n.project_id, n.dependency_id, reason IS NULL AS allowed, coalesce(reason, '') AS reasons FROM (SELECT n.project_id, n.dependency_id, CASE WHEN x.dependency_id IS NULL THEN 'Package is not in the catalog' WHEN flagged_malicious THEN 'Package flagged as malicious: unknown'
+      WHEN importance >= 1.3 AND license LIKE '%GPL-3.0%' THEN 'Banned license for high-importance project: ' || license WHEN importance >= 1.3 AND score < 40 THEN 'Low reputation score for high-importance project: ' || CAST(score AS VARCHAR)
+      WHEN importance < 1.3 AND license LIKE '%AGPL%' THEN 'AGPL not allowed' END AS reason FROM n LEFT JOIN dependencies x USING (dependency_id)) n""")
+def _(v):
+    asked = v.dependencies.select((C("dependency_id") + 7).alias("dependency_id"), ((C("dependency_id") + 7) % 200).alias("_k")).join(v.projects.select("project_id", (C("project_id") % 200).alias("_k")), "_k")
+    catalog = v.dependencies.select("dependency_id", "license", "score", C("flagged_malicious").alias("is_malicious"), F.lit(None).cast("string").alias("malicious_reason"))
+    out = policy.preflight_candidates(asked, v.project_dependencies, catalog, v.projects, policy.DEFAULT_RULES)
+    return out.select("project_id", "dependency_id", C("policy_result.allowed").alias("allowed"), F.array_join("policy_result.reasons", ",").alias("reasons"))
+
+
+@query("snk3_export_sla_files", """
+    SELECT p.organization_id, count(*) FILTER (WHERE sla_status IS NOT NULL) AS rows, count(DISTINCT finding_id) FILTER (WHERE sla_status IS NOT NULL) AS findings, count(*) FILTER (WHERE sla_status = 'met') AS met,
+      CASE WHEN count(*) FILTER (WHERE sla_status IN ('met', 'resolved_late')) = 0 THEN 100 ELSE CAST(floor(count(*) FILTER (WHERE sla_status = 'met') * 100 / count(*) FILTER (WHERE sla_status IN ('met', 'resolved_late')) + 0.5) AS BIGINT) END AS compliance_percent
+    FROM findings f JOIN projects p USING (project_id) GROUP BY 1""")
+def _(v):
+    path = new_folder(v.spark, "sla")
+    writers.export_sla(*sla.export_sla(v.findings, v.projects), path)
+    flat = v.spark.read.schema("organization_id bigint, finding_id string, sla_status string").json(f"{path}/rows")
+    summary = v.spark.read.schema("organization_id bigint, met bigint, compliance_percent bigint").json(f"{path}/summary")
+    counts = flat.groupBy("organization_id").agg(F.count("*").alias("rows"), F.countDistinct("finding_id").alias("findings"))
+    return summary.join(counts, "organization_id", "left").fillna(0, ["rows", "findings"]).select("organization_id", "rows", "findings", "met", "compliance_percent")
+
+
+MERGE_KEY = ["project_id", "rule_id", "file_path"]
+
+
+@query("snk2_merge_buckets", """
+    WITH a AS (SELECT *, row_number() OVER (PARTITION BY project_id, rule_id, file_path ORDER BY created_at DESC, finding_id DESC) AS rn FROM (SELECT s.* FROM semgrep_findings s JOIN projects p ON p.project_id = s.project_id AND p.active_extraction_run_id = s.extraction_run_id)),
+    b AS (SELECT *, row_number() OVER (PARTITION BY project_id, rule_id, file_path ORDER BY created_at DESC, finding_id DESC) AS rn FROM (SELECT s.* FROM semgrep_findings s JOIN projects p ON p.project_id = s.project_id AND p.previous_extraction_run_id = s.extraction_run_id))
+    SELECT project_id, rule_id, file_path, finding_id FROM a WHERE rn = 1 UNION ALL SELECT project_id, rule_id, file_path, finding_id FROM b WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM a WHERE a.project_id = b.project_id AND a.rule_id = b.rule_id AND a.file_path = b.file_path)""")
+def _(v):
+    order, path = ["created_at", "finding_id"], new_folder(v.spark, "merge")
+    run = lambda which: active_run(v.semgrep_findings, v.projects, which).select(*MERGE_KEY, *order)
+    base, delta = runs.dedup(run("previous"), MERGE_KEY, order), run("active")
+    merges.create_table(base, path, ["project_id"])
+    merges.upsert_into(v.spark, path, base.schema, delta, MERGE_KEY, order, by=["project_id"])
+    return merges.read_table(v.spark, path, base.schema).select(*MERGE_KEY, "finding_id")
+
+
+@query("snk6_merge_buckets", """
+    WITH ok AS (SELECT project_id FROM projects WHERE project_id % 2 = 0 AND (policy_evaluated_at IS NULL OR policy_evaluated_at <= TIMESTAMP '2001-08-01')),
+    a AS (SELECT s.project_id, s.finding_id FROM iac_findings s JOIN projects p ON p.project_id = s.project_id AND p.active_extraction_run_id = s.extraction_run_id), b AS (SELECT s.project_id, s.finding_id FROM iac_findings s JOIN projects p ON p.project_id = s.project_id AND p.previous_extraction_run_id = s.extraction_run_id)
+    SELECT * FROM b WHERE project_id NOT IN (SELECT project_id FROM ok) UNION ALL SELECT * FROM a WHERE project_id IN (SELECT project_id FROM ok) AND finding_id % 3 <> 0""")
+def _(v):
+    path = new_folder(v.spark, "replace")
+    base, new = (active_run(v.iac_findings, v.projects, which).select("project_id", "finding_id") for which in ("previous", "active"))
+    merges.create_table(base, path, ["project_id"])
+    starts = v.projects.filter(C("project_id") % 2 == 0).select("project_id", F.lit("2001-08-01 00:00:00").cast("timestamp_ntz").alias("eval_start"))
+    merges.replace_into(v.spark, path, base.schema, new.filter(C("finding_id") % 3 != 0), starts, v.projects)
+    return merges.read_table(v.spark, path, base.schema)
+
+
 @query("udf5_expand_ranges", r"""
     SELECT feed_id, CAST(i AS BIGINT) AS position, CASE i WHEN 0 THEN '>=' ELSE '<' END AS op, CASE i WHEN 0 THEN regexp_extract(vulnerable_range, '>= ([0-9.]+)', 1) ELSE regexp_extract(vulnerable_range, '< ([0-9.]+)', 1) END AS version FROM malware_feed CROSS JOIN (VALUES (0), (1)) t(i) WHERE vulnerable_range LIKE '>=%'""")
 def _(v):

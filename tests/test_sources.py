@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 
-from larkspur.sources import readers, writers
+from pyspark.sql import functions as F
+
+from larkspur.session import new_folder
+from larkspur.sources import merges, readers, writers
 
 
 def put(folder, name, value):
@@ -87,3 +90,31 @@ def test_notice_reads_in_order(spark, tmp_path):
     files = sorted((tmp_path / "notice" / "project_id=1").glob("part-*"))
     lines = [line for f in files for line in f.read_text().splitlines()]
     assert lines == ["THIRD-PARTY SOFTWARE NOTICES AND INFORMATION", "Project: Demo", "=" * 70, "LICENSE: AGPL-3.0", "Obligations: share", "-" * 70, "  - alpha@2", "the text", "LICENSE: MIT", "-" * 70, "  - zeta@1"]
+
+
+def test_a_change_of_one_project_rewrites_one_bucket(spark):
+    path, by = new_folder(spark, "merge"), ["project_id"]
+    base = spark.range(500).select((F.col("id") % 100).alias("project_id"), F.col("id").alias("k"), F.lit("old").alias("v"), F.col("id").alias("at"))
+    merges.create_table(base, path, by, 32)
+    delta = spark.createDataFrame([(7, 7, "new", 1000), (7, 9999, "added", 1001), (7, 7, "last", 1002)], base.schema)
+    one = merges.upsert_into(spark, path, base.schema, delta, ["project_id", "k"], ["at"], by=by, buckets=32)
+    rows = lambda: {(r.project_id, r.k): r.v for r in merges.read_table(spark, path, base.schema).collect()}
+    assert len(one.buckets) == 1 and one.rows_after == one.rows_before + 1
+    assert rows()[7, 7] == "last" and rows()[7, 9999] == "added" and len(rows()) == 501
+    again = merges.upsert_into(spark, path, base.schema, delta, ["project_id", "k"], ["at"], by=by, buckets=32)
+    assert again == merges.Merge([], 0, 0) and len(rows()) == 501
+    kept = merges.upsert_into(spark, path, base.schema, spark.createDataFrame([(8, 8, "no", 5), (8, 8888, "yes", 5)], base.schema), ["project_id", "k"], ["at"], mode="ignore", by=by, buckets=32)
+    assert len(kept.buckets) == 1 and rows()[8, 8] == "old" and rows()[8, 8888] == "yes"
+
+
+def test_a_replacement_may_empty_a_bucket(spark):
+    path = new_folder(spark, "replace")
+    base = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "project_id long, finding string")
+    merges.create_table(base, path, ["project_id"], 64)
+    projects = spark.createDataFrame([(1, None), (2, None)], "project_id long, policy_evaluated_at timestamp")
+    starts = spark.createDataFrame([(1,)], "project_id long").withColumn("eval_start", F.timestamp_seconds(F.lit(5)))
+    rows = lambda: sorted(map(tuple, merges.read_table(spark, path, base.schema).collect()))
+    assert len(merges.replace_into(spark, path, base.schema, base.limit(0), starts, projects).buckets) == 1 and rows() == [(2, "c")]
+    assert merges.replace_into(spark, path, base.schema, base.limit(0), starts, projects).buckets == []
+    merges.replace_into(spark, path, base.schema, base.filter("finding = 'a'"), starts, projects)
+    assert rows() == [(1, "a"), (2, "c")]
