@@ -52,12 +52,22 @@ def _(v):
     return appended(v, st.dedup_webhooks(stream_view(v, "webhook_deliveries", "events"), delay=LONG), "dedup-webhooks").select("delivery_id", "provider")
 
 
-@query("str3_rate_limit")
+def _limit_sql(columns: str) -> str:
+    """Decisions one event after the other: the times allowed so far are the state of a scope."""
+    return f"""
+    WITH RECURSIVE o AS MATERIALIZED (SELECT event_id, organization_id, epoch_us(created_at) AS t, row_number() OVER (PARTITION BY organization_id ORDER BY created_at, event_id) AS n FROM notification_events),
+    s AS (SELECT organization_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS recent, CAST(NULL AS BIGINT) AS event_id, false AS allowed FROM (SELECT DISTINCT organization_id FROM o)
+      UNION ALL SELECT organization_id, n, CASE WHEN len(r) < 8 THEN list_append(r, t) ELSE r END, event_id, len(r) < 8
+      FROM (SELECT o.*, list_filter(s.recent, lambda x: x > o.t - 21600000000) AS r FROM s JOIN o ON o.organization_id IS NOT DISTINCT FROM s.organization_id AND o.n = s.n + 1))
+    SELECT {columns} FROM s WHERE n > 0"""
+
+
+@query("str3_rate_limit", _limit_sql("event_id, organization_id, allowed"))
 def _(v):
     return notify.rate_limit(v.notification_events, scope="organization_id", time="created_at", tie="event_id", limit=8, window_seconds=6 * 3600).select("event_id", "organization_id", "allowed")
 
 
-@query("str3_rate_limit_stream")
+@query("str3_rate_limit_stream", _limit_sql("CAST(organization_id AS VARCHAR) AS scope, event_id, allowed"))
 def _(v):
     return appended(v, stateful.rate_limit(stream_view(v, "notification_events", "events"), scope="organization_id", limit=8, window_seconds=6 * 3600), "rate-limit")
 
@@ -111,7 +121,14 @@ def _(v):
     return notify.retry_stuck(v.notification_events, now=events_now()).select("event_id", "action", "dispatch_attempts")
 
 
-@query("str11_balance_alerts")
+@query("str11_balance_alerts", """
+    WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY organization_id ORDER BY created_at, transaction_id) AS n FROM ledger),
+    s AS (SELECT organization_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS transaction_id, CAST(0 AS BIGINT) AS balance, false AS low_sent, false AS zero_sent, CAST(NULL AS VARCHAR) AS alert FROM (SELECT DISTINCT organization_id FROM o)
+      UNION ALL SELECT organization_id, n, transaction_id, b, CASE WHEN credit THEN false ELSE low_sent OR coalesce(a = 'low', false) END, CASE WHEN credit THEN false ELSE zero_sent OR coalesce(a = 'zero', false) END, a
+      FROM (SELECT *, CASE WHEN rejected THEN 'rejected' WHEN credit THEN NULL WHEN b <= 0 AND NOT zero_sent THEN 'zero' WHEN b > 0 AND b <= 500000 AND NOT low_sent THEN 'low' END AS a
+        FROM (SELECT o.organization_id, o.n, o.transaction_id, s.low_sent, s.zero_sent, o.kind = 'usage_deduction' AND s.balance + o.amount_cents < 0 AS rejected, CASE WHEN o.kind = 'usage_deduction' AND s.balance + o.amount_cents < 0 THEN s.balance ELSE s.balance + o.amount_cents END AS b,
+          NOT (o.kind = 'usage_deduction' AND s.balance + o.amount_cents < 0) AND o.amount_cents > 0 AS credit FROM s JOIN o ON o.organization_id = s.organization_id AND o.n = s.n + 1)))
+    SELECT organization_id, transaction_id, alert, balance FROM s WHERE alert IS NOT NULL""")
 def _(v):
     return appended(v, stateful.balance_alerts(stream_view(v, "ledger", "orders"), low_cents=500000), "balance")
 
@@ -164,7 +181,9 @@ def _(v):
     return out.filter(C("user_id").isNotNull()).select("user_id", stamp("session_start"), "events")
 
 
-@query("str14_late_events")
+@query("str14_late_events", """
+    WITH m AS (SELECT max(ts) - INTERVAL 3 DAY AS behind FROM events), e AS (SELECT *, ts < TIMESTAMP '2024-01-16' AND ts <= behind AS late FROM events, m)
+    SELECT event_type, count(DISTINCT event_id) FILTER (WHERE NOT late) AS kept, CAST((SELECT count(*) FROM e WHERE late) AS BIGINT) AS dropped_in_total FROM e GROUP BY 1 HAVING count(*) FILTER (WHERE NOT late) > 0""")
 def _(v):
     folder = new_folder(v.spark, "late")
     middle = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")

@@ -130,9 +130,10 @@ def session_activity(events: DataFrame, *, user: str, time: str, gap: str = "30
 
 
 class LateRows(StreamingQueryListener):
-    """Counts the rows that watermarks dropped, per query, over all its micro-batches.
+    """Counts the rows that watermarks dropped, per run of a query, over all its micro-batches.
 
-    A query itself remembers its last 100 micro-batches only.  Add it to ``spark.streams`` before the query starts.
+    A query itself remembers its last 100 micro-batches only, and keeps its id when it starts again from its checkpoint.
+    Add the listener to ``spark.streams`` before the query starts.
     """
 
     def __init__(self):
@@ -140,24 +141,24 @@ class LateRows(StreamingQueryListener):
         self.ended: set[str] = set()
 
     def onQueryStarted(self, event) -> None:
-        self.dropped.setdefault(str(event.id), 0)
+        self.dropped.setdefault(str(event.runId), 0)
 
     def onQueryProgress(self, event) -> None:
-        key = str(event.progress.id)
+        key = str(event.progress.runId)
         self.dropped[key] = self.dropped.get(key, 0) + sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        self.ended.add(str(event.id))
+        self.ended.add(str(event.runId))
 
     def of(self, query: StreamingQuery, wait_seconds: float = 30) -> int:
-        """Rows dropped by an ended query, once its last event has come."""
+        """Rows dropped by an ended run, once its last event has come."""
         deadline = time_.monotonic() + wait_seconds
-        while query.id not in self.ended and time_.monotonic() < deadline:
+        while str(query.runId) not in self.ended and time_.monotonic() < deadline:
             time_.sleep(0.05)
-        return self.dropped.get(query.id, 0)
+        return self.dropped.get(str(query.runId), 0)
 
 
 def stored_buckets(spark: SparkSession, folder: str, schema: StructType, touched: DataFrame, batch_id: int) -> DataFrame:
