@@ -469,40 +469,48 @@ def flow_ids(findings: DataFrame, advisories: DataFrame, key: list[str]) -> Data
     return own.unionByName(extra).distinct()
 
 
-def finding_detail(findings, deps, catalog, projects, events, advisories, flows, suppressions, *, n_events: int = 50, n_flows: int = 20) -> DataFrame:
+def finding_detail(findings, deps, catalog, projects, events, advisories, flows, suppressions, files, candidates, *, n_events: int = 50, n_flows: int = 20) -> DataFrame:
     """Everything about each (project, vulnerability) of the active runs, in long form with one JSON payload per row.
 
-    Sections: vulnerability, dependency, event (newest 50), advisory (own id before alias), flow (shortest 20 with
-    suppressed flag).  Rows instead of one nested document keep a vulnerability with many packages splittable.
+    Sections: importance, vulnerability, dependency, file (of a dependency), candidate (version of a dependency), event
+    (newest 50), advisory (own id before alias), flow (shortest 20 with suppressed flag).  ``files`` has
+    (project_dependency_id, file_path), ``candidates`` the rows of ``version_candidates``.  Rows instead of one nested
+    document keep a vulnerability with many packages splittable.  What several sections read is written once.
     """
     from larkspur.operators.runs import suppressed_flag
 
     key = ["project_id", "osv_id"]
-    rows = active_run(findings, projects)
+    rows = written(active_run(findings, projects).select(*key, "finding_id", "aliases", "project_dependency_id", "severity", "depscore", "reachability_level", "status"))
     wanted = rows.select(*key).distinct()
 
-    def section(df: DataFrame, name: str, item: str, *columns: str) -> DataFrame:
-        return df.select(*key, F.lit(name).alias("section"), C(item).cast("string").alias("item"), F.to_json(F.struct(*columns)).alias("payload"))
+    def section(df: DataFrame, name: str, item: Column, *columns: str | Column) -> DataFrame:
+        return df.select(*key, F.lit(name).alias("section"), item.cast("string").alias("item"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("payload"))
 
-    vulns = section(rows, "vulnerability", "finding_id", "severity", "depscore", "reachability_level", "status")
+    weight = section(wanted.join(projects.select("project_id", "importance"), "project_id"), "importance", C("project_id"), "importance")
+    vulns = section(rows, "vulnerability", C("finding_id"), "severity", "depscore", "reachability_level", "status")
     live = deps.filter(C("removed_at").isNull()).join(catalog.select("dependency_id", F.coalesce("score", F.lit(0)).alias("package_score")), "dependency_id", "left")
-    used = rows.select(*key, "project_dependency_id").distinct().join(live.drop("project_id"), "project_dependency_id")
-    affected = section(used, "dependency", "project_dependency_id", "name", "version", "is_direct", "environment", "files_importing_count", "package_score")
-    log = row_number_at_most(events.join(wanted, key, "left_semi").withColumn("item", F.sha2(F.concat_ws("|", "event_type", "project_dependency_id", C("created_at").cast("string")), 256)),
-                             key, [C("created_at").desc(), C("item").asc()], n_events)
-    timeline = section(log, "event", "item", "event_type", "created_at")
+    parts = ["dependency_id", "name", "version", "is_direct", "environment", "files_importing_count", "package_score"]
+    used = written(rows.select(*key, "project_dependency_id").distinct().join(live.select("project_dependency_id", *parts), "project_dependency_id"))
+    affected = section(used, "dependency", C("project_dependency_id"), *parts[1:])
+    paths_of = section(used.join(files.select("project_dependency_id", "file_path").distinct(), "project_dependency_id"), "file", F.concat_ws("|", "project_dependency_id", "file_path"), "file_path")
+    ladder = used.select(*key, "dependency_id", C("version").alias("cur_version")).distinct().join(candidates, ["project_id", "dependency_id", "cur_version"])
+    upgrades = section(ladder, "candidate", F.concat_ws("|", C("dependency_id").cast("string"), "cur_version", "candidate"), "cves_fixed", "cves_new", "is_major_bump", "is_banned")
+    at = F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")
+    named = events.join(wanted, key, "left_semi").withColumn("item", F.sha2(F.concat_ws("|", "event_type", "project_dependency_id", at), 256))
+    log = row_number_at_most(named, key, [C("created_at").desc(), C("item").asc()], n_events)
+    timeline = section(log, "event", C("item"), "event_type", at.alias("created_at"))
     own = advisories.select("osv_id", F.struct(F.lit(0).alias("rank"), C("advisory_id").alias("id")).alias("a"), "severity")
     by_alias = advisories.select(F.explode("aliases").alias("osv_id"), F.struct(F.lit(1).alias("rank"), C("advisory_id").alias("id")).alias("a"), "severity")
-    best = own.unionByName(by_alias).groupBy("osv_id").agg(F.min(F.struct("a", "severity")).alias("b")).select("osv_id", C("b.a.id").alias("advisory_id"), C("b.severity").alias("severity"))
-    advice = section(wanted.join(best, "osv_id"), "advisory", "advisory_id", "advisory_id", "severity")
+    best = row_number_at_most(own.unionByName(by_alias), ["osv_id"], [C("a")], 1).select("osv_id", C("a.id").alias("advisory_id"), C("severity").alias("advisory_severity"))
+    advice = section(wanted.join(best, "osv_id"), "advisory", C("advisory_id"), "advisory_id", C("advisory_severity").alias("severity"))
     ids = flow_ids(rows, advisories, ["project_id"])
     packages_of = used.select("project_id", "osv_id", "dependency_id").distinct()
     mine = suppressed_flag(active_run(flows, projects), suppressions).withColumnRenamed("osv_id", "flow_osv_id")
     linked = mine.join(ids, ["project_id", "flow_osv_id"]).join(packages_of, ["project_id", "osv_id", "dependency_id"], "left_semi")
     shortest = row_number_at_most(linked, key, [C("flow_length").asc_nulls_last(), C("flow_id").asc()], n_flows)
-    paths = section(shortest, "flow", "flow_id", "flow_length", "entry_point_file", "sink_method", "is_suppressed")
-    out = vulns
-    for part in (affected, timeline, advice, paths):
+    paths = section(shortest, "flow", C("flow_id"), "flow_length", "entry_point_file", "sink_method", "is_suppressed")
+    out = weight
+    for part in (vulns, affected, paths_of, upgrades, timeline, advice, paths):
         out = out.unionByName(part)
     return out
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.operators import evidence, graph, matching, runs
 from larkspur.operators.filters import active_run
 from larkspur.plans.common import listing
-from larkspur.plans.matching_queries import COUNTS, KEY, advisories
+from larkspur.plans.matching_queries import CANDIDATES, COUNTS, KEY, advisories
 from larkspur.plans.registry import query
 from larkspur.plans.summary_queries import act
 
@@ -314,16 +314,29 @@ def _(v):
 
 @query("agg45_finding_detail", f"""
     WITH a AS MATERIALIZED (SELECT * FROM {act('findings')}), k AS (SELECT DISTINCT project_id, osv_id FROM a), ids AS (SELECT project_id, osv_id, unnest(list_append(coalesce(aliases, []), osv_id)) AS fid FROM a UNION SELECT a.project_id, a.osv_id, unnest(x.aliases) FROM a JOIN advisories x ON x.osv_id = a.osv_id),
-    dep AS (SELECT DISTINCT a.project_id, a.osv_id, d.project_dependency_id, d.dependency_id FROM a JOIN project_dependencies d USING (project_dependency_id) WHERE removed_at IS NULL),
-    ev AS (SELECT e.project_id, e.osv_id FROM finding_events e JOIN k USING (project_id, osv_id) QUALIFY row_number() OVER (PARTITION BY e.project_id, e.osv_id ORDER BY e.created_at DESC) <= 50),
-    ad AS (SELECT DISTINCT k.project_id, k.osv_id, first_value(advisory_id) OVER (PARTITION BY k.project_id, k.osv_id ORDER BY x.rank, x.advisory_id) AS item FROM k JOIN (SELECT osv_id, 0 AS rank, advisory_id FROM advisories UNION ALL SELECT unnest(aliases), 1, advisory_id FROM advisories) x USING (osv_id)),
-    fl AS (SELECT ids.project_id, ids.osv_id, f.flow_id FROM {act('flows')} JOIN ids ON ids.project_id = f.project_id AND ids.fid = f.osv_id WHERE EXISTS (SELECT 1 FROM dep WHERE dep.project_id = ids.project_id AND dep.osv_id = ids.osv_id AND dep.dependency_id = f.dependency_id) QUALIFY row_number() OVER (PARTITION BY ids.project_id, ids.osv_id ORDER BY flow_length NULLS LAST, flow_id) <= 20)
-    SELECT project_id, osv_id, 'vulnerability' AS section, count(*) AS n, min(finding_id) AS first_item FROM a GROUP BY 1, 2 UNION ALL SELECT project_id, osv_id, 'dependency', count(*), min(project_dependency_id) FROM dep GROUP BY 1, 2 UNION ALL SELECT project_id, osv_id, 'event', count(*), NULL FROM ev GROUP BY 1, 2
-    UNION ALL SELECT project_id, osv_id, 'advisory', count(*), CAST(min(item) AS VARCHAR) FROM ad GROUP BY 1, 2 UNION ALL SELECT project_id, osv_id, 'flow', count(*), min(flow_id) FROM fl GROUP BY 1, 2""")
+    dep AS MATERIALIZED (SELECT DISTINCT a.project_id, a.osv_id, d.project_dependency_id, d.dependency_id, d.name, d.version, d.is_direct, d.environment, d.files_importing_count, coalesce(x.score, 0) AS package_score FROM a JOIN project_dependencies d USING (project_dependency_id) LEFT JOIN dependencies x ON x.dependency_id = d.dependency_id WHERE removed_at IS NULL),
+    {USED.replace("FROM usages)", "FROM " + act("usages") + ")")},
+    {CANDIDATES},
+    evi AS (SELECT e.project_id, e.osv_id, e.event_type, strftime(e.created_at, '%Y-%m-%d %H:%M:%S') AS moment, sha256(e.event_type || '|' || e.project_dependency_id || '|' || strftime(e.created_at, '%Y-%m-%d %H:%M:%S')) AS item, e.created_at FROM finding_events e JOIN k USING (project_id, osv_id)),
+    ev AS (SELECT * FROM evi QUALIFY row_number() OVER (PARTITION BY project_id, osv_id ORDER BY created_at DESC, item) <= 50),
+    ad AS (SELECT DISTINCT k.project_id, k.osv_id, first_value(advisory_id) OVER w AS item, first_value(severity) OVER w AS severity FROM k JOIN (SELECT osv_id, 0 AS rank, advisory_id, severity FROM advisories UNION ALL SELECT unnest(aliases), 1, advisory_id, severity FROM advisories) x USING (osv_id) WINDOW w AS (PARTITION BY k.project_id, k.osv_id ORDER BY x.rank, x.advisory_id)),
+    fl AS (SELECT ids.project_id, ids.osv_id, f.flow_id, f.flow_length, f.entry_point_file, f.sink_method, EXISTS (SELECT 1 FROM flow_suppressions s WHERE s.project_id = f.project_id AND s.flow_signature_hash = f.flow_signature_hash) AS is_suppressed
+      FROM {act('flows')} JOIN ids ON ids.project_id = f.project_id AND ids.fid = f.osv_id WHERE EXISTS (SELECT 1 FROM dep WHERE dep.project_id = ids.project_id AND dep.osv_id = ids.osv_id AND dep.dependency_id = f.dependency_id) QUALIFY row_number() OVER (PARTITION BY ids.project_id, ids.osv_id ORDER BY flow_length NULLS LAST, flow_id) <= 20)
+    SELECT k.project_id, k.osv_id, 'importance' AS section, CAST(k.project_id AS VARCHAR) AS item, CAST(to_json({{'importance': p.importance}}) AS VARCHAR) AS payload FROM k JOIN projects p USING (project_id)
+    UNION ALL SELECT project_id, osv_id, 'vulnerability', finding_id, CAST(to_json({{'severity': severity, 'depscore': depscore, 'reachability_level': reachability_level, 'status': status}}) AS VARCHAR) FROM a
+    UNION ALL SELECT project_id, osv_id, 'dependency', project_dependency_id, CAST(to_json({{'name': name, 'version': version, 'is_direct': is_direct, 'environment': environment, 'files_importing_count': files_importing_count, 'package_score': package_score}}) AS VARCHAR) FROM dep
+    UNION ALL SELECT dep.project_id, osv_id, 'file', dep.project_dependency_id || '|' || file_path, CAST(to_json({{'file_path': file_path}}) AS VARCHAR) FROM dep JOIN um USING (project_dependency_id)
+    UNION ALL SELECT x.project_id, osv_id, 'candidate', CAST(x.dependency_id AS VARCHAR) || '|' || x.cur_version || '|' || candidate, CAST(to_json({{'cves_fixed': cves_fixed, 'cves_new': cves_new, 'is_major_bump': is_major_bump, 'is_banned': is_banned}}) AS VARCHAR)
+      FROM (SELECT DISTINCT project_id, osv_id, dependency_id, version AS cur_version FROM dep) x JOIN cand c ON c.project_id = x.project_id AND c.dependency_id = x.dependency_id AND c.cur_version = x.cur_version
+    UNION ALL SELECT project_id, osv_id, 'event', item, CAST(to_json({{'event_type': event_type, 'created_at': moment}}) AS VARCHAR) FROM ev
+    UNION ALL SELECT project_id, osv_id, 'advisory', CAST(item AS VARCHAR), CAST(to_json({{'advisory_id': item, 'severity': severity}}) AS VARCHAR) FROM ad
+    UNION ALL SELECT project_id, osv_id, 'flow', flow_id, CAST(to_json({{'flow_length': flow_length, 'entry_point_file': entry_point_file, 'sink_method': sink_method, 'is_suppressed': is_suppressed}}) AS VARCHAR) FROM fl""")
 def _(v):
-    out = evidence.finding_detail(v.findings, v.project_dependencies, v.dependencies, v.projects, v.finding_events, v.advisories, v.flows, v.flow_suppressions)
-    item = F.when(C("section") != "event", C("item"))
-    return out.groupBy("project_id", "osv_id", "section").agg(F.count("*").alias("n"), F.min(item).alias("first_item"))
+    deps = v.project_dependencies
+    files = evidence.usage_match(active_run(v.usages, v.projects), deps)
+    banned = matching.banned_versions(deps, v.banned_versions, v.projects, v.project_teams)
+    candidates = matching.version_candidates(deps, v.dependency_versions, advisories(v), banned)
+    return evidence.finding_detail(v.findings, deps, v.dependencies, v.projects, v.finding_events, v.advisories, v.flows, v.flow_suppressions, files, candidates)
 
 
 @query("jn29_license_obligations", """

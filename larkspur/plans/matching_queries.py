@@ -200,16 +200,18 @@ def _(v):
     return matching.merge_advisories(v.advisories)
 
 
-@query("agg41_version_candidates", f"""
-    WITH {AFFECTED}, st AS (SELECT *, {KEY.format(c='version')} AS k FROM dependency_versions WHERE version <> 'latest' AND version NOT LIKE '%-beta%'),
+CANDIDATES = f"""{AFFECTED}, st AS (SELECT *, {KEY.format(c='version')} AS k FROM dependency_versions WHERE version <> 'latest' AND version NOT LIKE '%-beta%'),
     banned AS (SELECT w.project_id, w.dependency_id, b.banned_version FROM (SELECT DISTINCT project_id, dependency_id FROM project_dependencies) w JOIN projects p USING (project_id) JOIN banned_versions b ON b.dependency_id = w.dependency_id AND b.organization_id = p.organization_id
       UNION SELECT w.project_id, w.dependency_id, b.banned_version FROM (SELECT DISTINCT project_id, dependency_id FROM project_dependencies) w JOIN project_teams t USING (project_id) JOIN banned_versions b ON b.dependency_id = w.dependency_id AND b.team_id = t.team_id),
     pairs AS (SELECT a.dependency_id, a.version AS cur_version, b.version AS candidate, b.k[1] > a.k[1] AS is_major_bump,
       (SELECT count(*) FROM affected x WHERE x.version_id = a.version_id AND x.advisory_id NOT IN (SELECT advisory_id FROM affected y WHERE y.version_id = b.version_id)) AS cves_fixed,
       (SELECT count(*) FROM affected x WHERE x.version_id = b.version_id AND x.advisory_id NOT IN (SELECT advisory_id FROM affected y WHERE y.version_id = a.version_id)) AS cves_new
-      FROM st a JOIN st b ON a.dependency_id = b.dependency_id AND b.k > a.k)
-    SELECT d.project_id, d.dependency_id, d.cur_version, candidate, is_major_bump, cves_fixed, cves_new, n.banned_version IS NOT NULL AS is_banned
-    FROM (SELECT DISTINCT project_id, dependency_id, version AS cur_version FROM project_dependencies) d JOIN pairs USING (dependency_id, cur_version) LEFT JOIN banned n ON n.project_id = d.project_id AND n.dependency_id = d.dependency_id AND n.banned_version = candidate""")
+      FROM st a JOIN st b ON a.dependency_id = b.dependency_id AND b.k > a.k),
+    cand AS (SELECT d.project_id, d.dependency_id, d.cur_version, candidate, is_major_bump, cves_fixed, cves_new, n.banned_version IS NOT NULL AS is_banned
+    FROM (SELECT DISTINCT project_id, dependency_id, version AS cur_version FROM project_dependencies) d JOIN pairs USING (dependency_id, cur_version) LEFT JOIN banned n ON n.project_id = d.project_id AND n.dependency_id = d.dependency_id AND n.banned_version = candidate)"""
+
+
+@query("agg41_version_candidates", f"WITH {CANDIDATES} SELECT * FROM cand")
 def _(v):
     uses = v.project_dependencies
     banned = matching.banned_versions(uses, v.banned_versions, v.projects, v.project_teams)
