@@ -301,37 +301,49 @@ def cross_link(requests: DataFrame, routes: DataFrame, flows: DataFrame, finding
     return rows.select("finding_id", key, "route_id", "dependency_id", C("_w.o").alias("linked_osv_id"), C("_n").alias("candidates"), method.alias("match_method"))
 
 
-def _composition_sides(container: DataFrame, findings: DataFrame, deps: DataFrame, bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(container side, code side) keyed by (project, run, CVE, soname)."""
-    os_names = bindings.filter(C("scope") == "os").select(F.lower("package_identifier").alias("_os"), "soname", "install_path").distinct()
+def _container_side(container: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Container findings by (project, run, CVE, library) with their weight."""
+    os_names = bindings.filter(C("scope") == "os").select(F.lower("package_identifier").alias("_os"), "soname").distinct()
     ids = F.array_distinct(F.array_compact(F.array(F.upper("cve_id"), F.upper("osv_id"))))
     left = container.select(C("finding_id").alias("container_finding_id"), *RUN, F.lower("os_package_name").alias("_os"), F.explode(ids).alias("cve"),
                             F.when(C("reachability_level") == "unreachable", scores.CONTAINER_UNREACHABLE).otherwise(1.0).alias("container_mult"))
-    left = left.join(os_names.select("_os", "soname").distinct(), "_os").drop("_os")
-    lang = bindings.filter(C("scope") == "language").select(F.lower("package_ecosystem").alias("_e"), F.lower("package_identifier").alias("_p"), "soname").distinct()
+    return left.join(os_names, "_os").drop("_os")
+
+
+def _code_side(findings: DataFrame) -> DataFrame:
+    """Code findings that have a weight, by (project, run, CVE, package row)."""
     weight = scores.lookup(scores.COMPOSE_WEIGHT, C("reachability_level"))
-    right = findings.withColumn("code_mult", weight).filter(C("code_mult").isNotNull()).select(
+    return findings.withColumn("code_mult", weight).filter(C("code_mult").isNotNull()).select(
         "finding_id", "project_dependency_id", *RUN, "code_mult", F.explode(packages.alias_set(C("osv_id"), C("aliases"))).alias("cve"))
+
+
+def _libraries(deps: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(project_dependency_id, soname): native libraries that package rows bring along."""
+    lang = bindings.filter(C("scope") == "language").select(F.lower("package_ecosystem").alias("_e"), F.lower("package_identifier").alias("_p"), "soname").distinct()
     named = deps.select("project_dependency_id", F.lower("ecosystem").alias("_e"), F.lower("name").alias("_p"))
-    right = right.join(named, "project_dependency_id").join(lang, ["_e", "_p"]).drop("_e", "_p", "project_dependency_id")
-    return left, right
+    return named.join(lang, ["_e", "_p"]).select("project_dependency_id", "soname")
 
 
 def compose_container(container: DataFrame, findings: DataFrame, deps: DataFrame, bindings: DataFrame) -> DataFrame:
     """Smallest composition factor per code finding that shares a CVE and a native library with a container finding.
 
-    The container side is reduced to its smallest weight per (CVE, library) first, so no pair of findings is built.
+    Both sides are reduced before they meet: the container side to its smallest weight per (CVE, library), the code side to
+    its distinct (CVE, package row), and of those to the ones whose CVE a container of the run has.  So no pair of
+    findings is built, and names are looked up for few rows.
     """
-    left, right = _composition_sides(container, findings, deps, bindings)
-    key = [*RUN, "cve", "soname"]
-    least = left.groupBy(*key).agg(F.min("container_mult").alias("container_mult"))
+    key = [*RUN, "cve"]
+    least = _container_side(container, bindings).groupBy(*key, "soname").agg(F.min("container_mult").alias("container_mult"))
+    code = _code_side(findings)
+    asked = code.select(*key, "project_dependency_id").distinct().join(least.select(*key).distinct(), key, "left_semi")
+    lowest = asked.join(_libraries(deps, bindings), "project_dependency_id").join(least, [*key, "soname"]).groupBy(*key, "project_dependency_id").agg(F.min("container_mult").alias("container_mult"))
     factor = F.round(C("container_mult") * C("code_mult"), 3)
-    return right.join(least, key).groupBy("finding_id").agg(F.min(factor).alias("composition_factor"))
+    return code.join(lowest, [*key, "project_dependency_id"]).groupBy("finding_id").agg(F.min(factor).alias("composition_factor"))
 
 
 def composition_edges(container: DataFrame, findings: DataFrame, deps: DataFrame, bindings: DataFrame, evidence: int = 20) -> DataFrame:
     """Partner pairs with their factor and up to ``evidence`` shared libraries as proof."""
-    left, right = _composition_sides(container, findings, deps, bindings)
+    left = _container_side(container, bindings)
+    right = _code_side(findings).join(_libraries(deps, bindings), "project_dependency_id")
     pairs = left.join(right, [*RUN, "cve", "soname"]).select("container_finding_id", "finding_id", "container_mult", "code_mult", "soname").distinct()
     kept = row_number_at_most(pairs, ["container_finding_id", "finding_id"], [C("soname").asc()], evidence)
     return kept.groupBy("container_finding_id", "finding_id").agg(

@@ -37,9 +37,9 @@ def attach_advisories(hits: DataFrame, deps: DataFrame) -> DataFrame:
         ),
         lambda c: c["key"].isNotNull(),
     )
-    probes = hits.select("hit_id", "project_id", "version", F.explode(candidates).alias("c")).select(
-        "hit_id", "project_id", "version", "c.*"
-    )
+    # each distinct reference of a project is looked up once, however many hits name it
+    asked = hits.select("project_id", "version", "ref_name", "ecosystem").distinct()
+    probes = asked.select(*asked.columns, F.explode(candidates).alias("c")).select(*asked.columns, "c.*")
     base = deps.select("project_id", "project_dependency_id", "name", "version", "environment", "ecosystem")
     named = base.select(
         "project_id", "version", "project_dependency_id", "environment",
@@ -50,9 +50,14 @@ def attach_advisories(hits: DataFrame, deps: DataFrame) -> DataFrame:
     ).select("project_id", "version", "project_dependency_id", "environment", "n.*")
     key = ["project_id", "version", "kind", "key"]
     targets = prefer_prod_scope(named, key, "project_dependency_id")
-    matched = probes.join(targets, key)
-    best = matched.groupBy("hit_id").agg(F.min(F.struct("rung", "project_dependency_id")).alias("_m"))
-    return hits.join(best.select("hit_id", "_m.*"), "hit_id")
+    matched = probes.join(targets.select(*key, "project_dependency_id"), key)
+    # a reference has at most one target on each of the four rungs
+    best = matched.groupBy(*asked.columns).agg(F.array_min(F.collect_list(F.struct("rung", "project_dependency_id"))).alias("_m"))
+    found = best.select(*[C(c).alias(f"_{c}") for c in asked.columns], "_m.*")
+    same = C("ecosystem").eqNullSafe(C("_ecosystem"))
+    for c in ("project_id", "version", "ref_name"):
+        same = same & (C(c) == C(f"_{c}"))
+    return hits.join(found, same).drop(*[f"_{c}" for c in asked.columns])
 
 
 def affected_versions(version_rows: DataFrame, advisories: DataFrame) -> DataFrame:
