@@ -18,6 +18,8 @@ from larkspur.llm.common import partitions, text_or_empty
 from larkspur.session import written
 
 MIN_LINES = 2
+#: A line of so many words is a run by itself, as a passage often stands on a single line.
+LONG_WORDS = 50
 ADDED = ("n_lines", "n_removed", "longest_run")
 
 
@@ -35,6 +37,11 @@ def _name(text: Column) -> list[Column]:
     return [F.xxhash64(text), F.hash(text)]
 
 
+def _is_long(line: str) -> str:
+    """SQL: whether a line has LONG_WORDS words; shorter lines are told by their length alone."""
+    return f"(length({line}) >= {2 * LONG_WORDS - 1} and regexp_count({line}, '[^\\\\x20\\\\x09-\\\\x0D]+') >= {LONG_WORDS})"
+
+
 def texts_in_order(docs: DataFrame) -> DataFrame:
     """One row per distinct (doc_id, text): doc_id, t1, t2, copies, n, start; ``start`` is its place in the corpus.
 
@@ -49,15 +56,15 @@ def texts_in_order(docs: DataFrame) -> DataFrame:
 
 
 def line_sequence(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(start, p, line, l1, l2): every line that has a word, its place p in the corpus and ``line`` in its text."""
+    """(start, p, line, l1, l2, long): every line that has a word, its place p in the corpus and ``line`` in its text."""
     t1, t2 = _name(F.col("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text_or_empty().alias("text"))
     named = rows.select("_id", t1.alias("_t1"), t2.alias("_t2"), F.expr(
-        "filter(transform(split(text, '\\n', -1), (l, i) -> named_struct('line', i, 'has', l rlike '[^\\\\x20\\\\x09-\\\\x0D]', 'l1', xxhash64(l), 'l2', hash(l))), l -> l.has)"
+        "filter(transform(split(text, '\\n', -1), (l, i) -> named_struct('line', i, 'has', l rlike '[^\\\\x20\\\\x09-\\\\x0D]', 'l1', xxhash64(l), 'l2', hash(l), 'long', " + _is_long("l") + ")), l -> l.has)"
     ).alias("lines"))
     once = texts.select("doc_id", "t1", "t2", "start", "copies")
     joined = named.join(once, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_t1") == F.col("t1")) & (F.col("_t2") == F.col("t2")))
-    exploded = joined.select("start", "copies", F.posexplode("lines").alias("i", "l")).select("start", "copies", (F.col("start") + F.col("i")).alias("p"), "l.line", "l.l1", "l.l2")
+    exploded = joined.select("start", "copies", F.posexplode("lines").alias("i", "l")).select("start", "copies", (F.col("start") + F.col("i")).alias("p"), "l.line", "l.l1", "l.l2", "l.long")
     several = exploded.where("copies > 1").drop("copies").dropDuplicates(["p"])  # rows that repeat id and text are one text
     return exploded.where("copies = 1").drop("copies").union(several)
 
@@ -90,11 +97,13 @@ def suffix_ranks(lines: DataFrame, first: int = 1) -> list[tuple[int, DataFrame]
     return rounds
 
 
-def later_copies(rounds: list[tuple[int, DataFrame]], spark, min_lines: int = MIN_LINES) -> DataFrame:
-    """(start, p, source, length): runs of ``min_lines`` lines or more that also start at the earlier place ``source``."""
-    out = spark.createDataFrame([], "start long, p long, source long, length int")
+def later_copies(rounds: list[tuple[int, DataFrame]], lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """(start, p, source, length): runs of ``min_lines`` lines or more, or of one long line, that also start at the earlier place ``source``."""
+    out = lines.sparkSession.createDataFrame([], "start long, p long, source long, length int")
     for length, ranked in rounds:
-        if length >= min_lines:
+        if length == 1 < min_lines:
+            ranked = ranked.join(lines.where("long").select("start", "p"), ["start", "p"], "left_semi")
+        if length >= min_lines or length == 1:
             sources = ranked.groupBy("rank").agg(F.min("p").alias("source"))
             out = out.union(ranked.join(sources, "rank").where("p > source").select("start", "p", "source", F.lit(length).alias("length")))
     return out
@@ -109,8 +118,9 @@ def repeated_runs(copies: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """The documents with all their columns; ``text`` without the later copies of runs of ``min_lines`` lines or more,
-    ``n_lines``, ``n_removed`` and ``longest_run``, the longest stretch of lines copied from one place.
+    """The documents with all their columns; ``text`` without the later copies of runs of ``min_lines`` lines or more and
+    of single lines of 50 words or more, ``n_lines``, ``n_removed`` and ``longest_run``, the longest stretch of lines
+    copied from one place.
 
     Lines without a word are no part of runs and stay.  Lines are equal if all their characters are.  Of equal runs the
     first in the corpus stays: the smallest doc_id, those without an id last.  A null text stays null.  Of rows that
@@ -119,7 +129,7 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """
     texts = written(texts_in_order(docs))
     lines = written(line_sequence(docs, texts))
-    copies = written(later_copies(suffix_ranks(lines, min_lines), docs.sparkSession, min_lines))
+    copies = written(later_copies(suffix_ranks(lines, min_lines), lines, min_lines))
     runs = repeated_runs(copies)
     covered = runs.select("start", F.explode(F.expr("sequence(p, p + length - 1)")).alias("p")).distinct()
     gone = covered.join(lines.select("start", "p", "line"), ["start", "p"]).groupBy("start").agg(F.collect_list("line").alias("_gone"))  # a text's lines at most
@@ -132,12 +142,14 @@ def line_dedup(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     several = joined.where("_copies > 1").withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_k1", "_k2").orderBy(F.lit(1))))
     kept = "array_join(transform(array_except(sequence(0, size(_all) - 1), coalesce(_gone, cast(array() as array<int>))), i -> _all[i]), '\\n')"
     blank = "array_join(filter(_all, l -> not l rlike '[^\\\\x20\\\\x09-\\\\x0D]'), '\\n')"
-    whole = (F.col("_nth") > 1) & (F.col("_n") >= min_lines)
+    later = (F.col("_nth") > 1) & F.col("_n").isNotNull()
+    whole, n_long = later & (F.col("_n") >= min_lines), F.expr(f"size(filter(_all, l -> {_is_long('l')}))").cast("long")
+    some = later & (F.col("_n") < min_lines) & (n_long > 0)  # too few lines for a run, but long ones
     return (
-        single.unionByName(several).withColumn("_all", F.split("text", "\n", -1))
-        .withColumn("text", F.when(whole, F.expr(blank)).when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr(kept)))
-        .select(*[c for c in docs.columns if c not in ADDED], F.col("_n").alias("n_lines"), F.when(whole, F.col("_n")).otherwise(F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).alias("n_removed"),
-                F.when(whole, F.col("_n")).otherwise(F.coalesce("_longest", F.lit(0)).cast("long")).alias("longest_run"))
+        single.unionByName(several).withColumn("_all", F.split("text", "\n", -1)).withColumn("_some", F.coalesce(some, F.lit(False))).withColumn("_long", n_long)
+        .withColumn("text", F.when(whole, F.expr(blank)).when(F.col("_some"), F.expr(f"array_join(filter(_all, l -> not {_is_long('l')}), '\\n')")).when(F.col("_gone").isNull(), F.col("text")).otherwise(F.expr(kept)))
+        .select(*[c for c in docs.columns if c not in ADDED], F.col("_n").alias("n_lines"), F.when(whole, F.col("_n")).when(F.col("_some"), F.col("_long")).otherwise(F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).alias("n_removed"),
+                F.when(whole, F.col("_n")).when(F.col("_some"), F.lit(1)).otherwise(F.coalesce("_longest", F.lit(0)).cast("long")).alias("longest_run"))
     )
 
 
@@ -155,7 +167,8 @@ a AS (SELECT row, unnest(string_split(coalesce(text, ''), chr(10))) AS line, gen
 l AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY j) AS i FROM a WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 w AS (SELECT row, i, list(line) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND {MIN_LINES - 1} FOLLOWING) AS run FROM l),
 c AS (SELECT row, i, row_number() OVER (PARTITION BY run ORDER BY row, i) AS nth FROM w WHERE len(run) = {MIN_LINES}),
-g AS (SELECT DISTINCT row, i + unnest(range({MIN_LINES})) AS i FROM c WHERE nth > 1),
+o AS (SELECT row, i, row_number() OVER (PARTITION BY line ORDER BY row, i) AS nth FROM l WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= {LONG_WORDS}),
+g AS (SELECT DISTINCT row, i + unnest(range({MIN_LINES})) AS i FROM c WHERE nth > 1 UNION SELECT row, i FROM o WHERE nth > 1),
 r AS (SELECT l.row, l.j FROM l JOIN g USING (row, i)),
 k AS (SELECT row, string_agg(line, chr(10) ORDER BY j) AS kept FROM (SELECT * FROM a ANTI JOIN r USING (row, j)) GROUP BY row)
 SELECT doc_id, coalesce((SELECT count(*) FROM l WHERE l.row = d.row), 0)::BIGINT AS n_lines, coalesce((SELECT count(*) FROM r WHERE r.row = d.row), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256

@@ -261,3 +261,22 @@ def test_bounds_hold_and_spare_distances():
     cluster, distance, measured = centroid_clustering.assign(r, vectors, near)
     assert (cluster == exact.argmin(axis=1)).all() and (distance == exact.min(axis=1)).all()
     assert measured < len(vectors) * len(centres) / 2
+
+
+# --- single long lines in line dedup -------------------------------------------------------------------------
+
+
+def test_single_lines_of_fifty_words_are_runs(spark):
+    from larkspur.llm import line_dedup
+
+    long, almost, short = " ".join(f"p{i}" for i in range(50)), " ".join(f"verylongword{i}" for i in range(49)), "short line"
+    rows = [
+        (1, f"a\n{long}\nb\n{short}"), (2, f"c\n{long}\nd"), (3, long), (4, f"{almost}\ne"), (5, f"{almost}\nf"), (6, f"g\n{short}\nh"),
+        (7, "  ".join(f"q{i}" for i in range(60))), (7, "  ".join(f"q{i}" for i in range(60))), (8, f"{long} \ni"), (None, long),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text, r.n_removed, r.longest_run) for r in line_dedup.line_dedup(docs).collect()), key=str)
+    want = [(i, t, 0, 0) for i, t in rows]
+    want[1], want[2], want[9] = (2, "c\nd", 1, 1), (3, "", 1, 1), (None, "", 1, 1)
+    want[7] = (7, "", 1, 1)
+    assert got == sorted(want, key=str)
