@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 from collections.abc import Iterator
 
@@ -42,6 +43,18 @@ def input_tasks(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for what runs inside; long texts make large batches otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 # --- numpy views of text -------------------------------------------------------------------------------------
 
 _SPACE_TABLE = np.zeros(256, bool)

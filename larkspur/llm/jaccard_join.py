@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import PACKED_SCHEMA, Packer, Words, input_tasks, mix64, partitions, rolling, sequence_names, sums_before, text_blocks, unpack
+from larkspur.llm.common import PACKED_SCHEMA, Packer, Words, arrow_batches, input_tasks, mix64, partitions, rolling, sequence_names, sums_before, text_blocks, unpack
 from larkspur.session import written
 
 SHINGLE = 5
@@ -37,6 +37,8 @@ GROUP_SCHEMA = "key long, keys long, nodes array<long>, needs array<long>"
 #: Bytes of a key that travel beside its bucket; keys that only then look equal are told apart by the sets.
 KEY_BYTES = 5
 SET_SCHEMA = "node long, shingles binary"
+#: Bytes of text hashed together, and texts of an Arrow batch: what a task holds in its worker and beside the heap.
+TEXT_BYTES, BATCH_TEXTS = 1 << 18, 1000
 #: Ids up to which those wanted are sent to every task instead of shuffling the texts.
 FEW_IDS = 200_000
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -50,7 +52,7 @@ def most_different(a, b, percent: int = PERCENT):
 def _shingles(batches: Iterator[pa.RecordBatch], width: int = SHINGLE):
     """Sorted distinct shingle hashes of consecutive texts: (batch, lo, hi, hashes, first, node names, extra)."""
     for batch in batches:
-        for lo, hi, buf, offsets in text_blocks(batch.column(1)):
+        for lo, hi, buf, offsets in text_blocks(batch.column(1), TEXT_BYTES):
             words = Words(buf, offsets, lower=True)
             hashes, n = words.hashes(), np.diff(words.first)
             text_of = np.repeat(np.arange(hi - lo), n)
@@ -334,12 +336,14 @@ def near_copies(docs: DataFrame, percent: int = PERCENT, nearest: int = 4) -> Da
     spark = docs.sparkSession
     buckets = max(partitions(spark), 2 * input_tasks(docs))
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = written(rows.mapInArrow(_texts, TEXT_SCHEMA))
+    with arrow_batches(spark, BATCH_TEXTS):
+        texts = written(rows.mapInArrow(_texts, TEXT_SCHEMA))
     sketches = written(texts.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("folded").alias("folded")))
 
     packed = rows.mapInArrow(_keys(buckets, percent), PACKED_SCHEMA)
     found = packed.groupBy("bucket").applyInPandas(_groups, GROUP_SCHEMA)
-    groups = written(supported(found))
+    with arrow_batches(spark, BATCH_TEXTS):
+        groups = written(supported(found))
 
     centres = groups.groupBy("key").agg(F.min(F.array_min("nodes")).alias("a"))
     star = groups.join(centres, "key").select("a", F.explode("nodes").alias("b")).where("a <> b").distinct()
