@@ -49,10 +49,6 @@ def notify(events: DataFrame, rules: DataFrame) -> DataFrame:
     return matching_rules(events, rules).select("event_id", "organization_id", "created_at", F.explode("destinations").alias("destination"))
 
 
-def deliveries(events: DataFrame, rules: DataFrame) -> DataFrame:
-    return notify(events, rules).dropDuplicates(["event_id", "destination"])
-
-
 def is_critical(event_type: Column, priority: Column) -> Column:
     return event_type.isin(CRITICAL_TYPES) | (priority == "critical")
 
