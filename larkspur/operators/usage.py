@@ -156,9 +156,14 @@ def monthly_spend(usage: DataFrame, *, now: Column, features: list[str]) -> Data
     return rows.groupBy("organization_id").agg(F.round(F.sum("estimated_cost"), 4).alias("spend"))
 
 
+def _age(then: Column, now: Column) -> Column:
+    """Seconds between two instants, each cut to its whole second, as SQL's ``date_diff`` counts them."""
+    return F.unix_seconds(now.cast("timestamp")) - F.unix_seconds(then.cast("timestamp"))
+
+
 def delivery_stats(deliveries: DataFrame, *, now: Column) -> DataFrame:
     """Delivery success of the last day and totals of the last week per organization."""
-    age = F.timestamp_diff("SECOND", C("created_at"), now)
+    age = _age(C("created_at"), now)
     day, week = age <= 86400, age <= 7 * 86400
     out = deliveries.groupBy("organization_id").agg(
         F.count_if(day).alias("total_24h"), F.count_if(day & (C("status") == "dispatched")).alias("delivered_24h"), F.count_if(week).alias("total_7d"))
@@ -168,7 +173,7 @@ def delivery_stats(deliveries: DataFrame, *, now: Column) -> DataFrame:
 
 def webhook_stats(webhooks: DataFrame, *, now: Column, hours: int) -> DataFrame:
     """Processed, failed and skipped deliveries inside the timeframe; check events do not count."""
-    rows = webhooks.filter((F.timestamp_diff("SECOND", C("created_at"), now) <= hours * 3600) & ~C("event_type").isin("check_suite", "check_run"))
+    rows = webhooks.filter((_age(C("created_at"), now) <= hours * 3600) & ~C("event_type").isin("check_suite", "check_run"))
     state = C("processing_status")
     return rows.groupBy("organization_id").agg(
         F.count("*").alias("total"), F.count_if(state == "processed").alias("processed"), F.count_if(state == "error").alias("errors"), F.count_if(state == "skipped").alias("skipped"))

@@ -117,3 +117,11 @@ def test_batch_vectors_without_rows(spark):
     memories = spark.createDataFrame([], "memory_id long, embedding array<double>, organization_id long, expires_at timestamp_ntz, category string")
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
     assert vectors.vector_topk_batch(memories, queries, now=F.current_timestamp(), threshold=0.0, k=3, dimensions=2).collect() == []
+
+
+def test_ages_are_counted_in_whole_seconds(spark):
+    from larkspur.operators import usage
+
+    rows = spark.sql("SELECT 1L AS organization_id, 'dispatched' AS status, TIMESTAMP_NTZ '2024-01-29 23:59:59.4' AS created_at")
+    got = usage.delivery_stats(rows, now=F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")).first()
+    assert (got.total_24h, got.delivered_24h, got.total_7d, got.success_rate_24h) == (0, 0, 1, 100)
