@@ -63,3 +63,20 @@ def test_references_are_reduced_without_sorting(spark):
 def test_batch_search_limits_before_the_shuffle(spark, sf_dir):
     text = plan(entry.queries()["top10_vector_topk_batch"](spark, sf_dir))
     assert "CartesianProduct" not in text and "NestedLoop" not in text and "WindowGroupLimit" in text
+
+
+def test_versions_and_advisories_are_not_broadcast(spark, sf_dir):
+    from larkspur.plans.matching_queries import advisories
+
+    v = Views(spark, sf_dir)
+    assert "BroadcastExchange" not in plan(matching.affected_versions(v.dependency_versions, advisories(v)))
+
+
+def test_closure_inputs_are_not_broadcast(spark, monkeypatch):
+    from larkspur.operators import graph
+
+    seen = []
+    monkeypatch.setattr(graph, "closure", lambda edges, seeds, **_: seen.append(edges) or seeds)
+    pairs = spark.range(10, 30, 10).select((F.col("id") % 10 + 1).alias("project_id"), F.col("id").alias("version_id"))
+    graph.transitive_of_reachable(pairs, spark.range(10, 20, 10).select(F.col("id").alias("parent_version_id"), (F.col("id") + 10).alias("child_version_id")), pairs)
+    assert "BroadcastExchange" not in plan(seen[0]) and [tuple(r) for r in seen[0].collect()] == [(1, 10, 20)]
