@@ -199,7 +199,7 @@ def version_list(current: DataFrame, counts: DataFrame, banned: DataFrame, *, nu
     key = versions.version_key(C("version"))
     rows = counts.withColumn("_key", key).withColumn("_stable", C("_key").isNotNull() & ~versions.is_prerelease(C("version")))
     mine = current.select("project_id", "dependency_id", C("version").alias("current_version")).distinct()
-    listed = mine.join(rows, "dependency_id").filter(C("_stable") | (C("version") == C("current_version")))
+    listed = mine.join(rows.hint("merge"), "dependency_id").filter(C("_stable") | (C("version") == C("current_version")))
     bans = banned.select("project_id", "dependency_id", "version", F.lit(True).alias("_b"))
     out = listed.join(bans, ["project_id", "dependency_id", "version"], "left").withColumn("is_banned", F.coalesce("_b", F.lit(False))).drop("_b", "_stable")
     order = [C("_key").desc_nulls_last(), C("version_id").desc()]
