@@ -125,3 +125,22 @@ def test_ages_are_counted_in_whole_seconds(spark):
     rows = spark.sql("SELECT 1L AS organization_id, 'dispatched' AS status, TIMESTAMP_NTZ '2024-01-29 23:59:59.4' AS created_at")
     got = usage.delivery_stats(rows, now=F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")).first()
     assert (got.total_24h, got.delivered_24h, got.total_7d, got.success_rate_24h) == (0, 0, 1, 100)
+
+
+def test_shared_teams_make_no_pairs_across_organizations(spark):
+    from larkspur.operators import filters
+
+    grants = spark.sql("SELECT id AS user_id, 'team' AS scope, 7L AS scope_id FROM range(200) UNION ALL SELECT 3L, 'project', 3L UNION ALL SELECT 5L, 'organization', 5L UNION ALL SELECT 6L, 'project', 8L")
+    projects = spark.sql("SELECT id AS project_id, id % 100 AS organization_id FROM range(200)")
+    teams = spark.sql("SELECT id AS project_id, 7L AS team_id FROM range(200)")
+    members = spark.sql("SELECT id AS user_id, id % 100 AS organization_id FROM range(200)")
+    out = filters.accessible_projects(grants, projects, teams, members)
+    assert sorted(map(tuple, out.collect())) == [(u, p, u % 100) for u in range(200) for p in sorted({u % 100, u % 100 + 100})]
+
+
+def test_team_grants_meet_projects_by_organization(spark, sf_dir):
+    from larkspur.plans.registry import QUERIES
+
+    joins = [line for line in plan(QUERIES["flt11_accessible_projects"](spark, sf_dir)).split("\n") if "Join" in line]
+    assert not any("[scope_id#" in line and "[team_id#" in line and "organization_id" not in line for line in joins)
+    assert any("team_id#" in line and line.count("organization_id") == 2 for line in joins)
