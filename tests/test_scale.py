@@ -144,3 +144,13 @@ def test_team_grants_meet_projects_by_organization(spark, sf_dir):
     joins = [line for line in plan(QUERIES["flt11_accessible_projects"](spark, sf_dir)).split("\n") if "Join" in line]
     assert not any("[scope_id#" in line and "[team_id#" in line and "organization_id" not in line for line in joins)
     assert any("team_id#" in line and line.count("organization_id") == 2 for line in joins)
+
+
+def test_routes_meet_requests_by_literal_segments(spark):
+    from larkspur.operators import evidence
+
+    routes = spark.sql("SELECT id AS route_id, 'GET' AS http_method, concat('/:lang/', id % 50) AS route_pattern, 1 AS p FROM range(100) UNION ALL SELECT 500L, NULL, '/x/*', 1 UNION ALL SELECT 501L, 'GET', '/a{n}/:id', 1 UNION ALL SELECT 502L, 'GET', '/*/b', 1")
+    requests = spark.sql("SELECT id AS finding_id, 'get' AS http_method, concat('https://h/en/', id) AS endpoint_url, 1 AS p FROM range(60) UNION ALL SELECT 70L, 'post', '/x/y/z', 1 UNION ALL SELECT 71L, 'get', '/ab/c?q', 1 UNION ALL SELECT 72L, 'get', '//b', 1")
+    out = evidence.route_match(requests, routes, ["p"])
+    assert {r.finding_id: r.route_id for r in out.collect()} == {**{i: i if i < 50 else None for i in range(60)}, 70: 500, 71: 501, 72: None}
+    assert any("_literal" in line and "Join" in line for line in plan(out).split("\n"))
