@@ -154,6 +154,24 @@ def test_sla_monitor_announces_once_and_honours_pauses(spark):
     assert sorted((r["finding_id"], r["alert"]) for r in out.collect()) == [("a", "breach"), ("a", "warning")]
 
 
+def test_sla_monitor_keeps_one_state_for_many_findings(spark):
+    """Three rounds of 3000 clocks over 8 buckets; the state store is asked by bucket, not by finding."""
+    start = 1_700_000_000
+    rows = [(f"f{i}", "clock", start + i // 1000 * 30, (start + i % 50) * 1000, (start + i % 50 + 20) * 1000, 0) for i in range(3000)]
+    rows += [(f"f{i}", "close", start + 30, None, None, 0) for i in range(0, 1000, 10)] + [(f"f{i}", "resume", start + 30, None, None, 7000) for i in range(5, 1000, 10)]
+    df = spark.createDataFrame(rows, "finding_id string, kind string, sec long, warn_ms long, due_ms long, shift_ms long").withColumn("event_time", F.timestamp_seconds("sec"))
+    frames = [df.filter(C("sec") == start + 30 * n).drop("sec") for n in range(3)]
+    out = feed(spark, frames, lambda s: stateful.sla_monitor(s, buckets=8))
+    want = []
+    for i in range(3000):
+        shift = 7 if i < 1000 and i % 10 == 5 else 0
+        for alert, instant in (("warning", start + i % 50), ("breach", start + i % 50 + 20)):
+            seen = instant <= start  # by the watermark of the first round
+            if (instant + (0 if seen else shift)) <= start + 60 and not (i < 1000 and i % 10 == 0 and not seen):
+                want.append((f"f{i}", alert))
+    assert sorted((r["finding_id"], r["alert"]) for r in out.collect()) == sorted(want)
+
+
 def test_retry_until_given_up(spark):
     pending = spark.createDataFrame([(1, "pending"), (2, "pending")], "event_id long, status string")
     folder = new_folder(spark, "retry")
