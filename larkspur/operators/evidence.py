@@ -285,20 +285,24 @@ def route_match(requests: DataFrame, routes: DataFrame, key: list[str]) -> DataF
 def cross_link(requests: DataFrame, routes: DataFrame, flows: DataFrame, findings: DataFrame, key: str = "project_id") -> DataFrame:
     """Request to route to first flow of the handler to the worst finding of the flow's package.
 
+    The chain is followed once for each matched route; requests then look up their route, so a popular handler costs no more.
     ``match_method`` says how far the chain got: none, route_only, route_and_flow_no_vuln, route_flow_vuln.
     """
-    matched = route_match(requests, routes, [key])
+    matched = written(route_match(requests, routes, [key]))
     handlers = routes.select("route_id", C("file_path").alias("entry_point_file"), C("handler_name").alias("entry_point_method"))
-    rows = matched.join(handlers, "route_id", "left")
+    chosen = matched.filter(C("route_id").isNotNull()).select(key, "route_id").distinct().join(handlers, "route_id")
     first = F.min(F.struct("flow_id", "dependency_id"))
-    by_method = flows.groupBy(C("project_id").alias(key), "entry_point_file", "entry_point_method").agg(first.alias("_fm"))
-    by_file = flows.groupBy(C("project_id").alias(key), "entry_point_file").agg(first.alias("_ff"))
-    rows = rows.join(by_method, [key, "entry_point_file", "entry_point_method"], "left").join(by_file, [key, "entry_point_file"], "left")
+    # flows and findings of other handlers and projects leave before they are grouped
+    mine = flows.withColumn(key, C("project_id")).join(chosen.select(key, "entry_point_file").distinct(), [key, "entry_point_file"], "left_semi")
+    by_method = mine.groupBy(key, "entry_point_file", "entry_point_method").agg(first.alias("_fm"))
+    by_file = mine.groupBy(key, "entry_point_file").agg(first.alias("_ff"))
+    links = chosen.join(by_method, [key, "entry_point_file", "entry_point_method"], "left").join(by_file, [key, "entry_point_file"], "left")
     flow = F.when(C("entry_point_method").isNull(), C("_ff")).otherwise(C("_fm"))
-    rows = rows.withColumn("dependency_id", F.when(C("route_id").isNotNull(), flow["dependency_id"]))
-    worst = findings.groupBy(C("project_id").alias(key), "dependency_id").agg(
+    links = links.select(key, "route_id", flow["dependency_id"].alias("dependency_id"))
+    hit = findings.withColumn(key, C("project_id")).join(chosen.select(key).distinct(), key, "left_semi")
+    worst = hit.groupBy(key, "dependency_id").agg(
         F.min(F.struct((-labels.severity_rank(C("severity"))).alias("r"), C("osv_id").alias("o"))).alias("_w"), F.count("*").alias("_n"))
-    rows = rows.join(worst, [key, "dependency_id"], "left")
+    rows = matched.join(links.join(worst, [key, "dependency_id"], "left"), [key, "route_id"], "left")
     method = (
         F.when(C("route_id").isNull(), "none").when(C("dependency_id").isNull(), "route_only")
         .when(C("_w").isNull(), "route_and_flow_no_vuln").otherwise("route_flow_vuln")

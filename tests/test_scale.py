@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import graph, matching, ranking, vectors
+from larkspur.operators import evidence, graph, matching, ranking, vectors
 from tests.test_plans import plan
 
 C = F.col
@@ -154,3 +154,14 @@ def test_routes_meet_requests_by_literal_segments(spark):
     out = evidence.route_match(requests, routes, ["p"])
     assert {r.finding_id: r.route_id for r in out.collect()} == {**{i: i if i < 50 else None for i in range(60)}, 70: 500, 71: 501, 72: None}
     assert any("_literal" in line and "Join" in line for line in plan(out).split("\n"))
+
+
+def test_cross_link_follows_the_chain_once_for_each_route(spark):
+    requests = spark.createDataFrame([(i, f"/a/{i}", "get", i % 2) for i in range(40)], "finding_id long, endpoint_url string, http_method string, p long")
+    routes = spark.createDataFrame([(7, "/a/:id", "GET", 0, "f.js", "h"), (8, "/a/:id", "GET", 1, "g.js", None)], "route_id long, route_pattern string, http_method string, p long, file_path string, handler_name string")
+    flows = spark.createDataFrame([("y", 0, "f.js", "h", 5), ("z", 0, "f.js", "h", 6), ("w", 1, "g.js", "k", 9), ("v", 3, "f.js", "h", 4)], "flow_id string, project_id long, entry_point_file string, entry_point_method string, dependency_id long")
+    findings = spark.createDataFrame([(0, 5, "low", "A"), (0, 5, "high", "B"), (3, 4, "low", "C")], "project_id long, dependency_id long, severity string, osv_id string")
+    out = evidence.cross_link(requests, routes, flows, findings, key="p")
+    want = {0: (7, 5, "B", 2, "route_flow_vuln"), 1: (8, 9, None, None, "route_and_flow_no_vuln")}
+    assert {(r.finding_id, *r[2:]) for r in out.collect()} == {(i, *want[i % 2]) for i in range(40)}
+    assert "LeftSemi" in plan(out)  # flows of other handlers leave before they are grouped
