@@ -10,7 +10,8 @@ from larkspur.operators.filters import RUN, active_run, row_number_at_most
 from larkspur.session import written
 
 C = F.col
-GRAM = 4
+#: Letters of a gram: the largest number that a needle has, else all of the needle.
+GRAMS = (12, 8, 4)
 #: Pairs of places and needles that one task should compare for a gram, most tasks for a gram, and most grams dealt so.
 HOT_PAIRS, MOST_SALTS, MOST_HOT = 200_000, 1024, 1000
 # Runtime components that frameworks embed, and packages that frameworks load by convention.
@@ -48,10 +49,11 @@ def filed_needles(words: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFr
     """Needles, each under its rarest gram with the number of places of texts that have it, and the places of texts.
 
     A needle with a gram that no text has is in none and leaves.  Needles under four letters are their own gram, which
-    texts only produce when such needles exist.
+    texts only produce when such needles exist.  Longer needles have longer grams: of four letters there are too few to
+    tell many texts and needles apart, and their pairs would grow with the product of both.
     """
-    size = F.least(F.length("needle"), F.lit(GRAM))
-    # the gram lengths in use: four, and the lengths of any shorter needles (at most four numbers)
+    size = F.coalesce(*[F.when(F.length("needle") >= n, n) for n in GRAMS], F.length("needle"))
+    # the gram lengths in use: those above, and the lengths of any shorter needles (at most six numbers)
     lengths = parts.agg(F.collect_set(size)).scalar()
     places = _spots(words.select("text", F.explode(lengths).alias("_n")), "text", C("_n"))
     common = places.groupBy("_gram").agg(F.count("*").alias("_df"))
@@ -60,7 +62,7 @@ def filed_needles(words: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def contains_match(texts: DataFrame, needles: DataFrame, key: list[str]) -> DataFrame:
-    """Distinct (key, text, needle) where the text contains the needle, as equi joins on four-letter grams.
+    """Distinct (key, text, needle) where the text contains the needle, as equi joins on grams of 12, 8 or 4 letters.
 
     The search runs once over the distinct texts and distinct needles of all keys; the matching pairs are then joined
     back to the keys that have both.  A needle is filed under the gram of its that texts have least often, so endings
@@ -69,7 +71,9 @@ def contains_match(texts: DataFrame, needles: DataFrame, key: list[str]) -> Data
     """
     wanted = needles.select(*key, "needle").filter(F.length("needle") > 0).distinct()
     have = texts.select(*key, "text").filter(F.length("text") > 0).distinct()
-    filed, places = filed_needles(have.select("text").distinct(), wanted.select("needle").distinct())
+    # several steps read the distinct texts and needles; they are written once
+    filed, places = filed_needles(written(have.select("text").distinct()), written(wanted.select("needle").distinct()))
+    filed = written(filed)
     pairs = filed.groupBy("_gram").agg((F.count("*") * F.first("_df")).alias("_pairs")).filter(C("_pairs") > HOT_PAIRS)
     salts = F.least(F.ceil(C("_pairs") / HOT_PAIRS), F.lit(MOST_SALTS)).cast("int").alias("salts")
     # the grams with most pairs, at most MOST_HOT of them; others stay whole
@@ -110,9 +114,9 @@ def usage_match(usages: DataFrame, deps: DataFrame) -> DataFrame:
     Spellings are matched to the project's distinct texts first and joined to packages and files afterwards, so a
     spelling that many packages share is searched once.
     """
-    variants = deps.select("project_id", "project_dependency_id", F.explode(name_variants(C("name"))).alias("needle"))
+    variants = written(deps.select("project_id", "project_dependency_id", F.explode(name_variants(C("name"))).alias("needle")))
     words = F.array_distinct(F.filter(F.array(F.lower("target_type"), F.lower("resolved_method")), lambda t: t.isNotNull() & (t != "")))
-    sites = usages.filter(C("file_path").isNotNull()).select("project_id", "file_path", F.explode(words).alias("text")).distinct()
+    sites = written(usages.filter(C("file_path").isNotNull()).select("project_id", "file_path", F.explode(words).alias("text")).distinct())
     found = contains_match(sites, variants, ["project_id"])
     files = found.join(sites, ["project_id", "text"]).select("project_id", "needle", "file_path").distinct()
     return files.join(variants, ["project_id", "needle"]).select("project_id", "project_dependency_id", "file_path").distinct()

@@ -165,3 +165,11 @@ def test_cross_link_follows_the_chain_once_for_each_route(spark):
     want = {0: (7, 5, "B", 2, "route_flow_vuln"), 1: (8, 9, None, None, "route_and_flow_no_vuln")}
     assert {(r.finding_id, *r[2:]) for r in out.collect()} == {(i, *want[i % 2]) for i in range(40)}
     assert "LeftSemi" in plan(out)  # flows of other handlers leave before they are grouped
+
+
+def test_long_needles_do_not_meet_texts_by_four_digits(spark):
+    """Names that end with a number share every gram of four letters with many others, but none of twelve."""
+    names = [f"almond-{100000 + i}" for i in range(400)]
+    frame = spark.createDataFrame([(n,) for n in names], "text string")
+    filed, _ = evidence.filed_needles(frame, frame.withColumnRenamed("text", "needle"))
+    assert filed.agg(F.sum("_df")).first()[0] == len(names)
