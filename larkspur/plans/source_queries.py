@@ -20,7 +20,7 @@ C = F.col
 
 def json_files(v, rows: DataFrame, label: str) -> str:
     path = new_folder(v.spark, label)
-    rows.write.json(path)
+    rows.write.json(path, compression="gzip")
     return path
 
 
@@ -47,8 +47,8 @@ REF = "'pkg:npm/' || replace(p_name, ' ', '-') || '@v1.' || CAST(l_linenumber AS
 @query("src1_read_sbom", f"""
     SELECT l_orderkey AS order_key, {REF} AS component, replace(p_name, ' ', '-') AS name, '1.' || CAST(l_linenumber AS VARCHAR) || '.' || CAST(l_partkey AS VARCHAR) AS version, true AS is_direct FROM lineitem JOIN part ON p_partkey = l_partkey""")
 def _(v):
-    components, edges, roots = readers.read_sbom(v.spark, json_files(v, sbom_docs(v), "sbom"), multi_line=False)
-    direct = edges.join(roots.withColumnRenamed("root", "parent"), ["document", "parent"]).select("document", C("child").alias("component"), F.lit(True).alias("is_direct"))
+    components, edges, _roots = readers.read_sbom(v.spark, json_files(v, sbom_docs(v), "sbom"), multi_line=False)
+    direct = edges.filter("from_root").select("document", C("child").alias("component"), F.lit(True).alias("is_direct"))
     rows = components.join(direct, ["document", "component"], "left")
     return rows.select(F.regexp_extract("document", "order-([0-9]+)-[0-9-]+$", 1).cast("long").alias("order_key"), "component", "name", "version", "is_direct")
 

@@ -27,7 +27,8 @@ def read_sbom(spark: SparkSession, path: str, *, multi_line: bool = True) -> tup
 
     A component's name and version fall back to its package URL, a leading ``v`` before a digit is dropped except
     for Go, and components without name or version are left out.  ``document`` identifies the bill: its file, or
-    file and root when a file holds one bill per line.
+    file and root when a file holds one bill per line.  Edges of the root itself are marked ``from_root``, so that direct
+    packages are found without a join to ``roots``.
     """
     docs = read_json(spark, path, schemas.SBOM, multi_line).withColumn("root", C("metadata.component.`bom-ref`"))
     if not multi_line:
@@ -47,7 +48,9 @@ def read_sbom(spark: SparkSession, path: str, *, multi_line: bool = True) -> tup
         namespace.alias("namespace"), F.coalesce(first_license["id"], first_license["name"]).alias("license"), purl.alias("purl"),
         F.coalesce(C("c.`bom-ref`") == C("root"), F.lit(False)).alias("is_root"),
     ).filter(~C("is_root") & C("component").isNotNull() & (C("name") != "") & (C("version") != ""))
-    edges = docs.select("document", F.explode("dependencies").alias("d")).select("document", C("d.ref").alias("parent"), F.explode("d.dependsOn").alias("child")).distinct()
+    links = docs.select("document", "root", F.explode("dependencies").alias("d"))
+    from_root = F.coalesce(C("d.ref") == C("root"), F.lit(False)).alias("from_root")
+    edges = links.select("document", C("d.ref").alias("parent"), from_root, F.explode("d.dependsOn").alias("child")).distinct()
     return components, edges, roots
 
 

@@ -27,6 +27,7 @@ def test_sbom(spark, tmp_path):
     got = {r["component"]: (r["name"], r["version"], r["namespace"], r["license"]) for r in components.collect()}
     assert got == {"a": ("@s/a", "1.2.0", "@s", None), "g": ("g", "v1.0", None, None), "m": ("m", "2", "org.m", "MIT")}
     assert {(r["parent"], r["child"]) for r in edges.collect()} == {("root", "a"), ("root", "g"), ("a", "m")}
+    assert {(r["parent"], r["from_root"]) for r in edges.collect()} == {("root", True), ("a", False)}
     assert [r["root"] for r in roots.collect()] == ["root"]
 
 
