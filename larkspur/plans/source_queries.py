@@ -20,7 +20,7 @@ C = F.col
 
 def json_files(v, rows: DataFrame, label: str) -> str:
     path = new_folder(v.spark, label)
-    rows.write.json(path, compression="gzip")
+    rows.write.json(path, compression="lz4")
     return path
 
 
