@@ -153,7 +153,7 @@ def _commit(v) -> runs.Commit:
         "sast": v.semgrep_findings, "malicious": v.malicious_findings, "secret": v.secret_findings.withColumn("redacted_value", C("raw_value")),
         "iac": v.iac_findings, "container": v.container_findings,
     }
-    return runs.finalize_runs(v.findings, v.finding_events, v.project_dependencies, v.projects, v.organizations, v.sla_policies, now=findings_now(), families=families)
+    return runs.finalize_runs(v.findings, v.finding_events, v.project_dependencies, v.projects, v.organizations, v.sla_policies, now=findings_now(), families=families, keep=[])
 
 
 @query("finalize_runs_summary", f"""
