@@ -7,7 +7,7 @@ t bounds d by D = (1 - t) / (1 + t) * (sum of the sizes), so of a document's R b
 has R - D or more.  Blocks meet by their contents; a document of which too few blocks are met by any other can have no
 link and leaves.  The sketch is sparse and only its set bits are ever held; a block travels as a fingerprint of its bits.
 Folded to as many bits as there are shingles, the sketch still bounds d from below, which drops pairs before their sets
-are compared.
+are compared; with eight times the bits the bound is so close that hardly a pair without a link passes.
 
 Links join documents to components.  Documents that share a block are first compared with one of them only (a star);
 where that leaves several components within a block's documents, pairs across components are compared, nearest folded
@@ -41,6 +41,10 @@ SET_SCHEMA = "node long, shingles binary"
 TEXT_BYTES, BATCH_TEXTS = 1 << 18, 1000
 #: Ids up to which those wanted are sent to every task instead of shuffling the texts.
 FEW_IDS = 200_000
+#: Bits a shingle of the sketches that are compared across components, and bytes of them compared at once.
+FINE, COMPARED = 8, 1 << 22
+#: Lists of nodes in a part that is searched for pairs across components.
+LISTS = 2000
 _BITS = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -162,22 +166,27 @@ def _groups(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def supported(found: DataFrame) -> DataFrame:
-    """(key, tile, nodes): the groups that are enough to find every link.
+    """(key, tile, nodes): the groups that are enough to find every link, equal ones once.
 
     Nodes that others meet in fewer blocks than a link needs leave.  Of a node's R blocks all but R - need differ from a
     linked partner's at most, so with blocks in one order for all, rarest first, two linked nodes have one in common
     among their first R - need + 1; the blocks that nobody else has come first and meet nobody.
     """
-    entries = found.select("key", F.element_at("nodes", 1).alias("tile"), "keys", F.explode(F.arrays_zip("nodes", "needs")).alias("e"))
-    entries = written(entries.groupBy("key", "tile", F.col("e.nodes").alias("node"), F.col("e.needs").alias("place")).agg(F.sum("keys").alias("keys")))
+    found = written(found)
+    entries = found.select("key", F.element_at("nodes", 1).alias("tile"), "keys", F.explode(F.arrays_zip("nodes", "needs")).alias("e")).select("key", "tile", "keys", F.col("e.nodes").alias("node"), F.col("e.needs").alias("place"))
     met = entries.groupBy("node", "place").agg(F.sum("keys").alias("met")).withColumn("spare", F.col("met") - F.shiftright("place", 1)).where("spare >= 0")
-    left = entries.join(met.select("node", "place", "spare"), ["node", "place"])
+    met = written(met.select("node", "place", "spare"))
+    if met.count() <= FEW_IDS:
+        met = F.broadcast(met)
+    left = entries.join(met, ["node", "place"]).groupBy("key", "tile", "node", "place", "spare").agg(F.sum("keys").alias("keys"))
     sizes = left.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rarest = W.partitionBy("node", "place").orderBy("size", "key").rowsBetween(W.unboundedPreceding, -1)
     first = left.join(sizes, "key").withColumn("before", F.coalesce(F.sum("keys").over(rarest), F.lit(0))).where("before <= spare")
     groups = first.groupBy("key", "tile").agg(F.array_sort(F.collect_set("node")).alias("nodes"))  # TILE of them at most
-    several = groups.groupBy("key").agg(F.sum(F.size("nodes")).alias("_n")).where("_n > 1").select("key")
-    return groups.join(several, "key")
+    several = groups.groupBy("key").agg(F.sum(F.size("nodes")).alias("_n"), F.count("*").alias("_tiles")).where("_n > 1")
+    groups = groups.join(several, "key")
+    alone = groups.where("_tiles = 1").dropDuplicates(["nodes"])
+    return alone.union(groups.where("_tiles > 1")).select("key", "tile", "nodes")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,66 +272,118 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches of FINE bits for each shingle of whole sets: (node, n, sketch)."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+        sketches = [fold(x, max(64, FINE << int(np.ceil(np.log2(max(len(x), 1)))))).tobytes() for x in sets]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sketches, pa.binary())], ["node", "n", "sketch"])
+
+
+def _apart(sketches: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which the sketches x[i] and y[i] differ, the longer one folded to the length of the other."""
+    length = np.array([len(s) for s in sketches])
+    out = np.zeros(len(x), np.int64)
+    shape = (length[x] << 32) + length[y]
+    for code in np.unique(shape):
+        own = np.flatnonzero(shape == code)
+        size = int(min(code >> 32, code & 0xFFFFFFFF))
+        sides = []
+        for ends in (x[own], y[own]):
+            used, at = np.unique(ends, return_inverse=True)
+            sides.append((np.stack([halve(sketches[i], size) for i in used]), at))
+        (p, i), (q, j) = sides
+        step = max(1, COMPARED // size)
+        for lo in range(0, len(own), step):
+            out[own[lo : lo + step]] = _BITS[p[i[lo : lo + step]] ^ q[j[lo : lo + step]]].sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _forests(k: int, ends: list[tuple[int, int]]) -> list[int]:
+    """Which of the edges, in order, ``k`` forests take in, each edge the first one in which it joins two trees."""
+    trees: list[dict[int, int]] = []
+    taken = []
+
+    def root(tree: dict[int, int], x: int) -> int:
+        while (up := tree.get(x, x)) != x:
+            tree[x] = tree.get(up, up)
+            x = up
+        return x
+
+    for at, (x, y) in enumerate(ends):
+        lo, hi = 0, len(trees)  # two nodes that a forest joins are joined in all before it
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if root(trees[mid], x) == root(trees[mid], y):
+                lo = mid + 1
+            else:
+                hi = mid
+        if lo == k:
+            continue
+        if lo == len(trees):
+            trees.append({})
+        trees[lo][root(trees[lo], x)] = root(trees[lo], y)
+        taken.append(at)
+    return taken
+
+
 def _candidates(k: int, percent: int):
-    """Nearest candidates across components within a list of nodes or between two, up to ``k`` for a node.
+    """Nearest candidates across components within lists of nodes, or between two lists: ``k`` forests over the components.
 
-    Columns: nodes, components, sizes and folded sketches of one list, or of two.  Lists of a batch that hold the same
-    nodes name the same pairs; those are compared once.
+    ``lists`` has nodes and others (empty: pairs within nodes), ``seen`` each node's component, size and sketch once.
+    Lists name the same pairs again and again; those are compared once, and fewer than ``k`` are named for a component.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            index: dict[int, int] = {}
-            names, sketches, counts, pairs, waiting = [], [], [], [], 0
-            for row in range(batch.num_rows):
-                sides = []
-                for c in range(0, batch.num_columns, 4):
-                    nodes, comps, sizes = (batch.column(c + i)[row].values.to_numpy() for i in range(3))
-                    for node, n, folded in zip(nodes.tolist(), sizes.tolist(), batch.column(c + 3)[row].values):
-                        if node not in index:
-                            index[node] = len(names)
-                            names.append(node)
-                            counts.append(n)
-                            sketches.append(np.frombuffer(folded.as_buffer(), np.uint8))
-                    sides.append((np.array([index[n] for n in nodes.tolist()]), comps, sizes))
-                (own, comps, sizes), (own2, comps2, sizes2) = sides[0], sides[-1]
-                fits = (comps[:, None] != comps2[None, :]) & (100 * np.minimum.outer(sizes, sizes2) >= percent * np.maximum.outer(sizes, sizes2))
-                i, j = np.nonzero(fits)
-                pairs.append((np.minimum(own[i], own2[j]) << 32) + np.maximum(own[i], own2[j]))
-                waiting += len(i)
-                if waiting > 1_000_000:
-                    pairs, waiting = [np.unique(np.concatenate(pairs))], 0
-            near = []
-            for code in np.unique(np.concatenate(pairs)).tolist() if pairs else []:
-                x, y = code >> 32, code & 0xFFFFFFFF
-                p, q = sketches[x], sketches[y]
-                size = min(len(p), len(q))
-                apart = int(_BITS[halve(p, size) ^ halve(q, size)].sum(dtype=np.int64))
-                if apart <= most_different(counts[x], counts[y], percent):
-                    near.append((min(names[x], names[y]), apart, max(names[x], names[y])))
-            near.sort()
-            a, rank = np.array([r[0] for r in near], np.int64), np.arange(len(near))
-            rank -= np.searchsorted(a, a)
-            more = np.bincount(np.searchsorted(a, a), minlength=len(a))[np.searchsorted(a, a)] > k
-            use = rank < k
-            yield pa.RecordBatch.from_arrays([pa.array(a[use]), pa.array(np.array([r[2] for r in near], np.int64)[use]), pa.array(more[use])], ["a", "b", "more"])
+    def run(lists: pd.DataFrame, seen: pd.DataFrame) -> pd.DataFrame:
+        seen = seen.sort_values("node")
+        name, comp, size = (seen[c].to_numpy(np.int64) for c in ("node", "component", "n"))
+        sketches = [np.frombuffer(s, np.uint8) for s in seen["sketch"]]
+        pairs, waiting = [], 0
+        for nodes, others in zip(lists["nodes"], lists["others"]):
+            own = np.searchsorted(name, nodes)
+            own2 = np.searchsorted(name, others) if len(others) else own
+            fits = (comp[own][:, None] != comp[own2][None, :]) & (100 * np.minimum.outer(size[own], size[own2]) >= percent * np.maximum.outer(size[own], size[own2]))
+            i, j = np.nonzero(fits)
+            pairs.append((np.minimum(own[i], own2[j]) << 32) + np.maximum(own[i], own2[j]))
+            waiting += len(i)
+            if waiting > 1_000_000:
+                pairs, waiting = [np.unique(np.concatenate(pairs))], 0
+        codes = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+        x, y = codes >> 32, codes & 0xFFFFFFFF
+        apart = _apart(sketches, x, y)
+        near = apart <= most_different(size[x], size[y], percent)
+        x, y, apart = x[near], y[near], apart[near]
+        order = np.lexsort((y, x, apart))  # places follow the nodes' order, so x is the smaller node
+        x, y = x[order], y[order]
+        taken = _forests(k, list(zip(comp[x].tolist(), comp[y].tolist())))
+        return pd.DataFrame({"a": name[x[taken]], "b": name[y[taken]], "more": np.full(len(taken), len(taken) < len(x))})
 
     return run
 
 
-def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, more): candidate pairs across components in groups that hold several; ``more`` if a node has further ones."""
-    members = groups.select("key", "tile", F.explode("nodes").alias("node")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _mixed(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, tile, nodes): the groups that hold several components."""
+    members = groups.select("key", F.explode("nodes").alias("node")).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rows = members.join(mixed, "key").join(sketches.select("node", "n", "folded"), "node").groupBy("key", "tile").agg(F.array_sort(F.collect_list(F.struct("node", "component", "n", "folded"))).alias("rows"))
-    tiles = written(rows.select("key", "tile", *[F.col(f"rows.{c}").alias(c) for c in ("node", "component", "n", "folded")]))
-    schema, fields = "a long, b long, more boolean", ["node", "component", "n", "folded"]
-    near = F.element_at("node", 1)  # lists of the same nodes come to the same task
-    found = tiles.repartition(partitions(tiles.sparkSession), near).sortWithinPartitions(near).select(fields).mapInArrow(_candidates(k, percent), schema)
+    return written(groups.join(mixed, "key").select("key", "tile", "nodes"))
+
+
+def _across(groups: DataFrame, labels: DataFrame, sketches: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b, more): candidate pairs across components in groups that hold several; ``more`` if there may be further ones.
+
+    Lists are dealt by their first node; a sketch goes once to each part that has a list with its node.
+    """
+    tiles = _mixed(groups, labels)
     split = tiles.join(tiles.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key"), "key")
-    left, right = split.select("key", F.col("tile").alias("t"), *[F.col(c).alias(f"l_{c}") for c in fields]), split.select("key", "tile", *fields)
-    between = left.join(right, "key").where("t < tile").select(*[f"l_{c}" for c in fields], *fields).mapInArrow(_candidates(k, percent), schema)
-    return found.union(between).groupBy("a", "b").agg(F.max("more").alias("more"))
+    left, right = split.select("key", F.col("tile").alias("t"), "nodes"), split.select("key", "tile", F.col("nodes").alias("others"))
+    between = left.join(right, "key").where("t < tile").select("nodes", "others")
+    lists = tiles.select("nodes", F.array().cast("array<long>").alias("others")).union(between)
+    parts = max(partitions(tiles.sparkSession), tiles.count() // LISTS)
+    lists = written(lists.withColumn("part", F.pmod(F.xxhash64(F.element_at("nodes", 1), F.try_element_at("others", F.lit(1))), F.lit(parts))))
+    seen = lists.select("part", F.explode(F.concat("nodes", "others")).alias("node")).distinct().join(labels, "node", "left").join(sketches, "node")
+    seen = seen.select(F.col("part").alias("of_part"), "node", F.coalesce("component", "node").alias("component"), "n", "sketch")
+    found = lists.groupBy("part").cogroup(seen.groupBy("of_part")).applyInPandas(_candidates(k, percent), "a long, b long, more boolean")
+    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def near_copies(docs: DataFrame, percent: int = PERCENT, nearest: int = 4) -> DataFrame:
@@ -348,26 +409,31 @@ def near_copies(docs: DataFrame, percent: int = PERCENT, nearest: int = 4) -> Da
     centres = groups.groupBy("key").agg(F.min(F.array_min("nodes")).alias("a"))
     star = groups.join(centres, "key").select("a", F.explode("nodes").alias("b")).where("a <> b").distinct()
     star = written(near_enough(star, sketches, percent))
-    have = None
-    compared, labels, k, fresh, exhausted = None, None, nearest, star, False
-    while True:
-        nodes = fresh.select(F.col("a").alias("node")).union(fresh.select("b")).distinct()
-        nodes = nodes if have is None else nodes.join(have.select("node"), "node", "left_anti")
-        new = sets_of(rows, nodes.join(sketches.select("node", "doc_id"), "node"))
-        have = new if have is None else have.union(new)
+    ends = star.select(F.col("a").alias("node")).union(star.select("b")).distinct()
+    have = sets_of(rows, ends.join(sketches.select("node", "doc_id"), "node"))
+    compared = written(verified(star, have, percent))
+    labels, k, exhausted = components(compared.where("linked")), nearest, False
+    # a list's first node has met all others in the star, so pairs of the others are left
+    others = groups.join(centres, "key").select("key", "tile", F.array_except("nodes", F.array("a")).alias("nodes")).where("size(nodes) > 0")
+    lists = others.groupBy("key").agg(F.sum(F.size("nodes")).alias("_n"), F.count("*").alias("_tiles")).where("_n > 1")
+    others = others.join(lists, "key")
+    groups = written(others.where("_tiles = 1").dropDuplicates(["nodes"]).union(others.where("_tiles > 1")).select("key", "tile", "nodes"))
+    # the nodes that any later round compares: their whole sets, and finer sketches that few pairs pass without a link
+    rest = written(_mixed(groups, labels).select(F.explode("nodes").alias("node")).distinct())
+    new = sets_of(rows, rest.join(have.select("node"), "node", "left_anti").join(sketches.select("node", "doc_id"), "node"))
+    have = have.union(new)
+    fine = written(have.join(rest, "node", "left_semi").select("node", "shingles").mapInArrow(_fine, "node long, n long, sketch binary"))
+    while not exhausted:
+        pairs = written(_across(groups, labels, fine, k, percent))
+        k *= 16
+        exhausted = pairs.where("more").isEmpty()  # then these are all pairs that could join components
+        fresh = written(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"))
+        if fresh.isEmpty():
+            continue
         done = written(verified(fresh, have, percent))
-        compared = done if compared is None else written(compared.union(done))
-        if labels is None or not done.where("linked").isEmpty():
+        compared = written(compared.union(done))
+        if not done.where("linked").isEmpty():
             labels = components(compared.where("linked"))
-        if exhausted:
-            break
-        while True:
-            pairs = written(_across(groups, labels, sketches, k, percent))
-            k *= 4
-            exhausted = pairs.where("more").isEmpty()  # then these are all pairs that could join components
-            fresh = written(pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"))
-            if exhausted or not fresh.isEmpty():
-                break
 
     joined = texts.join(labels, "node", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")))
     smallest = joined.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
