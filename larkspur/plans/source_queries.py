@@ -231,9 +231,12 @@ def _(v):
       WHEN importance >= 1.3 AND license LIKE '%GPL-3.0%' THEN 'Banned license for high-importance project: ' || license WHEN importance >= 1.3 AND score < 40 THEN 'Low reputation score for high-importance project: ' || CAST(score AS VARCHAR)
       WHEN importance < 1.3 AND license LIKE '%AGPL%' THEN 'AGPL not allowed' END AS reason FROM n LEFT JOIN dependencies x USING (dependency_id)) n""")
 def _(v):
-    asked = v.dependencies.select((C("dependency_id") + 7).alias("dependency_id"), ((C("dependency_id") + 7) % 200).alias("_k")).join(v.projects.select("project_id", (C("project_id") % 200).alias("_k")), "_k")
+    slice_of = lambda name: (C(name) % 200).alias("_k")
+    asked = v.dependencies.select((C("dependency_id") + 7).alias("dependency_id")).select("dependency_id", slice_of("dependency_id"))
+    projects = v.projects.select("project_id", "importance", slice_of("project_id"))
+    installed = v.project_dependencies.select("project_id", "dependency_id", slice_of("dependency_id")).filter(C("_k") == C("project_id") % 200)
     catalog = v.dependencies.select("dependency_id", "license", "score", C("flagged_malicious").alias("is_malicious"), F.lit(None).cast("string").alias("malicious_reason"))
-    out = policy.preflight_candidates(asked, v.project_dependencies, catalog, v.projects, policy.DEFAULT_RULES)
+    out = policy.preflight_slices(asked, installed, catalog, projects, policy.DEFAULT_RULES, "_k")
     return out.select("project_id", "dependency_id", C("policy_result.allowed").alias("allowed"), F.array_join("policy_result.reasons", ",").alias("reasons"))
 
 
