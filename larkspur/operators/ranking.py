@@ -195,15 +195,22 @@ def fix_priority(findings: DataFrame, first: int = 20, keep: int = 10) -> DataFr
 
 
 def version_list(current: DataFrame, counts: DataFrame, banned: DataFrame, *, number: int, size: int) -> DataFrame:
-    """Page of a package's versions, newest first: stable ones plus the one in use, with counts and ban flag."""
+    """Page of a package's versions, newest first: stable ones plus the one in use, with counts and ban flag.
+
+    What a page shows depends on the package and the version in use alone, so pages are made once for each of those and
+    then handed to the projects; bans come as the list of a project's banned versions of the package.
+    """
     key = versions.version_key(C("version"))
     rows = counts.withColumn("_key", key).withColumn("_stable", C("_key").isNotNull() & ~versions.is_prerelease(C("version")))
-    mine = current.select("project_id", "dependency_id", C("version").alias("current_version")).distinct()
-    listed = mine.join(rows.hint("merge"), "dependency_id").filter(C("_stable") | (C("version") == C("current_version")))
-    bans = banned.select("project_id", "dependency_id", "version", F.lit(True).alias("_b"))
-    out = listed.join(bans, ["project_id", "dependency_id", "version"], "left").withColumn("is_banned", F.coalesce("_b", F.lit(False))).drop("_b", "_stable")
+    of = ["project_id", "dependency_id"]
+    mine = current.select(*of, C("version").alias("current_version")).repartition(*of).distinct()
+    in_use = current.select("dependency_id", C("version").alias("current_version")).distinct()
+    listed = in_use.join(rows.hint("merge"), "dependency_id").filter(C("_stable") | (C("version") == C("current_version"))).drop("_stable")
     order = [C("_key").desc_nulls_last(), C("version_id").desc()]
-    return page(out, ["project_id", "dependency_id", "current_version"], order, number=number, size=size).drop("_key")
+    shown = page(listed, ["dependency_id", "current_version"], order, number=number, size=size).drop("_key")
+    bans = banned.groupBy(*of).agg(F.collect_set("version").alias("_banned"))
+    out = mine.join(bans.hint("merge"), of, "left").join(shown.hint("merge"), ["dependency_id", "current_version"])
+    return out.withColumn("is_banned", F.coalesce(F.array_contains("_banned", C("version")), F.lit(False))).drop("_banned")
 
 
 def versions_behind(deps: DataFrame, catalog: DataFrame, version_rows: DataFrame) -> DataFrame:
