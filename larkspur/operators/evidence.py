@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import labels, packages, scores, text
@@ -314,13 +314,17 @@ def cross_link(requests: DataFrame, routes: DataFrame, flows: DataFrame, finding
     return rows.select("finding_id", key, "route_id", "dependency_id", C("_w.o").alias("linked_osv_id"), C("_n").alias("candidates"), method.alias("match_method"))
 
 
+def _container_ids(container: DataFrame) -> DataFrame:
+    """Container findings by (project, run, CVE) with their OS package and weight."""
+    ids = F.array_distinct(F.array_compact(F.array(F.upper("cve_id"), F.upper("osv_id"))))
+    return container.select(C("finding_id").alias("container_finding_id"), *RUN, F.lower("os_package_name").alias("_os"), F.explode(ids).alias("cve"),
+                            F.when(C("reachability_level") == "unreachable", scores.CONTAINER_UNREACHABLE).otherwise(1.0).alias("container_mult"))
+
+
 def _container_side(container: DataFrame, bindings: DataFrame) -> DataFrame:
     """Container findings by (project, run, CVE, library) with their weight."""
     os_names = bindings.filter(C("scope") == "os").select(F.lower("package_identifier").alias("_os"), "soname").distinct()
-    ids = F.array_distinct(F.array_compact(F.array(F.upper("cve_id"), F.upper("osv_id"))))
-    left = container.select(C("finding_id").alias("container_finding_id"), *RUN, F.lower("os_package_name").alias("_os"), F.explode(ids).alias("cve"),
-                            F.when(C("reachability_level") == "unreachable", scores.CONTAINER_UNREACHABLE).otherwise(1.0).alias("container_mult"))
-    return left.join(os_names, "_os").drop("_os")
+    return _container_ids(container).join(os_names, "_os").drop("_os")
 
 
 def _code_side(findings: DataFrame) -> DataFrame:
@@ -340,17 +344,22 @@ def _libraries(deps: DataFrame, bindings: DataFrame) -> DataFrame:
 def compose_container(container: DataFrame, findings: DataFrame, deps: DataFrame, bindings: DataFrame) -> DataFrame:
     """Smallest composition factor per code finding that shares a CVE and a native library with a container finding.
 
-    Both sides are reduced before they meet: the container side to its smallest weight per (CVE, library), the code side to
-    its distinct (CVE, package row), and of those to the ones whose CVE a container of the run has.  So no pair of
-    findings is built, and names are looked up for few rows.
+    Both sides are exchanged once to their (project, run, CVE).  There the container side comes first in each library, and
+    a code finding takes the smallest weight so far: no pair of findings is built.  Container findings travel with the
+    list of their OS package's libraries.
     """
     key = [*RUN, "cve"]
-    least = _container_side(container, bindings).groupBy(*key, "soname").agg(F.min("container_mult").alias("container_mult"))
-    code = _code_side(findings)
-    asked = code.select(*key, "project_dependency_id").distinct().join(least.select(*key).distinct(), key, "left_semi")
-    lowest = asked.join(_libraries(deps, bindings), "project_dependency_id").join(least, [*key, "soname"]).groupBy(*key, "project_dependency_id").agg(F.min("container_mult").alias("container_mult"))
-    factor = F.round(C("container_mult") * C("code_mult"), 3)
-    return code.join(lowest, [*key, "project_dependency_id"]).groupBy("finding_id").agg(F.min(factor).alias("composition_factor"))
+    os_names = bindings.filter(C("scope") == "os").groupBy(F.lower("package_identifier").alias("_os")).agg(F.collect_set("soname").alias("sonames"))
+    # few rows, made from much larger files: written, the planner knows their size
+    left = _container_ids(container).join(written(os_names), "_os").select(*key, "container_mult", "sonames")
+    right = _code_side(findings).join(_libraries(deps, bindings), "project_dependency_id").select(*key, "finding_id", "code_mult", F.array("soname").alias("sonames"))
+    rows = left.unionByName(right, allowMissingColumns=True)
+    for column in key:
+        rows = rows.filter(C(column).isNotNull())
+    rows = rows.repartition(*key).withColumn("soname", F.explode("sonames")).filter(C("soname").isNotNull())
+    before = Window.partitionBy(*key, "soname").orderBy(C("code_mult").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    lowest = rows.withColumn("_least", F.min("container_mult").over(before)).filter(C("code_mult").isNotNull() & C("_least").isNotNull())
+    return lowest.groupBy("finding_id").agg(F.min(F.round(C("_least") * C("code_mult"), 3)).alias("composition_factor"))
 
 
 def composition_edges(container: DataFrame, findings: DataFrame, deps: DataFrame, bindings: DataFrame, evidence: int = 20) -> DataFrame:
