@@ -14,6 +14,8 @@ C = F.col
 GRAMS = (12, 8, 4)
 #: Pairs of places and needles that one task should compare for a gram, most tasks for a gram, and most grams dealt so.
 HOT_PAIRS, MOST_SALTS, MOST_HOT = 200_000, 1024, 1000
+#: Call sites of a project that one task should take.
+HOT_SITES = 2_000_000
 # Runtime components that frameworks embed, and packages that frameworks load by convention.
 EMBEDDED_RUNTIME = [
     "tomcat-embed", "jetty", "undertow", "netty", "spring-boot-starter-tomcat", "thymeleaf", "freemarker", "mustache",
@@ -61,18 +63,14 @@ def filed_needles(words: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFr
     return row_number_at_most(own, ["needle"], [C("_df"), C("_gram"), C("_at")], 1).filter(C("_df") > 0), places
 
 
-def contains_match(texts: DataFrame, needles: DataFrame, key: list[str]) -> DataFrame:
-    """Distinct (key, text, needle) where the text contains the needle, as equi joins on grams of 12, 8 or 4 letters.
+def found_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """Distinct (text, needle) where the text contains the needle, of written distinct texts and needles.
 
-    The search runs once over the distinct texts and distinct needles of all keys; the matching pairs are then joined
-    back to the keys that have both.  A needle is filed under the gram of its that texts have least often, so endings
-    and beginnings that many needles share do not bring them together; a gram tells the place at which the needle must
-    stand, and only that place is compared.  Grams whose places and needles make many pairs are dealt over salts.
+    Equi joins on grams of 12, 8 or 4 letters.  A needle is filed under the gram of its that texts have least often, so
+    endings and beginnings that many needles share do not bring them together; a gram tells the place at which the needle
+    must stand, and only that place is compared.  Grams whose places and needles make many pairs are dealt over salts.
     """
-    wanted = needles.select(*key, "needle").filter(F.length("needle") > 0).distinct()
-    have = texts.select(*key, "text").filter(F.length("text") > 0).distinct()
-    # several steps read the distinct texts and needles; they are written once
-    filed, places = filed_needles(written(have.select("text").distinct()), written(wanted.select("needle").distinct()))
+    filed, places = filed_needles(texts, needles)
     filed = written(filed)
     pairs = filed.groupBy("_gram").agg((F.count("*") * F.first("_df")).alias("_pairs")).filter(C("_pairs") > HOT_PAIRS)
     salts = F.least(F.ceil(C("_pairs") / HOT_PAIRS), F.lit(MOST_SALTS)).cast("int").alias("salts")
@@ -82,7 +80,19 @@ def contains_match(texts: DataFrame, needles: DataFrame, key: list[str]) -> Data
     keyed = dealt(filed.select("needle", "_gram", C("_at").alias("_from"))).withColumn("_salt", F.explode(F.sequence(F.lit(0), C("_salts") - 1))).drop("_salts")
     spread = dealt(places).withColumn("_salt", F.pmod(F.xxhash64("text", "_at"), C("_salts")).cast("int")).drop("_salts")
     start = C("_at") - C("_from") + 1
-    found = spread.join(keyed, ["_gram", "_salt"]).filter((start > 0) & (C("text").substr(start, F.length("needle")) == C("needle"))).select("text", "needle").distinct()
+    return spread.join(keyed, ["_gram", "_salt"]).filter((start > 0) & (C("text").substr(start, F.length("needle")) == C("needle"))).select("text", "needle").distinct()
+
+
+def contains_match(texts: DataFrame, needles: DataFrame, key: list[str]) -> DataFrame:
+    """Distinct (key, text, needle) where the text contains the needle.
+
+    The search runs once over the distinct texts and distinct needles of all keys; the matching pairs are then joined
+    back to the keys that have both.
+    """
+    wanted = needles.select(*key, "needle").filter(F.length("needle") > 0).distinct()
+    have = texts.select(*key, "text").filter(F.length("text") > 0).distinct()
+    # several steps read the distinct texts and needles; they are written once
+    found = found_pairs(written(have.select("text").distinct()), written(wanted.select("needle").distinct()))
     return have.join(found, "text").join(wanted, [*key, "needle"]).select(*key, "text", "needle")
 
 
@@ -111,15 +121,29 @@ def name_variants(name: Column) -> Column:
 def usage_match(usages: DataFrame, deps: DataFrame) -> DataFrame:
     """Distinct (project, package row, file) where a call site mentions the package under any spelling.
 
-    Spellings are matched to the project's distinct texts first and joined to packages and files afterwards, so a
-    spelling that many packages share is searched once.
+    Distinct texts and spellings are searched once for all projects.  A site then travels with the spellings that its text
+    has, a package with its own, both once, to their project; spellings are told apart there.  Projects with very many
+    sites are dealt over salts by file, and their packages go to each.
     """
-    variants = written(deps.select("project_id", "project_dependency_id", F.explode(name_variants(C("name"))).alias("needle")))
-    words = F.array_distinct(F.filter(F.array(F.lower("target_type"), F.lower("resolved_method")), lambda t: t.isNotNull() & (t != "")))
-    sites = written(usages.filter(C("file_path").isNotNull()).select("project_id", "file_path", F.explode(words).alias("text")).distinct())
-    found = contains_match(sites, variants, ["project_id"])
-    files = found.join(sites, ["project_id", "text"]).select("project_id", "needle", "file_path").distinct()
-    return files.join(variants, ["project_id", "needle"]).select("project_id", "project_dependency_id", "file_path").distinct()
+    words = F.filter(F.array(F.lower("target_type"), F.lower("resolved_method")), lambda t: t.isNotNull() & (t != ""))
+    sites = written(usages.filter(C("file_path").isNotNull() & C("project_id").isNotNull()).select("project_id", "file_path", F.explode(F.array_distinct(words)).alias("text")))
+    packages_of = written(deps.filter(C("project_id").isNotNull()).select("project_id", "project_dependency_id", "name"))
+    spelt = packages_of.select("name").distinct().select(F.explode(name_variants(C("name"))).alias("needle")).distinct()
+    found = found_pairs(written(sites.select("text").distinct()), written(spelt))
+    # a text has as many spellings as it has parts
+    by_text = found.groupBy("text").agg(F.collect_set("needle").alias("_needles"))
+    large = sites.groupBy("project_id").agg(F.count("*").alias("_n")).filter(C("_n") > HOT_SITES)
+    salts = F.least(F.ceil(C("_n") / HOT_SITES), F.lit(MOST_SALTS)).cast("int").alias("salts")
+    hot = large.orderBy(C("_n").desc()).limit(MOST_HOT).agg(F.map_from_entries(F.collect_list(F.struct("project_id", salts)))).scalar()
+    salted = F.coalesce(F.try_element_at(hot, C("project_id")), F.lit(1))
+    mentions = sites.join(by_text.hint("merge"), "text").select("project_id", F.pmod(F.xxhash64("file_path"), salted).cast("int").alias("_salt"), "file_path", "_needles")
+    offers = packages_of.select("project_id", "project_dependency_id", name_variants(C("name")).alias("_needles"), F.explode(F.sequence(F.lit(0), salted - 1)).alias("_salt"))
+    place = ["project_id", "_salt"]
+    rows = mentions.unionByName(offers, allowMissingColumns=True).repartition(*place).withColumn("needle", F.explode("_needles"))
+    met = rows.groupBy(*place, "needle").agg(F.collect_set("file_path").alias("_files"), F.collect_set("project_dependency_id").alias("_packages"))
+    met = met.filter((F.size("_files") > 0) & (F.size("_packages") > 0))
+    pairs = met.select(*place, "_files", F.explode("_packages").alias("project_dependency_id")).select(*place, "project_dependency_id", F.explode("_files").alias("file_path"))
+    return pairs.distinct().drop("_salt")
 
 
 def import_counts(usages: DataFrame, deps: DataFrame) -> DataFrame:
