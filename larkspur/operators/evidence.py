@@ -527,6 +527,13 @@ def flow_ids(findings: DataFrame, advisories: DataFrame, key: list[str]) -> Data
     return own.unionByName(extra).distinct()
 
 
+def affected_packages(findings: DataFrame, projects: DataFrame, deps: DataFrame) -> DataFrame:
+    """Live package rows that findings of the active runs name; written once, as several sections of a detail read them."""
+    named = active_run(findings, projects).select("project_dependency_id").distinct()
+    columns = ["project_id", "project_dependency_id", "dependency_id", "name", "version", "is_direct", "environment", "files_importing_count", "removed_at"]
+    return written(deps.filter(C("removed_at").isNull()).select(columns).join(named, "project_dependency_id", "left_semi"))
+
+
 def finding_detail(findings, deps, catalog, projects, events, advisories, flows, suppressions, files, candidates, *, n_events: int = 50, n_flows: int = 20) -> DataFrame:
     """Everything about each (project, vulnerability) of the active runs, in long form with one JSON payload per row.
 

@@ -332,7 +332,7 @@ def _(v):
     UNION ALL SELECT project_id, osv_id, 'advisory', CAST(item AS VARCHAR), CAST(to_json({{'advisory_id': item, 'severity': severity}}) AS VARCHAR) FROM ad
     UNION ALL SELECT project_id, osv_id, 'flow', flow_id, CAST(to_json({{'flow_length': flow_length, 'entry_point_file': entry_point_file, 'sink_method': sink_method, 'is_suppressed': is_suppressed}}) AS VARCHAR) FROM fl""")
 def _(v):
-    deps = v.project_dependencies
+    deps = evidence.affected_packages(v.findings, v.projects, v.project_dependencies)
     files = evidence.usage_match(active_run(v.usages, v.projects), deps)
     banned = matching.banned_versions(deps, v.banned_versions, v.projects, v.project_teams)
     candidates = matching.version_candidates(deps, v.dependency_versions, advisories(v), banned)
